@@ -1,8 +1,12 @@
-"""The training-data operators as registered queries."""
+"""The training-data operators as registered queries, with SQL where it can express them."""
 
 from __future__ import annotations
 
+from . import quality
 from .minhash import op6_minhash
+from .mixing import op10_mixing
+from .packing import op3_packing
+from .quality import op7_quality
 
-QUERIES = {"op6_minhash": op6_minhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_packing": op3_packing, "op6_minhash": op6_minhash, "op7_quality": op7_quality, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op7_quality": quality.ORACLE}
