@@ -2,5 +2,326 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import EngineConfig
+from ..functions import checksums, fixed, network, normalize, patterns, scoring
+from ..operators import correlate, detect, enrich, export, health, redact, reports, suppress
+from ..sources import adapters, schema
+from ..streaming import state
+from .views import LOGS, NOW, PAGES, RULES, WITH, text
+
+AS_OF = adapters.AS_OF
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enriched(adapters.threat_logs(spark, sf_dir), adapters.geo(spark, sf_dir))
+
+
+def _report(name: str, f, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(logs(spark, sf_dir))
+    ORACLES[name] = WITH + sql
+
+
+_LAST = lambda s: f"created_at >= {NOW} - INTERVAL '{s} seconds'"
+_report("stats_overview", lambda x: reports.stats(x, AS_OF), f"""SELECT count(*) AS total, count(*) FILTER (threat_level = 'high') AS high, count(*) FILTER (threat_level = 'medium') AS medium, count(*) FILTER (threat_level = 'low') AS low,
+ count(DISTINCT ip_address) AS unique_ips, count(DISTINCT CASE WHEN is_foreign THEN ip_address END) AS foreign_ips, count(cloud_provider) AS cloud_attacks, count(*) FILTER (created_at::DATE = {NOW}::DATE) AS today, count(*) FILTER ({_LAST(3600)}) AS last_hour FROM logs""")
+_report("live_count", lambda x: reports.live_count(x, AS_OF, 86400), f"SELECT count(*) AS live FROM logs WHERE {_LAST(86400)}")
+_report("summary_by_type", reports.by_type, "SELECT type, count(*) AS count FROM logs GROUP BY type ORDER BY count DESC, type LIMIT 10")
+_report("summary_by_level", reports.by_level, "SELECT threat_level, count(*) AS count FROM logs GROUP BY threat_level")
+_report("summary_by_ip", reports.by_ip, "SELECT ip_address, country_name, cloud_provider, count(*) AS count FROM logs GROUP BY ALL ORDER BY count DESC, ip_address LIMIT 10")
+_report("summary_by_country", reports.by_country_top, "SELECT country_name, count(*) AS count FROM logs WHERE country_name IS NOT NULL GROUP BY ALL ORDER BY count DESC, country_name LIMIT 10")
+_report("summary_by_cloud", reports.by_cloud_top, "SELECT cloud_provider, count(*) AS count FROM logs WHERE cloud_provider IS NOT NULL GROUP BY ALL ORDER BY count DESC, cloud_provider LIMIT 50")
+_report("summary_by_date", lambda x: reports.by_date(x, AS_OF), f"SELECT created_at::DATE AS date, count(*) AS count FROM logs WHERE {_LAST(30 * 86400)} GROUP BY ALL")
+_report("by_country", reports.by_country, "SELECT country_code, country_name, count(*) AS count, count(DISTINCT ip_address) AS unique_ips FROM logs WHERE country_code IS NOT NULL GROUP BY ALL ORDER BY count DESC, country_code, country_name LIMIT 20")
+_report("by_cloud_provider", reports.by_cloud_provider, "SELECT cloud_provider, count(*) AS count, count(DISTINCT ip_address) AS unique_ips FROM logs WHERE cloud_provider IS NOT NULL GROUP BY ALL")
+_report("top_ips", reports.top_ips, "SELECT ip_address, country_name, cloud_provider, is_foreign, count(*) AS threat_count FROM logs GROUP BY ALL ORDER BY threat_count DESC, ip_address LIMIT 20")
+_report("timeline", lambda x: reports.timeline(x, AS_OF), f"SELECT created_at::DATE AS date, threat_level, count(*) AS count FROM logs WHERE {_LAST(7 * 86400)} GROUP BY ALL")
+_report("timeline_pivot", lambda x: reports.timeline_pivot(x, AS_OF), f"SELECT created_at::DATE AS date, count(*) FILTER (threat_level = 'high') AS high, count(*) FILTER (threat_level = 'medium') AS medium, count(*) FILTER (threat_level = 'low') AS low FROM logs WHERE {_LAST(7 * 86400)} GROUP BY 1")
+_report("country_share", reports.country_share, "SELECT *, round(count / max(count) OVER () * 100)::BIGINT AS percent FROM (SELECT country_code, country_name, count(*) AS count FROM logs WHERE country_code IS NOT NULL GROUP BY ALL ORDER BY count DESC, country_code, country_name LIMIT 20)")
+_OWN = "ip_address = '10.0.0.5'"
+_report("ip_stats", lambda x: reports.ip_stats(x, "10.0.0.5"), f"""SELECT count(*) AS total, count(*) FILTER (threat_level = 'high') AS high, min(created_at) AS first_seen, max(created_at) AS last_seen,
+ (SELECT string_agg(type, '|' ORDER BY n DESC, type) FROM (SELECT type, count(*) AS n FROM logs WHERE {_OWN} GROUP BY type ORDER BY n DESC, type LIMIT 5)) AS top_types FROM logs WHERE {_OWN}""")
+_COLS = ["id", "ip_address", "url", "type", "threat_level", "confidence_score", "country_code", "cloud_provider", "is_foreign", "created_at"]
+_report("ip_recent", lambda x: reports.ip_recent(x, "10.0.0.5").select(_COLS), f"SELECT {', '.join(_COLS)} FROM logs WHERE {_OWN} ORDER BY created_at DESC, id LIMIT 10")
+_report("ip_levels", lambda x: reports.ip_levels(x, "10.0.0.5"), f"SELECT count(*) FILTER (threat_level = 'high') AS high, count(*) FILTER (threat_level = 'medium') AS medium, count(*) FILTER (threat_level = 'low') AS low FROM logs WHERE {_OWN}")
+_report("threat_by_id", lambda x: reports.by_id(x, 77).select(_COLS), f"SELECT {', '.join(_COLS)} FROM logs WHERE id = 77")
+_report("threats_page", lambda x: reports.page(reports.threats(x, keyword="CLICK", level="low", is_false_positive=False, date_from="2024-01-05 00:00:00", date_to="2024-01-25 00:00:00"), 2, 50).select(_COLS), f"""SELECT {", ".join(_COLS)} FROM logs
+ WHERE (ip_address ILIKE '%CLICK%' OR type ILIKE '%CLICK%' OR url ILIKE '%CLICK%') AND threat_level = 'low' AND NOT is_false_positive AND created_at >= TIMESTAMP '2024-01-05 00:00:00' AND created_at <= TIMESTAMP '2024-01-25 00:00:00' ORDER BY created_at DESC, id LIMIT 50 OFFSET 50""")
+_report("threats_count", lambda x: reports.page_count(reports.threats(x, country="FR", type_like="sql")), "SELECT count(*) AS total, greatest(1, ceil(count(*) / 20))::BIGINT AS last_page FROM logs WHERE country_code = 'FR' AND type ILIKE '%sql%'")
+_GROUP = "count(DISTINCT ip_address) AS unique_ips, count(*) AS attempts, min(created_at) AS first_seen, max(created_at) AS last_seen"
+_SECONDS = "(floor(epoch(last_seen)) - floor(epoch(first_seen)))"
+_COORDINATED = f"SELECT url, {_GROUP}, string_agg(DISTINCT ip_address, ',' ORDER BY ip_address) AS attacker_ips FROM logs WHERE {_LAST(86400)} GROUP BY url HAVING count(DISTINCT ip_address) >= 3 ORDER BY unique_ips DESC, attempts DESC, url LIMIT 20"
+_report("coordinated_attacks", lambda x: correlate.coordinated_attacks(x, AS_OF, 86400), f"SELECT *, round({_SECONDS} / 60, 2) AS duration_minutes FROM ({_COORDINATED})")
+_CAMPAIGNS = f"SELECT type, {_GROUP}, array_to_string(list_sort(list(DISTINCT ip_address))[1:10], ',') AS sample_ips FROM logs WHERE {_LAST(86400)} GROUP BY type HAVING count(DISTINCT ip_address) >= 3 ORDER BY unique_ips DESC, attempts DESC, type LIMIT 15"
+_report("attack_campaigns", lambda x: correlate.campaigns(x, AS_OF, 86400, 3), f"SELECT *, round({_SECONDS} / 3600, 2) AS duration_hours FROM ({_CAMPAIGNS})")
+_RAPID = f"SELECT ip_address, count(*) AS attack_count, count(DISTINCT type) AS attack_types, min(created_at) AS first_seen, max(created_at) AS last_seen FROM logs WHERE {_LAST(7 * 86400)} GROUP BY ip_address HAVING count(*) >= 10 ORDER BY attack_count DESC, ip_address LIMIT 20"
+_report("rapid_attackers", lambda x: correlate.rapid_attackers(x, AS_OF, 7 * 86400), f"SELECT *, round(attack_count / greatest({_SECONDS} / 60, 1), 2) AS attacks_per_minute FROM ({_RAPID})")
+_report("correlation_summary", lambda x: correlate.correlation_summary(x, AS_OF, (86400, 86400, 7 * 86400), (3, 3, 10)), f"SELECT (SELECT count(*) FROM ({_COORDINATED})) AS coordinated_attacks, (SELECT count(*) FROM ({_CAMPAIGNS})) AS attack_campaigns, (SELECT count(*) FROM ({_RAPID})) AS rapid_attackers")
+_BLOCK = "SELECT ip_address, count(*) AS hits, max(created_at) AS last_seen, CASE max(CASE threat_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS threat_level FROM logs WHERE {} GROUP BY ip_address HAVING count(*) >= {}"
+_report("blocklist", lambda x: reports.blocklist(x, AS_OF, "7d", "high", 2), _BLOCK.format(f"{_LAST(7 * 86400)} AND threat_level = 'high'", 2))
+_report("fail2ban", lambda x: reports.fail2ban(x, AS_OF, "2w", None, 5), f"SELECT ip_address, hits, last_seen FROM ({_BLOCK.format(_LAST(14 * 86400), 5)})")
+_STAMP = "strftime(last_seen, '%Y-%m-%d %H:%M:%S')"
+_LINES = {
+    "plain": "ip_address", "nginx": "concat('deny ', ip_address, ';  # hits: ', hits)", "apache": "concat('Deny from ', ip_address, '  # hits: ', hits)", "csv": f"concat_ws(',', ip_address, hits, {_STAMP}, threat_level)",
+    "fail2ban": f"concat('fail2ban-client set reqwatch banip ', ip_address, '  # hits: ', hits, ', last: ', {_STAMP})",
+}
+for _form, _sql in _LINES.items():
+    _report(f"export_{_form}", lambda x, form=_form: export.blocklist_lines(reports.blocklist(x, AS_OF, "7d"), form), f"SELECT {_sql} AS line FROM ({_BLOCK.format(_LAST(7 * 86400), 1)})")
+_safe = lambda c: f"CASE WHEN regexp_matches({c}, '^[=+@\\t\\r-]') THEN '''' || {c} ELSE coalesce({c}, '') END"
+_report("csv_export", export.csv_rows, f"""SELECT id AS "ID", strftime(created_at, '%Y-%m-%d %H:%M:%S') AS "Time", {_safe("ip_address")} AS "IP Address", {_safe("url")} AS "URL", {_safe("type")} AS "Type", {_safe("threat_level")} AS "Level",
+ concat(confidence_score, '%') AS "Confidence", CASE WHEN is_false_positive THEN 'Yes' ELSE 'No' END AS "False Positive", action_taken AS "Action", coalesce(country_name, '') AS "Country", coalesce(cloud_provider, '') AS "Cloud Provider" FROM logs ORDER BY created_at DESC, id LIMIT 10000""")
+_report("cli_stats", lambda x: reports.cli_stats(x, AS_OF), f"""SELECT unnest(['total', 'high', 'medium', 'low', 'unique_ips', 'today', 'last_hour']) AS metric, unnest([count(*), count(*) FILTER (threat_level = 'high'), count(*) FILTER (threat_level = 'medium'), count(*) FILTER (threat_level = 'low'),
+ count(DISTINCT ip_address), count(*) FILTER (created_at::DATE = {NOW}::DATE), count(*) FILTER ({_LAST(3600)})]) AS value FROM logs UNION ALL (SELECT 'ip_address:' || ip_address, count(*) AS n FROM logs GROUP BY ip_address ORDER BY n DESC, ip_address LIMIT 5)
+ UNION ALL (SELECT 'type:' || type, count(*) AS n FROM logs GROUP BY type ORDER BY n DESC, type LIMIT 5)""")
+_report("purge_logs", lambda x: enrich.purged(x, AS_OF, 14).select(_COLS), f"SELECT {', '.join(_COLS)} FROM logs WHERE {_LAST(14 * 86400)}")
+_report("enriched_logs", lambda x: x.select("id", "country_code", "country_name", "city", "isp", "cloud_provider", "is_foreign", "is_cloud_ip"), "SELECT id, country_code, country_name, city, isp, cloud_provider, is_foreign, cloud_provider IS NOT NULL AS is_cloud_ip FROM logs")
+_report("enrich_candidates", lambda x: enrich.candidates(x, AS_OF), f"SELECT DISTINCT ip_address FROM logs WHERE {_LAST(7 * 86400)} AND country_code IS NULL")
+_report("log_lines", lambda x: x.select("id", export.log_line(F.col("threat_level"), F.col("type"), F.col("ip_address"), F.col("url"), F.col("confidence_score")).alias("line")), "SELECT id, concat('[', threat_level, '] Threat Detected: ', type, ' from ', ip_address, ' (', url, ') [confidence: ', confidence_score, '%]') AS line FROM logs")
+
+
+@query("purge_orphan_rules", WITH + f"SELECT id FROM (VALUES (1, 10), (2, 20), (3, NULL), (4, 99999999), (5, NULL)) AS r(id, made_from) WHERE made_from IS NULL OR made_from IN (SELECT id FROM logs WHERE {_LAST(30 * 86400)})")
+def purge_orphan_rules(spark, sf_dir):
+    return enrich.purged_rules(adapters.exclusion_rules(spark), enrich.purged(logs(spark, sf_dir), AS_OF, 30)).select(F.col("id").cast("int").alias("id"))
+
+
+@query("rule_list", "SELECT * FROM (VALUES (5, 'RCE Shell Function'), (4, 'SQL'), (2, 'Directory Traversal'), (1, 'XSS Script Tag')) AS r(id, pattern_label)")
+def rule_list(spark, sf_dir):
+    return enrich.listed_rules(adapters.exclusion_rules(spark), active_only=True).select(F.col("id").cast("int").alias("id"), "pattern_label")
+
+
+@query("exclusion_filter", f"WITH logs AS ({LOGS}) SELECT id, type, url FROM logs WHERE NOT EXISTS (SELECT 1 FROM {RULES} WHERE label = substring(type, 14) AND regexp_full_match(substring(url, 26), path_glob))")
+def exclusion_filter(spark, sf_dir):
+    return suppress.excluded(adapters.threat_logs(spark, sf_dir), adapters.exclusion_rules(spark)).select("id", "type", "url")
+
+
+_MARKS = "SELECT doc_id AS id FROM labels WHERE toxic = 1"
+
+
+def _marks(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+
+
+@query("false_positive_marks", f"WITH logs AS ({LOGS}) SELECT id, is_false_positive OR id IN ({_MARKS}) AS is_false_positive FROM logs")
+def false_positive_marks(spark, sf_dir):
+    return enrich.marked_false_positives(adapters.threat_logs(spark, sf_dir), _marks(spark, sf_dir)).select("id", "is_false_positive")
+
+
+@query("rules_from_marks", f"WITH logs AS ({LOGS}) SELECT substring(type, 14) AS pattern_label, substring(url, 26) AS path_pattern, id AS created_from_threat_id, true AS is_active FROM logs WHERE id IN ({_MARKS})")
+def rules_from_marks(spark, sf_dir):
+    return enrich.rules_from_marks(adapters.threat_logs(spark, sf_dir), _marks(spark, sf_dir))
+
+
+def _fold_sql(key: str, window: int) -> str:
+    """Recursive SQL that walks a key's seconds: keep marks those that begin a window."""
+    return f"""WITH RECURSIVE logs AS ({LOGS}), s AS (SELECT {key}, floor(epoch(created_at))::BIGINT AS sec, count(*) AS n, min(id) AS first FROM logs GROUP BY ALL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sec) AS k FROM s),
+ w AS (SELECT {key}, sec, n, first, k, sec AS start, true AS keep, n AS upto FROM o WHERE k = 1 UNION ALL
+       SELECT {", ".join("o." + c.strip() for c in key.split(","))}, o.sec, o.n, o.first, o.k, CASE WHEN o.sec >= w.start + {window} THEN o.sec ELSE w.start END, o.sec >= w.start + {window}, CASE WHEN o.sec >= w.start + {window} THEN o.n ELSE w.upto + o.n END
+       FROM w JOIN o ON {" AND ".join(f"o.{c.strip()} = w.{c.strip()}" for c in key.split(","))} AND o.k = w.k + 1) """
+
+
+@query("dedup_window", _fold_sql("ip_address, type", 86400) + "SELECT first AS id, ip_address, type FROM w WHERE keep")
+def dedup_window(spark, sf_dir):
+    return suppress.first_in_window(adapters.threat_logs(spark, sf_dir), ["ip_address", "type"], window_s=86400).select("id", "ip_address", "type")
+
+
+@query("dedup_5min", _fold_sql("ip_address, type", 300) + "SELECT first AS id, ip_address, type FROM w WHERE keep")
+def dedup_5min(spark, sf_dir):
+    return suppress.first_in_window(adapters.threat_logs(spark, sf_dir), ["ip_address", "type"]).select("id", "ip_address", "type")
+
+
+@query("ddos_counter", _fold_sql("ip_address", 86400) + "SELECT ip_address, sec, upto::BIGINT AS requests, least(upto - 3, n)::BIGINT AS over FROM w WHERE upto > 3")
+def ddos_counter(spark, sf_dir):
+    return suppress.floods(adapters.threat_logs(spark, sf_dir), 3, 86400)
+
+
+def _flat(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    found = df.select(key, F.explode(detect.flat_scan(F.col(text_col), custom=[r for r in patterns.custom_rules()[0] if r.validator is None])).alias("m"))
+    plain = {label for label, *_ in _portable()}
+    return found.select(key, "m.label", "m.level", "m.source").where(F.col("label").isin(sorted(plain))).groupBy("label", "level", "source").agg(F.count("*").alias("hits"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def _portable() -> list[tuple]:
+    """Shipped rules that need no look-around, which other engines lack."""
+    return [(r.label, r.level, s, patterns.to_re2(r.expression, r.flags)) for s, rs in (("middleware", patterns.default_rules()), ("custom", patterns.custom_rules()[0])) for r in rs if "(?!" not in r.expression and "(?<" not in r.expression]
+
+
+def _flat_sql(table: str, key: str, column: str) -> str:
+    return " UNION ALL ".join(f"SELECT {text(label)} AS label, {text(level)} AS level, {text(s)} AS source, count(*) AS hits, min({key}) AS first, max({key}) AS last FROM {table} WHERE regexp_matches({column}, {text(e)}) HAVING count(*) > 0" for label, level, s, e in _portable())
+
+
+@query("flat_scan_documents", _flat_sql("documents", "doc_id", "text"))
+def flat_scan_documents(spark, sf_dir):
+    return _flat(adapters.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("flat_scan_pages", _flat_sql("pages", "page_id", "html"))
+def flat_scan_pages(spark, sf_dir):
+    return _flat(adapters.table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+#: Made-up evasive texts, dealt out by id.
+_EVASIVE = ("UNION/**/SELECT", "a%2527b", "&#60;b&#62;", "\\u003cscript", "%u003c", "x%0d%0ay", "q%0az", "img%00.jpg", "plain words", "1%25%32")
+
+
+@query("evasion_scan", "WITH t AS (SELECT event_id AS id, " + f"([{', '.join(map(text, _EVASIVE))}])[event_id % {len(_EVASIVE)} + 1] AS t FROM events) " + " UNION ALL ".join(f"SELECT id, {text(r.label)} AS label FROM t WHERE regexp_matches(t, {text(patterns.to_re2(r.expression, r.flags))})" for r in patterns.evasion_rules()))
+def evasion_scan(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), adapters.pick(_EVASIVE, F.col("event_id")).alias("t"))
+    return e.select("id", F.explode(detect.evasions(F.col("t"), "query")).alias("m")).select("id", "m.label")
+
+
+_any = lambda c, words: "(" + " OR ".join(f"contains(lower({c}), {text(w)})" for w in words) + ")"
+
+
+@query("category_gate", "SELECT page_id, " + _any("html", fixed.PRESCREEN) + " AS screened, " + ", ".join(f"{_any('html', w)} AS {c}" for c, w in fixed.CATEGORY_KEYWORDS.items()) + " FROM pages")
+def category_gate(spark, sf_dir):
+    p = adapters.table(spark, sf_dir, "pages")
+    return p.select("page_id", detect.prescreened(F.col("html")).alias("screened"), detect.open_categories(F.col("html")).alias("o")).select("page_id", "screened", "o.*")
+
+
+@query("severity_catalog", " UNION ALL ".join(f"SELECT {k}::INTEGER AS ord, {text(s)} AS source, {text(r.label)} AS label, {text(r.category or '-')} AS category, {text(r.level)} AS level, {text(r.expression)} AS expression, {text(r.flags)} AS flags" for k, (s, r) in enumerate([(s, r) for s, rs in (("default", patterns.default_rules()), ("evasion", patterns.evasion_rules()), ("custom", patterns.custom_rules()[0])) for r in rs])))
+def severity_catalog(spark, sf_dir):
+    return patterns.catalogue(spark)
+
+
+_DIGIT = "CAST(substring(d, {}, 1) AS INTEGER)"
+
+
+@query("luhn_numbers", """WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{12,19}')) AS d FROM documents)
+ SELECT doc_id, d AS number, list_sum([CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN 2 * substring(d, i, 1)::INTEGER > 9 THEN 2 * substring(d, i, 1)::INTEGER - 9 ELSE 2 * substring(d, i, 1)::INTEGER END ELSE substring(d, i, 1)::INTEGER END FOR i IN range(1, length(d) + 1)]) % 10 = 0 AS valid FROM n""")
+def luhn_numbers(spark, sf_dir):
+    n = adapters.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{12,19}"), F.lit(0))).alias("number"))
+    return n.withColumn("valid", checksums.luhn(F.col("number")))
+
+
+_FLAT = lambda rows: str([x for row in rows for x in row])
+
+
+@query("verhoeff_orders", f"""WITH o AS (SELECT o_orderkey, reverse(o_orderkey::VARCHAR) AS d FROM orders), t AS (SELECT o_orderkey, [({_FLAT(checksums._TURN)})[(i % 8) * 10 + substring(d, i + 1, 1)::INTEGER + 1] FOR i IN range(0, length(d))] AS t FROM o)
+ SELECT o_orderkey, list_reduce(list_prepend(0, t), lambda c, x: ({_FLAT(checksums._TIMES)})[c * 10 + x + 1]) = 0 AS valid FROM t""")
+def verhoeff_orders(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "orders").select("o_orderkey", checksums.verhoeff(F.col("o_orderkey").cast("string")).alias("valid"))
+
+
+_AGENT_SQL = "(contains(lower(user_agent), 'mozilla/') AND contains(lower(user_agent), 'gecko') AND NOT " + _any("user_agent", fixed.SPOOFED) + ")"
+_UA_PARTS = [f"SELECT id, {text(label)} AS label, {text(level)} AS level FROM logs WHERE NOT {_AGENT_SQL} AND contains(lower(user_agent), {text(s)})" for s, label, level in fixed.USER_AGENTS]
+_UA_PARTS += [f"SELECT id, {text(m.capitalize() + ' detected')} AS label, 'medium' AS level FROM logs WHERE {_AGENT_SQL} AND contains(lower(user_agent), {text(m)})" for m in fixed.HEADLESS]
+_UA_PARTS += ["SELECT id, 'Empty User Agent' AS label, 'low' AS level FROM logs WHERE trim(user_agent) IN ('', '0', 'N/A', '-')"]
+
+
+@query("ua_scan", f"WITH logs AS ({LOGS}) " + " UNION ALL ".join(_UA_PARTS))
+def ua_scan(spark, sf_dir):
+    return adapters.threat_logs(spark, sf_dir).select("id", F.explode(detect.user_agent_matches(F.col("user_agent"))).alias("m")).select("id", "m.label", "m.level")
+
+
+@query("ua_attack_tools", f"WITH logs AS ({LOGS}) SELECT id, {_any('user_agent', fixed.ATTACK_TOOLS)} AS attack_tool FROM logs")
+def ua_attack_tools(spark, sf_dir):
+    return adapters.threat_logs(spark, sf_dir).select("id", scoring.attack_tool(F.col("user_agent")).alias("attack_tool"))
+
+
+_LOW = "lower(concat('/', ltrim(path, '/')))"
+_PROBE_SQL = "coalesce(" + ", ".join([f"CASE WHEN {_LOW} = {text(p.lower())} THEN {text(label)} END" for p, label in fixed.PROBES if "*" not in p] + [f"CASE WHEN {_LOW} GLOB {text(p.lower())} THEN {text(label)} END" for p, label in fixed.PROBES if "*" in p]) + ")"
+
+
+@query("probe_paths", f"WITH p AS ({PAGES}) SELECT page_id, path, {_PROBE_SQL} AS probe FROM p")
+def probe_paths(spark, sf_dir):
+    return adapters.page_requests(spark, sf_dir).select(F.col("request_id").alias("page_id"), "path", detect.probe_label(F.col("path")).alias("probe"))
+
+
+@query("confidence_score", f"""WITH m AS (SELECT event_id, event_id % 6 AS n, event_id % 3 = 0 AS high, event_id % 4 = 0 AS heavy, event_id % 5 = 0 AS tool FROM events), s AS (SELECT event_id,
+ CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, 20 + 15 * least(n - 1, 3) + CASE WHEN high THEN 15 ELSE 0 END + CASE WHEN heavy THEN 10 ELSE 0 END + CASE WHEN tool THEN 25 ELSE 0 END)) END::INTEGER AS score FROM m)
+ SELECT event_id, score, CASE WHEN score >= 76 THEN 'very_high' WHEN score >= 51 THEN 'high' WHEN score >= 26 THEN 'medium' ELSE 'low' END AS label FROM s""")
+def confidence_score(spark, sf_dir):
+    k = F.col("event_id")
+    e = adapters.table(spark, sf_dir, "events").select(k, scoring.score((k % 6).cast("int"), k % 3 == 0, k % 4 == 0, k % 5 == 0).alias("score"))
+    return e.withColumn("label", scoring.score_label(F.col("score")))
+
+
+_MASKED = ("PAN Number Detected", "Mobile Number Detected", "IFSC Code Detected", "Password Exposure", "Access Token Leak")
+
+
+def _mask_sql(column: str) -> str:
+    rules = [*patterns.default_rules(), *patterns.custom_rules()[0]]
+    for label in fixed.REDACTED:
+        if label in _MASKED:
+            column = "regexp_replace({}, {}, '[REDACTED]', 'g')".format(column, text(next(patterns.to_re2(r.expression, r.flags) for r in rules if r.label == label)))
+    return column
+
+
+@query("redact_payload", f"SELECT doc_id, md5({_mask_sql('text')}) AS masked, contains({_mask_sql('text')}, '[REDACTED]') AS hit FROM documents")
+def redact_payload(spark, sf_dir):
+    out = adapters.table(spark, sf_dir, "documents").select("doc_id", redact.mask_all(F.col("text"), _MASKED).alias("t"))
+    return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("masked"), F.col("t").contains("[REDACTED]").alias("hit"))
+
+
+@query("defang_urls", "SELECT page_id, replace(regexp_replace(url, '^https?://', 'hxxp://', 'i'), '.', '[.]') AS url FROM pages")
+def defang_urls(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "pages").select("page_id", export.defanged(F.col("url")).alias("url"))
+
+
+_NETS, _WHITE = ("10.0.0.0/26", "10.0.0.100", " 10.0.1.0/24 ", "bad"), ("10.0.0.8/29",)
+
+
+@query("ip_cidr_filter", f"WITH logs AS ({LOGS}), n AS (SELECT id, split_part(ip_address, '.', 3)::INT AS c, split_part(ip_address, '.', 4)::INT AS d FROM logs) SELECT id FROM n WHERE (c = 0 AND d < 64 OR c = 0 AND d = 100 OR c = 1) AND NOT (c = 0 AND d BETWEEN 8 AND 15)")
+def ip_cidr_filter(spark, sf_dir):
+    ip = F.col("ip_address")
+    return adapters.threat_logs(spark, sf_dir).where(network.in_v4(ip, _NETS) & ~network.in_v4(ip, _WHITE)).select("id")
+
+
+@query("ip_blocked", f"WITH logs AS ({LOGS}), n AS (SELECT id, split_part(ip_address, '.', 3)::INT AS c, split_part(ip_address, '.', 4)::INT AS d FROM logs) SELECT id FROM n WHERE (c = 0 AND d < 64 OR c = 0 AND d = 100 OR c = 1) AND NOT (c = 0 AND d BETWEEN 8 AND 15)")
+def ip_blocked(spark, sf_dir):
+    return adapters.threat_logs(spark, sf_dir).where(network.blocked(F.col("ip_address"), _NETS, _WHITE)).select("id")
+
+
+@query("normalize_pages")
+def normalize_pages(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "pages").select("page_id", normalize.normalize_segment(F.col("html")).alias("normalized"))
+
+
+@query("request_pipeline")
+def request_pipeline(spark, sf_dir):
+    """pages as requests, all the way to log rows."""
+    return detect.log_rows(adapters.page_requests(spark, sf_dir), EngineConfig(), adapters.exclusion_rules(spark))
+
+
+@query("request_alerts")
+def request_alerts(spark, sf_dir):
+    return export.alerts(request_pipeline(spark, sf_dir))
+
+
+@query("flood_rows")
+def flood_rows(spark, sf_dir):
+    return suppress.flood_rows(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400)
+
+
+@query("health_check", "SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema')) AS h(status, title)")
+def health_check(spark, sf_dir):
+    report = health.health(spark, schema.empty(spark, schema.THREAT_LOGS), schema.empty(spark, schema.EXCLUSION_RULES))
+    return report.select("status", "title")
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf_dir):
+    """The log's rows as one stream through the stateful de-duplication."""
+    kind = adapters.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    user, label = F.col("user_id"), F.concat(F.lit("[middleware] "), F.col("event_type"))
+    rows = stream.select(F.col("event_id").alias("id"), F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("ip_address"), label.alias("type"), F.col("ts").alias("created_at"))
+    name = f"dedup_{abs(hash(sf_dir)) % 10**8}"
+    q = state.deduplicated(rows, 86400, "60 days").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
