@@ -85,12 +85,13 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(1 << 12)
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each row (A-Z lower-cased), and the number of words of each row."""
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of each row: 64-bit hashes (A-Z lower-cased), starts, ends, and the number of words of each row."""
     global _POWERS
     n = len(raw)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets) - 1, np.int64)
     inside = ~_BREAK[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -103,7 +104,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     counts = np.diff(np.searchsorted(starts, offsets))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), none, none, counts
     longest = int((ends - starts).max())
     if longest > len(_POWERS):
         _POWERS = _powers(longest)
@@ -113,7 +114,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     value[~inside] = 0
     value *= _POWERS[np.minimum(place, len(_POWERS) - 1)]
     sums = np.add.reduceat(value, starts)
-    return mix64(sums + (ends - starts).astype(np.uint64)), counts
+    return mix64(sums + (ends - starts).astype(np.uint64)), starts, ends, counts
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each row (A-Z lower-cased), and the number of words of each row."""
+    hashes, _, _, counts = words_of(raw, offsets)
+    return hashes, counts
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:

@@ -8,6 +8,7 @@ combination is removed as often as the counts allow.  Pieces then find their pla
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import Scratch, table, text_slices, words_of
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; others are encoded anew each time.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers; beyond them it begins anew.
+REMEMBERED = 1_000_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 SALTS = 256
 
 
@@ -32,50 +35,121 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Known(dict):
-    """Ids of remembered words; of others, those that the present call has encoded."""
-
-    now: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.now[word]
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies show bytes as: printable ones as themselves, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit numbers.
+    """Token ids of texts.
 
-    The tokenizer's pieces never cross white space, so a text's ids are its words' ids in a row.
+    The tokenizer's pieces never cross white space, so a text's ids are its words' ids in a row; each word goes to the
+    tokenizer once and is found by its hash from then on.  Words of Latin letters, which the normaliser only lower-cases
+    and the pattern never splits, go straight to its model, many at a time.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.room = Tokenizer.from_file(path), _Known({"": b""}), remembered
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        fresh = list({w for words in split for w in words}.difference(self.known))
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
-        self.known.now = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(fresh, found, strict=True)}
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) < self.room:
-            self.known.update((w, e) for w, e in self.known.now.items() if len(w) <= 64)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.room = Tokenizer.from_file(path), remembered
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain, self.letters = pre_tokenizers.WhitespaceSplit(), _byte_letters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes: rising, of words that are not known."""
+        found = self._fresh(words)
+        data = [found[w] for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        ids = np.frombuffer(b"".join(data), "<u4")
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
+        self.size, self.hashes = np.insert(self.size, at, size), np.insert(self.hashes, at, hashes)
+        self.used += len(ids)
+
+    def slice_ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' ids, joined, and the number of ids of each row."""
+        hashes, starts, ends, counts = words_of(raw, offsets)
+        if not len(hashes):
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        if len(self.hashes) > self.room:
+            self._forget()
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))
+        fresh = self.hashes[at] != unique if len(self.hashes) else np.ones(len(unique), bool)
+        if fresh.any():
+            data = raw.tobytes()
+            self._learn(unique[fresh], [data[i:j].decode("utf-8", "replace") for i, j in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, unique)
+        size = self.size[at][which]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.begin[at][which] - upto + size, size) + np.arange(upto[-1])]
+        return ids, np.diff(np.append(0, upto)[np.append(0, np.cumsum(counts))])
+
+    def text_ids(self, text: str) -> np.ndarray:
+        """One text's ids from the tokenizer itself."""
+        return np.frombuffer(self._encode([text])[0], "<u4")
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else []
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+
+    def _encode_letters(self, words: list[str]) -> dict[str, bytes]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, self.plain
+        groups = [words[i : i + 128] for i in range(0, len(words), 128)]
+        out = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            data, ends = ids.tobytes(), [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            out.update((w, data[i:j]) for w, i, j in zip(group, ends, ends[1:], strict=False))
+        return out
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        plain, other = [], []
+        for w in words:
+            base = w[:-1] if w[-1] in ",." else w
+            if base.isalpha() and max(base) <= "\xff":
+                low = base.lower()
+                plain.append((w, low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)))
+            else:
+                other.append(w)
+        ids = self._encode_letters(list({k for _, k in plain}))
+        out = {w: ids[k] + self.marks[w[-1]] if w[-1] in ",." else ids[k] for w, k in plain}
+        out.update(zip(other, self._encode(other), strict=True))
         return out
 
 
 def _piece_batches(batches, path: str, capacity: int):
-    encode, end = WordEncoder(path), np.asarray([END_ID], "<u4").tobytes()
+    encode = WordEncoder(path)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, batch.num_rows, 256):
-            rows = [(i, j) for i, j in zip(ids.slice(at, 256).to_pylist(), encode(texts.slice(at, 256).to_pylist()), strict=True)]
-            out = []
-            for i, tokens in rows:
-                tokens += end
-                n = len(tokens) // 4
-                for k, lo in enumerate(range(0, n, capacity)):
-                    part = tokens[4 * lo : 4 * (lo + capacity)]
-                    out.append((i, k, lo, len(part) // 4, zlib.crc32(part)))
+        for at, rows, raw, offsets in text_slices(batch.column(0), batch.column(1), SLICE):
+            ids, counts = encode.slice_ids(raw, offsets)
+            low, ends, out = raw.tobytes().lower(), np.append(0, np.cumsum(counts)), []
+            odd = any(t in low for t in encode.special)
+            for k, doc in enumerate(batch.column(0).slice(at, rows).to_pylist()):
+                own = ids[ends[k] : ends[k + 1]]
+                if odd and any(t in low[offsets[k] : offsets[k + 1]] for t in encode.special):
+                    own = encode.text_ids(raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))
+                tokens = np.append(own, np.uint32(END_ID)).astype("<u4").tobytes()
+                for piece, lo in enumerate(range(0, len(tokens), 4 * capacity)):
+                    part = tokens[lo : lo + 4 * capacity]
+                    out.append((doc, piece, lo // 4, len(part) // 4, zlib.crc32(part)))
             doc, piece, start, length, crc = zip(*out, strict=True)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
