@@ -23,7 +23,7 @@ def coordinated_attacks(logs: DataFrame, as_of: str, seconds: int = 900, least:
     top = _top_groups(rows, "url", least, limit)
     ips = rows.join(F.broadcast(top.select("url")), "url").select("url", "ip_address").distinct()  # at most `limit` urls
     ips = ips.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("ip_address")), ",").alias("attacker_ips"))
-    return top.join(ips, "url").withColumn("duration_minutes", _span(60))
+    return top.join(ips, "url").withColumn("duration_minutes", _span(60)).orderBy(F.desc("unique_ips"), F.desc("attempts"), "url")
 
 
 def campaigns(logs: DataFrame, as_of: str, seconds: int = 86400, least: int = 5, limit: int = 15, sample: int = 10) -> DataFrame:
@@ -35,7 +35,7 @@ def campaigns(logs: DataFrame, as_of: str, seconds: int = 86400, least: int = 5,
     few = lambda c: F.slice(F.array_sort(c), 1, sample)
     part = ranked.groupBy("type", "salt").agg(few(F.collect_set("ip_address")).alias("ips"))
     ips = part.groupBy("type").agg(F.array_join(few(F.flatten(F.collect_list("ips"))), ",").alias("sample_ips"))
-    return top.join(ips, "type").withColumn("duration_hours", _span(3600))
+    return top.join(ips, "type").withColumn("duration_hours", _span(3600)).orderBy(F.desc("unique_ips"), F.desc("attempts"), "type")
 
 
 def rapid_attackers(logs: DataFrame, as_of: str, seconds: int = 300, least: int = 10, limit: int = 20) -> DataFrame:

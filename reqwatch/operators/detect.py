@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import fixed
+from ..functions.columns import let, sql_text
 from ..functions.normalize import normalize_segment
 from ..functions.patterns import Rule, any_glob, custom_rules, default_rules, evasion_rules, glob_to_regex
 from ..functions.checksums import passes
@@ -19,11 +20,6 @@ from .suppress import excluded
 MATCH = "struct<ord:int,label:string,level:string,source:string,context:string>"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _match(ord_: int, label: str, level: str, source: str, context: str) -> Column:
     return F.struct(F.lit(ord_).alias("ord"), F.lit(label).alias("label"), F.lit(level).alias("level"), F.lit(source).alias("source"), F.lit(context).alias("context"))
 
@@ -37,12 +33,12 @@ def contains_any(low: Column, words: list[str]) -> Column:
 
 def prescreened(text: Column) -> Column:
     """Whether a segment holds anything that makes a scan worth while."""
-    return contains_any(F.lower(text), fixed.PRESCREEN)
+    return let(F.lower(text), lambda low: contains_any(low, fixed.PRESCREEN))
 
 
 def open_categories(text: Column) -> Column:
     """The categories that the lower-cased text opens, as a struct of booleans."""
-    return F.struct(*(contains_any(F.lower(text), words).alias(c) for c, words in fixed.CATEGORY_KEYWORDS.items()))
+    return let(F.lower(text), lambda low: F.struct(*(contains_any(low, words).alias(c) for c, words in fixed.CATEGORY_KEYWORDS.items())))
 
 
 def flat_scan(text: Column, custom: list[Rule] | None = None, auth_path: Column | None = None, source: str = "middleware") -> Column:
@@ -64,38 +60,52 @@ def evasions(text: Column, context: str, source: str = "middleware") -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(r.exists), _match(k, r.label, r.level, source, context)) for k, r in enumerate(evasion_rules()))))
 
 
-def segment_matches(raw: Column, norm: Column, context: str, config: EngineConfig, auth_path: Column, source: str = "middleware") -> Column:
-    """Matches of one decoded segment in order: evasions on the text as it came, default rules, custom rules."""
-    raw = _capped(raw)
-    screened = F.lit(True) if context == "path" else prescreened(raw)
-
-    def rules(s: Column) -> Column:
-        found = []
-        gate = lambda r: (s["screened"] & s["open"][r.category]) if r.category in fixed.CATEGORY_KEYWORDS else F.lit(True)
-        for k, r in enumerate(default_rules()):
-            if config.mode != "relaxed" or r.level == "high":
-                found.append(F.when(gate(r) & s["norm"].rlike(r.exists), _match(100 + k, r.label, r.level, source, context)))
-        for k, r in enumerate(custom_rules(config.custom_rules, config.validators)[0]):
-            if r.contexts and context not in r.contexts:
-                continue
-            hit = gate(r) & s["norm"].rlike(r.exists)
-            if r.label in fixed.AUTH_SUPPRESSED:
-                hit = hit & ~auth_path
-            if r.validator:
-                hit = hit & passes(r.validator, s["norm"], r.java)
-            found.append(F.when(hit, _match(1000 + k, r.label, r.level, "custom", context)))
-        return F.concat(F.when(s["screened"], evasions(s["raw"], context, source)).otherwise(F.array().cast(f"array<{MATCH}>")), F.array_compact(F.array(*found)))
-
-    held = F.struct(raw.alias("raw"), norm.alias("norm"), screened.alias("screened"), open_categories(norm).alias("open"))
-    return F.when(raw == "", F.array().cast(f"array<{MATCH}>")).otherwise(_let(held, rules))
+def _sql_match(ord_: int, r: Rule, source: str, context: str) -> str:
+    return f"named_struct('ord', {ord_}, 'label', {sql_text(r.label)}, 'level', '{r.level}', 'source', {sql_text(source)}, 'context', '{context}')"
+
+
+def _sql_any(low: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({low}, {sql_text(w)})" for w in words) + ")"
+
+
+def segment_matches(raw: str, norm: str, context: str, config: EngineConfig, source: str = "middleware") -> Column:
+    """Matches of one decoded segment in order: evasions on the text as it came, default rules, custom rules.
+
+    raw, norm: names of the columns that hold the segment (of at most 8000 bytes) and its normalised text; auth_path is
+    a column too.
+    """
+    gate = lambda r: f"g.screened AND g.{r.category} AND" if r.category in fixed.CATEGORY_KEYWORDS else ""
+    case = lambda when, k, r, s: f"CASE WHEN {when} THEN {_sql_match(k, r, s, context)} END"
+    found = [case(f"g.screened AND s.raw RLIKE {sql_text(r.exists)}", k, r, source) for k, r in enumerate(evasion_rules())]
+    for k, r in enumerate(default_rules()):
+        if config.mode != "relaxed" or r.level == "high":
+            found.append(case(f"{gate(r)} s.norm RLIKE {sql_text(r.exists)}", 100 + k, r, source))
+    custom = [r for r in custom_rules(config.custom_rules, config.validators)[0] if not r.contexts or context in r.contexts]
+    for k, r in enumerate(custom):
+        auth = "NOT s.auth AND" if r.label in fixed.AUTH_SUPPRESSED else ""
+        found.append(case(f"{gate(r)} {auth} s.norm RLIKE {sql_text(r.exists)}", 1000 + k, r, "custom"))
+    screened = "true" if context == "path" else _sql_any("s.lraw", fixed.PRESCREEN)
+    gates = ", ".join([f"'screened', {screened}", *(f"'{c}', {_sql_any('s.lnorm', words)}" for c, words in fixed.CATEGORY_KEYWORDS.items())])
+    held = f"named_struct('raw', {raw}, 'norm', {norm}, 'lraw', lower({raw}), 'lnorm', lower({norm}), 'auth', auth_path)"
+    body = f"transform(array(named_struct({gates})), g -> array_compact(array({', '.join(found)})))[0]"
+    out = F.expr(f"CASE WHEN {raw} = '' THEN CAST(array() AS array<{MATCH}>) ELSE transform(array({held}), s -> {body})[0] END")
+    for r in custom:
+        if r.validator:
+            out = F.filter(out, _checked(r, F.col(norm)))
+    return out
+
+
+def _checked(rule: Rule, norm: Column):
+    return lambda m: (m["label"] != rule.label) | passes(rule.validator, norm, rule.java)
 
 
 def pattern_matches(df: DataFrame, config: EngineConfig, source: str = "middleware", column: str = "pattern_matches") -> DataFrame:
     """Adds the matches of all segments, path, query, body, headers and raw in turn.  Needs segments and auth_path."""
     contexts = ("path", "query", "body", "headers")
-    df = df.withColumns({f"_norm_{c}": normalize_segment(F.col("segments")[c]) for c in contexts})
+    cut = {f"_raw_{c}": _capped(F.col("segments")[c]) for c in contexts}
+    df = df.withColumns(cut | {f"_norm_{c}": normalize_segment(F.col("segments")[c]) for c in contexts})
     empty = F.array().cast(f"array<{MATCH}>")
-    per = [F.coalesce(segment_matches(F.col("segments")[c], F.col(f"_norm_{c}"), c, config, F.col("auth_path"), source), empty) for c in contexts]
+    per = [F.coalesce(segment_matches(f"_raw_{c}", f"_norm_{c}", c, config, source), empty) for c in contexts]
     df = df.withColumn("_decoded", F.concat(*per))
     raw = _capped(F.col("segments")["raw"])
     seen = F.transform("_decoded", lambda m: m["label"])
@@ -103,7 +113,9 @@ def pattern_matches(df: DataFrame, config: EngineConfig, source: str = "middlewa
     df = df.withColumn("_seen", seen).withColumn(column, F.concat("_decoded", F.when(prescreened(raw), extra).otherwise(empty)))
     if config.max_detections > 0:
         df = df.withColumn(column, F.slice(column, 1, config.max_detections))
-    return df.drop("_decoded", "_seen", *(f"_norm_{c}" for c in contexts))
+    # a row number keeps later filters above the matching, which would else be planned and run once for each mention
+    df = df.withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0")
+    return df.drop("_row", "_decoded", "_seen", *cut, *(f"_norm_{c}" for c in contexts))
 
 
 def user_agent_matches(user_agent: Column) -> Column:

@@ -6,17 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.patterns import custom_rules, default_rules
+from ..functions.columns import let
+from ..functions.patterns import Rule, custom_rules, default_rules
+
+
+def _step(rule: Rule, labels: Column, mask: str):
+    return lambda x: F.when(F.array_contains(labels, rule.label), F.regexp_replace(x, rule.java, mask)).otherwise(x)
 
 
 def masked(text: Column, labels: Column, config: EngineConfig | None = None) -> Column:
     """text with every match of each fired label's rules masked.  labels: the request's fired labels."""
     config = config or EngineConfig()
     rules = [*default_rules(), *custom_rules(config.custom_rules, config.validators)[0]]
+    mask = config.mask.replace("\\", "\\\\").replace("$", "\\$")
     out = text
     for label in config.redact_labels:
         for r in (r for r in rules if r.label == label):
-            out = F.when(F.array_contains(labels, label), F.regexp_replace(out, r.java, config.mask.replace("\\", "\\\\").replace("$", "\\$"))).otherwise(out)
+            out = let(out, _step(r, labels, mask))
     return out
 
 
