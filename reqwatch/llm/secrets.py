@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -264,7 +265,7 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, with every span found masked in the text."""
     shared = spark.sparkContext.broadcast(fit(docs))
-    schema = docs.schema.add("_redacted", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_redacted", T.StringType())])
     out = docs.mapInArrow(lambda it: _scan_batches(it, shared.value, True), schema)
     text = F.coalesce("_redacted", "text")
     out = out.withColumn("n_chars", F.when(F.col("_redacted").isNotNull(), F.length("_redacted").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
