@@ -104,7 +104,7 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     A null or empty text has no words and fails the base rule.  Other columns, whatever their names, pass untouched;
     rows that repeat are judged each for itself.
     """
-    raw, m = f"_{column}_counts", lambda n: F.col(f"_{column}_counts")[n]
+    raw, row, m = f"_{column}_counts", f"_{column}_row", lambda n: F.col(f"_{column}_counts")[n]
     value = {n: m("w")[n] for n in ("n_words", "n_stop_words", "n_repeat_words")} | {n: m("l")[n] for n in ("n_lines", "n_dup_lines")}
     value |= {n: m(n) for n in ("word_chars", "n_symbols", "n_capitals")}
     fails = []
@@ -114,7 +114,9 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     base = (value["n_words"] < 50) | (100 * value["n_repeat_words"] > 50 * value["n_words"])
     failed = F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>")
     verdict = F.struct(*(v.alias(n) for n, v in value.items()), base.alias("base_failed"), failed.alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept"))
-    return docs.withColumn(raw, measures(F.col(text_col), packed_words)).withColumn(column, verdict).drop(raw)
+    # a row number keeps filters on the verdict above the counting, which the optimiser would else copy into each condition
+    counted = docs.withColumn(raw, measures(F.col(text_col), packed_words)).withColumn(row, F.monotonically_increasing_id()).where(F.col(row) >= 0)
+    return counted.withColumn(column, verdict).drop(raw, row)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
