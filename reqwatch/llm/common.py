@@ -43,6 +43,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ROW_KEY = "_row_key"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Adds a key that no two rows share.  It is fixed only once written.  Its low bits are spread over partitions, see id_marks."""
+    n = F.monotonically_increasing_id()
+    return df.withColumn(ROW_KEY, n.bitwiseXOR(F.xxhash64(F.shiftright(n, 33)).bitwiseAND(F.lit(MARKS - 1))))
+
+
 def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES):
     """Yields (first row, rows, bytes as uint8, offsets) for runs of whole rows of about limit bytes; a null text is empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_BREAKS, Scratch, table
+from .common import ROW_KEY, WORD_BREAKS, Scratch, table, with_row_key
 
 SEED, BUDGET_SHARE, MAX_EPOCHS = 20240601, 0.5, 2
 LEVELS = ("domain", "lang", "source")
@@ -107,18 +107,19 @@ def domain_of(source: Column) -> Column:
 WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("forum",): 2.0, ("reference",): 1.0, ("web", "en"): 3.0, ("books", "en"): 3.0, ("forum", "en"): 3.0, ("reference", "en"): 3.0}
 
 
-def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", key_col: str | None = None) -> DataFrame:
     """(doc_id, epoch, domain, lang, source, n_tokens, take): the documents of each epoch and how many of their tokens count.
 
     budget: in tokens; None: budget_share of all tokens.  Null languages, sources and domains are leaves of their own.
-    Documents without tokens are never taken.  Rows that repeat are taken each for itself.
+    Documents without tokens are never taken.  Rows that repeat, or have no id, are taken each for itself.  key_col: a
+    column that tells rows apart and goes along as row_key; it decides only between rows of one id and text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     text = F.col(text_col).cast("string")
     slim = docs.select(
         F.col(id_col).alias("doc_id"), domain_of(F.col(source_col)).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-        words_of(text).alias("n_tokens"), F.xxhash64(text).alias("tie"),
+        words_of(text).alias("n_tokens"), F.xxhash64(text).alias("tie"), *([F.col(key_col).alias("row_key")] if key_col else []),
     )
     slim = scratch.save(slim.where("n_tokens > 0"), "slim")
     totals = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
@@ -132,8 +133,9 @@ def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int |
     # as many rows as the target tree has leaves, at most MAX_LEAVES
     plan = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, epochs long, rest long"))
     same = [slim[k].eqNullSafe(plan[k]) for k in LEVELS]
-    rows = slim.join(plan, same).select("doc_id", *(slim[k] for k in LEVELS), "n_tokens", "tie", "epochs", "rest")
-    names = ["doc_id", "epoch", *LEVELS, "n_tokens", "take"]
+    key = ["row_key"] if key_col else []
+    rows = slim.join(plan, same).select("doc_id", *(slim[k] for k in LEVELS), "n_tokens", "tie", *key, "epochs", "rest")
+    names = ["doc_id", "epoch", *LEVELS, "n_tokens", "take", *key]
     complete = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).withColumn("take", F.col("n_tokens")).select(names)
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("tie"))
     part = rows.where("rest > 0").withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 44) % buckets)
@@ -142,17 +144,22 @@ def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int |
     p, s = part.alias("p"), scratch.save(sums, "sums").alias("s")
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in LEVELS] + [F.col("p.bucket") == F.col("s.bucket")]
     near = p.join(s, on).where("before < rest").select("p.*", "before")
-    inside = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("order", "doc_id", "tie", *key).rowsBetween(Window.unboundedPreceding, -1))
     near = near.withColumn("at", F.col("before") + F.coalesce(inside, F.lit(0))).where("at < rest")
     prefix = near.withColumn("epoch", F.col("epochs")).withColumn("take", F.least("n_tokens", F.col("rest") - F.col("at"))).select(names)
     return complete.unionByName(prefix)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of which the mix takes tokens, once and whole, with the columns they had."""
+    """Pipeline stage: rows of which the mix takes tokens, once and whole, with the columns they had.
+
+    Each row stands for itself, by a written row key: of rows without an id or with the same id those stay that were
+    taken, and no others.
+    """
     scratch = Scratch(spark, "mixed")
-    taken = scratch.save(mix(docs, budget_share=PIPELINE_SHARE, max_epochs=1).select(F.col("doc_id").alias("_taken")).distinct(), "taken")
-    return docs.join(taken, F.col("doc_id") == F.col("_taken"), "left_semi")
+    keyed = scratch.save(with_row_key(docs), "keyed")
+    taken = scratch.save(mix(keyed, budget_share=PIPELINE_SHARE, max_epochs=1, key_col=ROW_KEY).select(F.col("row_key").alias("_taken")), "taken")
+    return keyed.join(taken, F.col(ROW_KEY) == F.col("_taken"), "left_semi").select(docs.columns)
 
 
 PIPELINE_SHARE = 0.8

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from reqwatch.llm import mixing
 from reqwatch.llm.common import table
 
 
@@ -21,3 +22,17 @@ def test_empty(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_mixing_keeps_rows_without_ids(spark, monkeypatch):
+    texts = [f"text {k} " + "word " * 20 for k in range(40)]
+    rows = [(None if k % 2 else k // 10, t, "en", f"src{k % 2}", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    everything = mixing.mix(docs, budget_share=1.0, max_epochs=1)
+    assert everything.count() == 40
+    monkeypatch.setattr(mixing, "PIPELINE_SHARE", 1.0)
+    assert sorted(map(repr, mixing.mixing_stage(spark, docs, "").collect())) == sorted(map(repr, docs.collect()))
+    monkeypatch.setattr(mixing, "PIPELINE_SHARE", 0.5)  # each row stands for itself, with or without an id
+    taken = mixing.mix(docs, budget_share=0.5, max_epochs=1)
+    got = mixing.mixing_stage(spark, docs, "")
+    assert got.count() == taken.count() < 40 and got.where("doc_id is null").count() == taken.where("doc_id is null").count() > 0
