@@ -19,8 +19,6 @@ from .common import ROW_KEY, WORD_BREAKS, Scratch, table, with_row_key
 
 SEED, BUDGET_SHARE, MAX_EPOCHS = 20240601, 0.5, 2
 LEVELS = ("domain", "lang", "source")
-#: Rows of the leaf table that may come to the driver; the target tree, not the data, sets how many leaves there are.
-MAX_LEAVES = 200_000
 #: About so many documents of a leaf are put in full order, around the end of its prefix.
 BUCKET_DOCS = 2_000
 
@@ -73,7 +71,10 @@ def spread(node: Node, budget: int) -> None:
 
 
 def leaf_budgets(totals: list[tuple[tuple, int]], weights: Mapping[tuple, float], budget: int, max_epochs: int) -> dict[tuple, int]:
-    """Tokens for each leaf.  weights: by path, such as ("web",) or ("web", "en"); 1 where it has none."""
+    """Tokens for each leaf.  weights: by path, such as ("web",) or ("web", "en"); 1 where it has none.
+
+    The plain form of budgets(), which the tests hold against it.
+    """
     root = Node()
     for path, tokens in totals:
         node = root
@@ -91,6 +92,62 @@ def leaf_budgets(totals: list[tuple[tuple, int]], weights: Mapping[tuple, float]
     return out
 
 
+def _split(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
+    """share() in Spark: nodes (parents, name, capacity, weight, above) with the budget of each, out of its parent's, above.
+
+    A node is full if the level of water, the tokens a weight at which those that fill up earlier are full, reaches it.
+    Whole parts first, then one token each by the largest fraction, as share() has it.
+    """
+    left = F.least(F.col("above"), F.sum("usable").over(Window.partitionBy(*parents)))
+    out = nodes.withColumn("usable", F.when((F.col("weight") > 0) & (F.col("capacity") > 0), F.col("capacity")).otherwise(0))
+    out = out.withColumn("left", left).withColumn("open", F.col("usable") > 0)
+    fill = Window.partitionBy(*parents, "open").orderBy(F.when(F.col("open"), F.col("capacity") / F.col("weight")), F.col(name).asc_nulls_last())
+    before = fill.rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*parents, "open").orderBy(F.when(F.col("open"), F.col("capacity") / F.col("weight")).desc(), F.col(name).desc_nulls_first())
+    after = F.sum("weight").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest = F.col("left") - F.coalesce(F.sum("usable").over(before), F.lit(0))
+    out = out.withColumn("full", F.col("open") & (F.col("weight") / after * rest >= F.col("capacity")))
+    kind = Window.partitionBy(*parents)
+    free = F.col("open") & ~F.col("full")
+    out = out.withColumn("free", free).withColumn("rest", F.col("left") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(kind), F.lit(0)))
+    out = out.withColumn("exact", F.when(F.col("free"), F.col("weight") / F.sum(F.when(F.col("free"), F.col("weight"))).over(kind) * F.col("rest")))
+    out = out.withColumn("part", F.floor("exact")).withColumn("more", F.col("rest") - F.sum("part").over(kind))
+    rank = F.row_number().over(Window.partitionBy(*parents, "free").orderBy(F.col("part") - F.col("exact"), F.col(name).asc_nulls_last()))
+    own = F.col("part") + F.when(rank <= F.col("more"), 1).otherwise(0)
+    return out.select(*parents, name, F.when(F.col("full"), F.col("capacity")).when(F.col("free"), own).otherwise(0).cast("long").alias("budget"))
+
+
+def _beside(rows: DataFrame, more: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """rows with the other columns of more, by keys that may be null."""
+    more = more.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return rows.join(more, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how).drop(*(f"_{k}" for k in keys))
+
+
+def budgets(leaves: DataFrame, weights: Mapping[tuple, float], budget: int, max_epochs: int) -> DataFrame:
+    """(domain, lang, source, epochs, rest) of the leaves (domain, lang, source, t): leaf_budgets() in Spark, level by level.
+
+    No level comes to the driver, so the number of leaves is not bounded; one task sorts the children of one node.
+    """
+    spark = leaves.sparkSession
+    capacity = leaves.select(*LEVELS, (F.col("t") * max_epochs).alias("capacity"))
+    above = None
+    for depth in range(1, len(LEVELS) + 1):
+        names, parents = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
+        nodes = capacity.groupBy(*names).agg(F.sum("capacity").alias("capacity"))
+        listed = [(*path, float(w)) for path, w in weights.items() if len(path) == depth]
+        if listed:
+            given = spark.createDataFrame(listed, ", ".join(f"{k} string" for k in names) + ", weight double")
+            nodes = _beside(nodes, given, names, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        else:
+            nodes = nodes.withColumn("weight", F.lit(1.0))
+        if above is None:
+            nodes = nodes.withColumn("above", F.lit(budget).cast("long"))
+        else:
+            nodes = _beside(nodes, above.withColumnRenamed("budget", "above"), parents)
+        above = _split(nodes, parents, names[-1])
+    return _beside(leaves, above, LEVELS).select(*LEVELS, F.expr("budget div t").alias("epochs"), F.expr("budget % t").alias("rest"))
+
+
 def words_of(text: Column) -> Column:
     """Words between white space, the tokens of a budget."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(WORD_BREAKS))
@@ -122,16 +179,10 @@ def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int |
         words_of(text).alias("n_tokens"), F.xxhash64(text).alias("tie"), *([F.col(key_col).alias("row_key")] if key_col else []),
     )
     slim = scratch.save(slim.where("n_tokens > 0"), "slim")
-    totals = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves; coarsen the target tree")
-    path = lambda r: tuple(r[k] for k in LEVELS)
-    whole = sum(r.t for r in totals)
-    given = leaf_budgets([(path(r), r.t) for r in totals], weights, int(whole * budget_share) if budget is None else budget, max_epochs)
-    buckets = 1 << max(0, (max((r.n for r in totals), default=1) // BUCKET_DOCS).bit_length())
-    plan = [(*path(r), given[path(r)] // r.t, given[path(r)] % r.t) for r in totals]
-    # as many rows as the target tree has leaves, at most MAX_LEAVES
-    plan = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, epochs long, rest long"))
+    leaves = scratch.save(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")), "leaves")
+    whole, most = leaves.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    plan = scratch.save(budgets(leaves, weights, int(whole * budget_share) if budget is None else budget, max_epochs), "plan")
+    buckets = 1 << max(0, (most // BUCKET_DOCS).bit_length())
     same = [slim[k].eqNullSafe(plan[k]) for k in LEVELS]
     key = ["row_key"] if key_col else []
     rows = slim.join(plan, same).select("doc_id", *(slim[k] for k in LEVELS), "n_tokens", "tie", *key, "epochs", "rest")

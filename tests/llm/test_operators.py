@@ -247,6 +247,25 @@ def test_mixing(docs, rows, none, monkeypatch):
     assert mixing.mix(none).count() == 0
 
 
+def test_budgets_in_spark(spark):
+    r = random.Random(5)
+    for trial in range(4):
+        weights = dict(mixing.WEIGHTS) | {("web", None): 0.0, ("books", "en", "s3"): 2.5, ("other",): 0.7} if trial % 2 else {}
+        paths = {(r.choice(["web", "books", "other", None]), r.choice(["en", "de", None]), r.choice([None, *(f"s{k}" for k in range(12))])) for _ in range(90)}
+        totals = [(p, r.choice([1, 7, r.randint(1, 5000)])) for p in sorted(paths, key=repr)]
+        budget = int(sum(t for _, t in totals) * [0.5, 0.9, 0.05, 3][trial])
+        df = spark.createDataFrame([(*p, t) for p, t in totals], "domain string, lang string, source string, t long")
+        got = {(x.domain, x.lang, x.source): (x.epochs, x.rest) for x in mixing.budgets(df, weights, budget, 2).collect()}
+        t = dict(totals)
+        assert got == {p: divmod(b, t[p]) for p, b in mixing.leaf_budgets(totals, weights, budget, 2).items()}
+
+
+def test_mixing_many_sources(spark):
+    n = 200_100  # more leaves than ever came to the driver
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("host"), "id", F.lit("x")).alias("source"))
+    assert mixing.mix(docs, budget_share=0.5).agg(F.sum("take")).first()[0] == n
+
+
 # op 1 and op 5
 def test_chunks(docs, rows, none):
     got = by_id(chunks.chunk_dedup(docs))
