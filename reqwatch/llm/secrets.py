@@ -3,7 +3,8 @@
 Base findings always stand.  Candidates are long runs of key-like characters that no base finding covers; the network
 sees each with its surroundings and adds the ones that score at or above a threshold.  It is trained on labelled
 findings: a bounded sample of the documents' own candidates, labelled by the base patterns, and made-up findings in
-public key formats.  The threshold is the highest that still finds RECALL of the held-out positives.
+public key formats.  Candidates that may be keys themselves (a public format, or random letters) teach nothing.  The
+threshold is the highest that still finds RECALL of the held-out positives and of those that no base pattern finds.
 """
 
 from __future__ import annotations
@@ -59,12 +60,29 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
-def _view(text: str, start: int, end: int) -> str:
+def _views(text: str, start: int, end: int) -> list[str]:
     left = text[max(0, start - LEFT) : start].rjust(LEFT, "\0")
     body = text[start:end]
     if len(body) > BODY:
         body = body[: BODY // 2] + body[-(BODY - BODY // 2) :]
-    return left + body.ljust(BODY, "\0") + text[end : end + RIGHT].ljust(RIGHT, "\0")
+    return [left + body.ljust(BODY, "\0") + text[end : end + RIGHT].ljust(RIGHT, "\0")]
+
+
+#: Beginnings of public key formats, at the start of a word, with what must follow.
+PUBLIC = re.compile(r"(?<![A-Za-z0-9])(?:gh[opsur]_|github_pat_|[rs]k_(?:live|test)_|sk-|xox[abeoprs]-|AIza|eyJ|glpat-|SG\.|npm_|AKIA|ASIA|hf_|pypi-)[A-Za-z0-9+/_.=-]{10,}")
+RUN = re.compile(r"[A-Za-z0-9+]{16,}")
+
+
+def may_be_key(s: str) -> bool:
+    """Whether a candidate holds a public key format, or a run that changes between cases and digits as random letters do."""
+    if PUBLIC.search(s):
+        return True
+    for m in RUN.finditer(s):
+        kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in m.group()]
+        changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / (len(kinds) - 1)
+        if 0 in kinds and len(set(kinds)) > 1 and changes >= 0.25 or changes >= 0.4:
+            return True
+    return False
 
 
 def encode(views: list[str]) -> np.ndarray:
@@ -83,6 +101,8 @@ class Network:
     shift: np.ndarray
     threshold: float = 0.5
     scale: float = 1.0
+    #: Of the held-out findings: shares of positives, of positives that no base pattern finds, and of negatives found.
+    held: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     @staticmethod
     def fresh(rng: np.random.Generator) -> Network:
@@ -135,17 +155,32 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     parts[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Fits the slope of the scores, then takes the highest threshold with the recall asked for, 0.5 at least."""
+    def calibrate(self, codes: np.ndarray, owner: np.ndarray, y: np.ndarray, new: np.ndarray, recall: float) -> None:
+        """Fits the slope of the scores, then takes the highest threshold with the recall asked for.
+
+        codes: views, of the findings that owner numbers; y, new: of each finding, whether it is positive and whether no
+        base pattern finds it.  A finding scores as its best view.
+        """
         z = np.concatenate([self._forward(codes[i : i + 512])[0] for i in range(0, len(codes), 512)])
-        loss = lambda s: np.mean(np.logaddexp(0, -(2 * y - 1) * z * s))
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, owner, z)
+        loss = lambda s: np.mean(np.logaddexp(0, -(2 * y - 1) * best * s))
         self.scale = min(np.geomspace(0.1, 4, 25), key=loss)
-        positive = np.sort(self.score(codes[y > 0]))
-        self.threshold = max(0.5, float(positive[int((1 - recall) * len(positive))])) if len(positive) else 0.5
+        score = np.full(len(y), -np.inf)
+        np.maximum.at(score, owner, self.score(codes))
+        groups = [np.sort(score[y > 0]), np.sort(score[(y > 0) & new])]
+        self.threshold = min((float(g[int((1 - recall) * len(g))]) for g in groups if len(g)), default=0.5)
+        share = lambda rows: float((score[rows] >= self.threshold).mean()) if rows.any() else 0.0
+        self.held = share(y > 0), share((y > 0) & new), share(y == 0)
 
 
 def made_up(rng: random.Random, words: list[str], n: int) -> list[tuple[str, int]]:
     """Views of made-up findings: public key formats (1) and harmless long strings (0), amid words."""
+    return [(v, k) for views, k, _ in made_up_findings(rng, words, n) for v in views]
+
+
+def made_up_findings(rng: random.Random, words: list[str], n: int) -> list[tuple[list[str], int, bool]]:
+    """(views, label, whether no base pattern finds it)."""
     al, up, hx = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
     take = lambda chars, lo, hi: "".join(rng.choices(chars, k=rng.randint(lo, hi)))
     word = lambda: rng.choice(words)
@@ -168,32 +203,46 @@ def made_up(rng: random.Random, words: list[str], n: int) -> list[tuple[str, int
         body = rng.choice(secret if k % 2 else harmless)()
         lead = " ".join(word() for _ in range(3)) + rng.choice([" ", "\n", ' "', "=", ": "])
         text = lead + body + rng.choice([" ", "\n", '" ', ", "]) + word()
-        out.append((_view(text, len(lead), len(lead) + len(body)), k % 2))
+        inside = any(s < len(lead) + len(body) and len(lead) < e for s, e, _ in base_spans(text))
+        out.append((_views(text, len(lead), len(lead) + len(body)), k % 2, not inside))
     return out
 
 
+#: Views of one finding of the documents that training takes; scans read all.
+TAUGHT = 4
+
+
 def labelled_views(text: str) -> list[tuple[str, int]]:
-    """The text's own findings as the network sees them: base findings' values (1) and other candidates (0)."""
+    """The text's own findings as the network sees them: base findings' values (1) and other candidates (0).
+
+    Candidates that may be keys are not labelled: no base pattern tells what they are.
+    """
     spans = base_spans(text)
     out = []
     for s, e, kind in spans:
         start = ASSIGN.match(text, s).start(2) if kind == "assign" else s
-        out.append((_view(text, start, e), 1))
-    return out + [(_view(text, s, e), 0) for s, e in candidates(text, spans)]
+        out += [(v, 1) for v in _some(_views(text, start, e))]
+    return out + [(v, 0) for s, e in candidates(text, spans) if not may_be_key(text[s:e]) for v in _some(_views(text, s, e))]
+
+
+def _some(views: list[str]) -> list[str]:
+    return views if len(views) <= TAUGHT else [views[k * (len(views) - 1) // (TAUGHT - 1)] for k in range(TAUGHT)]
 
 
 def train_network(views: list[tuple[str, int]], seed: int = SEED, recall: float = RECALL) -> Network:
-    """Fits, calibrates and returns the network.  Every fifth example is held out for the calibration."""
+    """Fits, calibrates and returns the network.  Every fifth finding is held out for the calibration."""
     words = sorted({w for v, _ in views for w in v[:LEFT].strip("\0").split()[1:-1] if w.isalpha() and len(w) < 12})
-    rows = views + made_up(random.Random(seed), words if len(words) > 20 else [*words, "alpha", "river", "stone", "under", "paper"], MADE_UP)
+    rows = [([v], k, False) for v, k in views] + made_up_findings(random.Random(seed), words if len(words) > 20 else [*words, "alpha", "river", "stone", "under", "paper"], MADE_UP)
     rng = np.random.default_rng(seed)
-    codes, y = encode([v for v, _ in rows]), np.array([k for _, k in rows], float)
-    order = rng.permutation(len(y))
-    codes, y = codes[order], y[order]
-    held = np.arange(len(y)) % 5 == 0
+    rows = [rows[k] for k in rng.permutation(len(rows))]
     net = Network.fresh(rng)
-    net.train(codes[~held], y[~held], rng)
-    net.calibrate(codes[held], y[held], recall)
+    parts = []
+    for own in ([r for k, r in enumerate(rows) if k % 5], rows[::5]):
+        owner = np.repeat(np.arange(len(own)), [len(v) for v, _, _ in own])
+        parts.append((encode([x for v, _, _ in own for x in v]), owner, np.array([k for _, k, _ in own], float), np.array([n for _, _, n in own], bool)))
+    codes, owner, y, _ = parts[0]
+    net.train(codes, y[owner], rng)
+    net.calibrate(*parts[1], recall)
     return net
 
 
@@ -213,18 +262,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     return train_network([(r.view, r.label) for r in views.collect()])
 
 
+#: Views that are scored at once.
+SCORED = 8_192
+
+
+def _best(best: dict, owner: list[tuple], scores: np.ndarray) -> None:
+    for key, score in zip(owner, scores, strict=True):
+        best[key] = max(score, best.get(key, 0.0))
+
+
 def _scan_batches(batches, net: Network, redact: bool):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        found, views, owner = [], [], []
+        found, views, owner, best = [], [], [], {}
         for k, t in enumerate(texts):
             spans = base_spans(t)
             found.append(spans)
             for s, e in candidates(t, spans):
-                views.append(_view(t, s, e))
-                owner.append((k, s, e))
+                for v in _views(t, s, e):
+                    views.append(v)
+                    owner.append((k, s, e))
+                    if len(views) >= SCORED:
+                        _best(best, owner, net.score(encode(views)))
+                        views, owner = [], []
+        _best(best, owner, net.score(encode(views)))
         extra: dict[int, list] = {}
-        for (k, s, e), score in zip(owner, net.score(encode(views)), strict=True):
+        for (k, s, e), score in best.items():
             if score >= net.threshold:
                 extra.setdefault(k, []).append((s, e, "cnn"))
         rank = {kind: i for i, kind in enumerate((*KINDS, "cnn"))}
