@@ -5,6 +5,7 @@ sees each with its surroundings and adds the ones that score at or above a thres
 findings: a bounded sample of the documents' own candidates, labelled by the base patterns, and made-up findings in
 public key formats.  Candidates that may be keys themselves (a public format, or random letters) teach nothing.  The
 threshold is the highest that still finds RECALL of the held-out positives and of those that no base pattern finds.
+A candidate longer than the network's view is read in overlapping views; the highest score counts.
 """
 
 from __future__ import annotations
@@ -61,11 +62,13 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def _views(text: str, start: int, end: int) -> list[str]:
-    left = text[max(0, start - LEFT) : start].rjust(LEFT, "\0")
-    body = text[start:end]
-    if len(body) > BODY:
-        body = body[: BODY // 2] + body[-(BODY - BODY // 2) :]
-    return [left + body.ljust(BODY, "\0") + text[end : end + RIGHT].ljust(RIGHT, "\0")]
+    """Views of BODY characters and their surroundings that cover the candidate, each half over the one before."""
+    ats = [start] if end - start <= BODY else [*range(start, end - BODY, BODY // 2), end - BODY]
+    return [_view(text, at, min(at + BODY, end)) for at in ats]
+
+
+def _view(text: str, start: int, end: int) -> str:
+    return text[max(0, start - LEFT) : start].rjust(LEFT, "\0") + text[start:end].ljust(BODY, "\0") + text[end : end + RIGHT].ljust(RIGHT, "\0")
 
 
 #: Beginnings of public key formats, at the start of a word, with what must follow.
