@@ -174,6 +174,24 @@ def flat_scan_pages(spark, sf_dir):
     return _flat(adapters.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+def _flat_all(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Every shipped rule with its check digits, look-around or not; other engines cannot say these, so there is no SQL."""
+    config = EngineConfig()
+    custom = patterns.custom_rules(config.custom_rules, config.validators)[0]
+    found = df.select(key, F.explode(detect.flat_scan(F.col(text_col), custom=custom)).alias("m"))
+    return found.groupBy("m.label", "m.level", "m.source").agg(F.count("*").alias("hits"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+@query("flat_scan_documents_all")
+def flat_scan_documents_all(spark, sf_dir):
+    return _flat_all(adapters.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("flat_scan_pages_all")
+def flat_scan_pages_all(spark, sf_dir):
+    return _flat_all(adapters.table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 #: Made-up evasive texts, dealt out by id.
 _EVASIVE = ("UNION/**/SELECT", "a%2527b", "&#60;b&#62;", "\\u003cscript", "%u003c", "x%0d%0ay", "q%0az", "img%00.jpg", "plain words", "1%25%32")
 
@@ -268,6 +286,13 @@ def redact_payload(spark, sf_dir):
     return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("masked"), F.col("t").contains("[REDACTED]").alias("hit"))
 
 
+@query("redact_payload_all")
+def redact_payload_all(spark, sf_dir):
+    """Every label that is redacted, with look-around or not; without SQL for the latter's sake."""
+    out = adapters.table(spark, sf_dir, "documents").select("doc_id", redact.mask_all(F.col("text"), tuple(fixed.REDACTED)).alias("t"))
+    return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("masked"), F.col("t").contains("[REDACTED]").alias("hit"))
+
+
 @query("defang_urls", "SELECT page_id, replace(regexp_replace(url, '^https?://', 'hxxp://', 'i'), '.', '[.]') AS url FROM pages")
 def defang_urls(spark, sf_dir):
     return adapters.table(spark, sf_dir, "pages").select("page_id", export.defanged(F.col("url")).alias("url"))
