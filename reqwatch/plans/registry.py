@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -341,12 +343,13 @@ def health_check(spark, sf_dir):
 
 @query("stream_dedup")
 def stream_dedup(spark, sf_dir):
-    """The log's rows as one stream through the stateful de-duplication."""
+    """The log's rows as one stream through the stateful de-duplication, written as Parquet and read back."""
     kind = adapters.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a glob may be one file or a folder
     user, label = F.col("user_id"), F.concat(F.lit("[middleware] "), F.col("event_type"))
-    rows = stream.select(F.col("event_id").alias("id"), F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("ip_address"), label.alias("type"), F.col("ts").alias("created_at"))
-    name = f"dedup_{abs(hash(sf_dir)) % 10**8}"
-    q = state.deduplicated(rows, 86400, "60 days").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    rows = stream.select(F.col("event_id").alias("id"), F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("ip_address"), label.alias("type"), F.col("ts").cast("timestamp").alias("created_at"))
+    root = f"{state.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = state.deduplicated(rows, 86400, "60 days")
+    q = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{root}/rows")

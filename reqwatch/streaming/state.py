@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,6 +16,21 @@ DEDUP_SCHEMA = "id long, ip_address string, type string, created_at timestamp"
 FLOOD_SCHEMA = "ip_address string, started timestamp, requests long"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for what all executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if spark.conf.get("spark.master", "local").startswith("local["):
+        return "file:///tmp/checkpoints/reqwatch"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def firsts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The first row of each second, in order, with sec."""
+    sec = pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000
+    return pdf.assign(sec=sec).sort_values(["created_at", "id"]).drop_duplicates("sec")
+
+
 def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minutes") -> DataFrame:
     """The stream's rows (id, ip_address, type, created_at) that are first in their key's anchored window."""
 
@@ -24,10 +39,11 @@ def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minu
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["created_at", "id"])
-        seconds = pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000
+        pdf = None
+        for batch in batches:  # one row a second is held, so a hot key grows with its seconds and not with its rows
+            pdf = firsts(batch if pdf is None else pd.concat([pdf, firsts(batch)]))
         keep = []
-        for sec in seconds:
+        for sec in pdf["sec"]:
             ok = last is None or sec >= last + window_s
             last = sec if ok else last
             keep.append(ok)

@@ -41,3 +41,22 @@ def test_stream_equals_batch(spark, sf_dir):
 @pytest.mark.parametrize("name", ["normalize_pages", "request_pipeline", "request_alerts", "flood_rows"])
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_stream_rows_and_sink(spark, sf_dir):
+    out = QUERIES["stream_dedup"](spark, sf_dir)
+    assert all("/rows/" in f for f in out.inputFiles()) and out.inputFiles()  # written, not held on the driver
+    got, batch = {(r.ip_address, r.type, r.created_at.replace(microsecond=0)) for r in out.collect()}, QUERIES["dedup_window"](spark, sf_dir)
+    assert len(got) == batch.count()
+
+
+def test_first_row_of_each_second():
+    import pandas as pd
+
+    from reqwatch.streaming import state
+
+    at = pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.9", "2024-01-01 00:00:00.2", "2024-01-01 00:00:01.5", "2024-01-01 00:00:00.2"])
+    pdf = pd.DataFrame({"id": [9, 1, 5, 3, 4], "created_at": at})
+    assert state.firsts(pdf)["id"].tolist() == [4, 3]
+    parts = state.firsts(pd.concat([state.firsts(pdf[:3]), state.firsts(pdf[3:])]))
+    assert parts["id"].tolist() == [4, 3]
