@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqwatch.llm.common import Scratch, table
+from reqwatch.llm.common import ROW_KEY, Scratch, table, with_row_key
 from reqwatch.llm.minhash import near_duplicates
 from reqwatch.llm.mixing import mixing_stage
 from reqwatch.llm.packing import packing_stage
@@ -14,9 +14,21 @@ from reqwatch.llm.secrets import redaction_stage
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies stays."""
-    dropped = Scratch(spark, "dropped").save(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "ids")
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """One row of each group of near copies stays: that of the smallest id, then of the smallest text hash, then any one.
+
+    Rows are told apart by a written row key, so rows that repeat an id, or have none, are documents of their own; one
+    without an id stays only in a group where none has one.  Rows of empty or null texts are no copies of each other.
+    """
+    scratch = Scratch(spark, "dropped")
+    keyed = scratch.save(with_row_key(docs), "keyed")
+    groups = scratch.save(near_duplicates(keyed, id_col=ROW_KEY).select(F.col("doc_id").alias("_dropped"), "component_id"), "groups")
+    many = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = groups.join(many, "component_id")
+    ids = keyed.select(F.col(ROW_KEY), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("tie"))
+    members = scratch.save(members.join(ids, F.col("_dropped") == F.col(ROW_KEY)).select("component_id", "no_id", "doc_id", "tie", "_dropped"), "members")
+    best = members.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "tie", "_dropped")).alias("best")).select(F.col("best._dropped").alias("_kept"))
+    dropped = scratch.save(members.join(best, F.col("_dropped") == F.col("_kept"), "left_anti").select("_dropped"), "ids")
+    return keyed.join(dropped, F.col(ROW_KEY) == F.col("_dropped"), "left_anti").select(docs.columns)
 
 
 STAGES = [

@@ -36,3 +36,24 @@ def test_mixing_keeps_rows_without_ids(spark, monkeypatch):
     taken = mixing.mix(docs, budget_share=0.5, max_epochs=1)
     got = mixing.mixing_stage(spark, docs, "")
     assert got.count() == taken.count() < 40 and got.where("doc_id is null").count() == taken.where("doc_id is null").count() > 0
+
+
+def test_near_dedup_rows_with_repeated_and_null_ids(spark):
+    base = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcd"}
+    near = lambda c: base[c] + " tail"
+    rows = [(1, base["a"]), (1, base["a"]), (1, near("a")), (7, near("a")), (None, base["a"]), (3, base["b"]), (3, base["c"]), (None, base["d"]), (None, near("d")), (4, None), (None, None), (4, "")]
+    rows = [(i, t, "en", "src1", k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    group = lambda t: (t or "")[:1] or None
+    assert {g: sum(group(t) == g for _, t in kept) for g in "abcd"} == dict.fromkeys("abcd", 1)
+    assert [i for i, t in kept if group(t) == "a"] == [1] and sum(not t for _, t in kept) == 3
+    # brute force: groups of near copies, the least (id, nulls last) of each
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    want = {}
+    for i, t in [(r[0], r[1]) for r in rows if r[1]]:
+        mine = next((g for g in want if len(grams(g) & grams(t)) >= 0.75 * len(grams(g) | grams(t))), t)
+        want.setdefault(mine, []).append((i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, t in kept if t) == sorted(min(g) for g in want.values())
