@@ -2,10 +2,14 @@
 
 Every 100-byte string has an anchor: the place of the smallest hash among its 32-byte strings.  The anchor depends on
 the string alone, so equal strings have equal anchors, and the strings of a text fall into windows that share one.
-Windows with equal bytes collapse to the first of them.  Windows that share an anchor's hash but differ elsewhere meet
-in a block: its suffix order gives a Burrows-Wheeler transform, and intervals of it are extended backwards, breadth
-first, which derives common prefixes by increasing length and stops at 100.  What the expansion has not parted by then
-begins with equal 100-byte strings, of which the earliest stays.
+Windows whose anchor's hash occurs once cannot repeat.  The others meet by it in blocks: a block's suffix order gives a
+Burrows-Wheeler transform, and intervals of it are extended backwards, breadth first, which derives common prefixes by
+increasing length and stops at 100.  What the expansion has not parted by then begins with equal 100-byte strings, of
+which the earliest stays.
+
+Equal windows take part twice, as their first two copies; further copies share the verdict on the second and never
+travel with their bytes.  An anchor with more windows than a block holds is cut finer: each of its strings becomes a
+window of its own that goes by the hash of the whole string, through the same expansion.
 """
 
 from __future__ import annotations
@@ -69,6 +73,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM)
 def _window_batches(batches, length: int):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = []
         for at, rows, raw, offsets in text_slices(batch.column(0), batch.column(1)):
             if len(raw) < length or (got := windows(raw, offsets, length)) is None:
                 continue
@@ -84,68 +89,125 @@ def _window_batches(batches, length: int):
                 for k in range(-(-longest // half) + 1):
                     place = start + np.minimum(k * half, size - half)
                     g = mix64(g * np.uint64(0x165667B19E3779F9) + wide[place])
-            doc, lo = ids[at : at + rows][row], start - offsets[row]
-            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "g": g.view(np.int64), "doc_id": doc, "packed": lo << 16 | starts << 8 | rel})
+            lo = start - offsets[row]
+            parts.append(np.stack([h.view(np.int64), g.view(np.int64), ids[at : at + rows][row], lo << 16 | starts << 8 | rel], 1))
+        if parts:
+            yield _folded(np.concatenate(parts), length)
 
 
-def _repeats(batches):
-    """Rows sorted by (h, g, doc_id, packed): copies of an earlier window (h null), and the first of each distinct
-    window of an anchor that has several.  Holds one batch and one row."""
-    names = ("h", "g", "doc_id", "packed")
-    last, out = None, False  # the last distinct window's row, and whether it has been given out
+def _folded(x: np.ndarray, length: int) -> pa.RecordBatch:
+    """Rows (h, g, doc_id, packed) less the copies that have two earlier ones here.
+
+    Those go on as spans: h spreads them over partitions, g is a span's start and packed its end, negative.
+    """
+    order = np.argsort(x[:, 1])
+    again = np.zeros(len(x), bool)
+    again[1:] = x[order[1:], 1] == x[order[:-1], 1]
+    again[:-1] |= again[1:]
+    own = order[again]
+    if not len(own):
+        return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], names=NAMES)
+    own = own[np.lexsort(x[own][:, ::-1].T)]
+    y = x[own]
+    nth, fresh = _counted(y)
+    gone = np.zeros(len(x), bool)
+    gone[own] = ~fresh | (nth >= 2)
+    late = y[fresh & (nth >= 2)]
+    s, e = late[:, 3] >> 16, (late[:, 3] >> 16) + (late[:, 3] >> 8 & 255) + length - 1
+    order = np.lexsort((s, late[:, 2]))
+    d, s, e = late[order, 2], s[order], e[order]
+    head = np.ones(len(d), bool)
+    head[1:] = (d[1:] != d[:-1]) | (s[1:] > e[:-1])  # windows of a text in order: their ends rise
+    at = np.flatnonzero(head)
+    if len(at):
+        d, s, e = d[at], s[at], np.maximum.reduceat(e, at)
+    spans = np.stack([mix64((d * 31 + s).view(np.uint64)).view(np.int64), s, d, -e], 1)
+    out = np.concatenate([x[~gone], spans])
+    return pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(4)], names=NAMES)
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: how many different earlier ones each has in its (h, g), and whether it is not the row before again."""
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]).any(axis=1)
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:, :2] != x[:-1, :2]).any(axis=1)
+    seen = np.cumsum(fresh)
+    return seen - seen[np.flatnonzero(first)][np.cumsum(first) - 1], fresh
+
+
+NAMES = ["h", "g", "doc_id", "packed"]
+
+
+def _repeats(batches, length: int):
+    """Rows sorted by (h, g, doc_id, packed): of anchors with several, the first two of each window, and all others as
+    spans (h null, g start, packed end).  Holds one batch and a row."""
+    last, nth, lone = None, 0, False  # the row before, its number in its window, and whether it is an anchor's first, not given yet
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.stack([batch.column(n).to_numpy() for n in names], 1)
-        if last is not None:
-            x = np.concatenate([last[None, :], x])
-        fresh = np.ones(len(x), bool)
-        fresh[1:] = (x[1:, :2] != x[:-1, :2]).any(axis=1)
-        at = np.flatnonzero(fresh)
-        lead = np.repeat(at, np.diff(np.append(at, len(x))))
-        copies = x[~fresh & (x[:, 2:] != x[lead, 2:]).any(axis=1)]
-        f = x[at]
-        twin, same = np.zeros(len(f), bool), f[1:, 0] == f[:-1, 0]
-        twin[1:] |= same
-        twin[:-1] |= same
-        give = twin.copy()
-        if last is not None:
-            give[0] &= not out
-        out = bool(twin[-1]) or (len(f) == 1 and last is not None and out)
-        last = f[-1]
-        if len(copies):
-            none = pa.nulls(len(copies), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(copies[:, 2]), pa.array(copies[:, 3])], names=list(names))
-        if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(f[give, k]) for k in range(4)], names=list(names))
+        x = np.stack([batch.column(n).to_numpy() for n in NAMES], 1)
+        done = x[x[:, 3] < 0]
+        x = x[x[:, 3] >= 0]
+        spans = [np.stack([done[:, 1], done[:, 2], -done[:, 3]], 1)]
+        out = []
+        if len(x):
+            y = x if last is None else np.concatenate([last[None, :], x])
+            k, fresh = _counted(y)
+            if last is not None:
+                own = (y[:, :2] == last[:2]).all(axis=1)
+                k[own] += nth
+            y, k = y[fresh], k[fresh]
+            held = last is not None
+            head = np.ones(len(y), bool)
+            head[1:] = y[1:, 0] != y[:-1, 0]
+            give = k < 2
+            give[head] = np.append(~head[1:], False)[head]
+            if held:
+                give[0] &= lone  # it went out, or waits for a second row of its anchor
+            out.append(y[give])
+            late = y[k >= 2] if not held else y[1:][k[1:] >= 2]
+            lo = late[:, 3] >> 16
+            spans.append(np.stack([lo, late[:, 2], lo + (late[:, 3] >> 8 & 255) + length - 1], 1))
+            lone = bool(head[-1]) and not (held and len(y) == 1 and not lone)
+            last, nth = y[-1], int(min(k[-1], 2))
+        s = np.concatenate(spans)
+        if len(s):
+            none = pa.nulls(len(s), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(s[:, 2])], names=NAMES)
+        if out and len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(out[0][:, k]) for k in range(4)], names=NAMES)
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of their suffixes, compared up to depth symbols at least.
 
     text: symbols 1 to 255, and 0 at the ends of windows; ends differ from each other and come first, in their order.
+    Doubles the compared length in each round, among the suffixes that are not yet told apart.
     """
-    n, first = len(text), 6
-    window = np.searchsorted(ends, np.arange(n))
+    n, w = len(text), 6
+    window = np.repeat(np.arange(len(ends)), np.diff(np.append(-1, ends)))
     left = ends[window] - np.arange(n)
-    padded = np.concatenate([text, np.zeros(first, text.dtype)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(w, text.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for k in range(first):
+    for k in range(w):
         key = key << np.uint64(8) | np.where(k <= left, padded[k : k + n], np.uint64(0))
-    key = key << np.uint64(16) | np.where(left < first, window + 1, 0).astype(np.uint64)
-    order, w = np.argsort(key), first
+    key = key << np.uint64(16) | np.where(left < w, window + 1, 0).astype(np.uint64)
+    order = np.argsort(key)
+    key, slots, rank = key[order], np.arange(n), np.empty(n, np.int64)
     while True:
-        ordered = key[order]
-        dense = np.zeros(n, np.int64)
-        dense[1:] = np.cumsum(ordered[1:] != ordered[:-1])
-        if w >= depth or dense[-1] == n - 1:
+        fresh = np.ones(len(slots), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        heads = np.flatnonzero(fresh)
+        size = np.diff(np.append(heads, len(slots)))
+        rank[order[slots]] = np.repeat(slots[heads], size)
+        slots = slots[np.repeat(size > 1, size)]
+        if w >= depth or not len(slots):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = dense
-        after = np.zeros(n, np.int64)
-        after[:-w] = rank[w:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
+        at = order[slots]
+        key = rank[at] * (n + 1) + rank[at + w]  # equal so far, so no end lies before at + w
+        sort = np.argsort(key)
+        order[slots], key = at[sort], key[sort]
         w *= 2
 
 
@@ -159,22 +221,30 @@ def prefix_groups(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
     n, m = len(text), len(ends)
     order = suffix_order(text, ends, length + 1)
     bwt = text[order - 1]
-    counts = np.bincount(text, minlength=256)
-    symbols = np.flatnonzero(counts)[1:]
-    base = np.cumsum(counts)[symbols - 1]
-    occ = np.zeros((len(symbols), n + 1), np.int32)
-    for k, c in enumerate(symbols):
-        np.cumsum(bwt == c, out=occ[k, 1:])
+    by_symbol = np.argsort(bwt, kind="stable")
+    step = np.empty(n, np.int64)  # where the suffix that begins one symbol earlier stands
+    step[by_symbol] = np.arange(n)
+    # the places of the same symbol before and after each place of the transform; an end extends to nothing
+    before, after = np.full(n, -1), np.full(n, n)
+    same = np.flatnonzero(bwt[by_symbol[1:]] == bwt[by_symbol[:-1]])
+    before[by_symbol[same + 1]], after[by_symbol[same]] = by_symbol[same], by_symbol[same + 1]
+    before[bwt == 0], after[bwt == 0] = n, -1
     parted = np.zeros(n + 1, bool)
     parted[: m + 1] = parted[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    low, high = np.zeros(1, np.int64), np.full(1, n)
     for level in range(length):
-        lo, hi = base[:, None] + occ[:, low], base[:, None] + occ[:, high]
-        go = (hi > lo) & (~parted[hi] if level else True)
-        low, high = lo[go], hi[go]
+        size = high - low
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1]) + np.repeat(low - upto + size, size)
+        # a symbol's first and last place in an interval give its extension's bounds; extensions do not overlap
+        first, last = before[at] < np.repeat(low, size), after[at] >= np.repeat(high, size)
+        low, high = np.sort(step[at[first]]), np.sort(step[at[last]]) + 1
+        if level:
+            fresh = ~parted[high]
+            low, high = low[fresh], high[fresh]
         parted[high] = True
         if not level:
-            low, high = np.append(low, np.arange(m)), np.append(high, np.arange(m) + 1)
+            low, high = np.append(np.arange(m), low), np.append(np.arange(m) + 1, high)
         if not len(low):
             break
     return order, parted[:n]
@@ -191,28 +261,25 @@ def _block_spans(doc: np.ndarray, packed: np.ndarray, raw: np.ndarray, bounds: n
     inside[ends] = False
     text[inside] = codes[raw]
     order, parted = prefix_groups(text, ends, length)
+    shared = ~parted
+    shared[:-1] |= shared[1:]  # places of intervals of two and more
+    order, parted = order[shared], parted[shared]
     window = np.searchsorted(ends, order)
     place = order - (bounds[:-1] + np.arange(len(doc)))[window]
-    starts = (packed >> 8 & 255)[window]
-    valid = place < starts
-    group = (np.cumsum(parted) - 1)[valid]
-    window, place = window[valid], place[valid]
-    at = (packed >> 16)[window] + place
-    sort = np.lexsort((at, doc[window], group))
-    group, d, at = group[sort], doc[window][sort], at[sort]
-    fresh = np.ones(len(group), bool)
-    fresh[1:] = group[1:] != group[:-1]
-    heads = np.flatnonzero(fresh)
-    lead = np.repeat(heads, np.diff(np.append(heads, len(group))))
-    copy = ~fresh & ((d != d[lead]) | (at != at[lead]))
-    d, at = d[copy], at[copy]
-    sort = np.lexsort((at, d))
-    d, at = d[sort], at[sort]
-    first = np.ones(len(d), bool)
-    first[1:] = (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)
-    heads = np.flatnonzero(first)
-    tails = np.append(heads[1:], len(d)) - 1
-    return pa.RecordBatch.from_pydict({"doc_id": d[heads], "s": at[heads], "e": at[tails] + length})
+    valid = place < (packed >> 8 & 255)[window]
+    group, window = (np.cumsum(parted) - 1)[valid], window[valid]
+    if not len(group):
+        return pa.RecordBatch.from_pydict({n: pa.array([], pa.int64()) for n in ("doc_id", "s", "e")})
+    at = (packed >> 16)[window] + place[valid]
+    ids, number = np.unique(doc, return_inverse=True)
+    when = number[window] << 44 | at  # the order of strings; no text has 2^44 bytes
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    copy = when > np.repeat(np.minimum.reduceat(when, heads), np.diff(np.append(heads, len(group))))
+    when = np.unique(when[copy])
+    heads = np.flatnonzero(np.append(True, when[1:] > when[:-1] + 1)) if len(when) else np.zeros(0, np.int64)
+    tails = np.append(heads[1:], len(when))[: len(heads)] - 1
+    at = when & ((1 << 44) - 1)
+    return pa.RecordBatch.from_pydict({"doc_id": ids[when[heads] >> 44], "s": at[heads], "e": at[tails] + length})
 
 
 def _blocks(batches, length: int):
@@ -246,48 +313,40 @@ def _blocks(batches, length: int):
 
 
 def _cut_batches(batches, length: int):
-    """Windows' bytes from their texts; of hot anchors each string for itself, by its hash."""
+    """Windows with their bytes; of wide anchors each string for itself, by its hash and without its bytes."""
     for batch in batches:
-        out: dict[str, list] = {"h": [], "g": [], "doc_id": [], "packed": [], "bytes": []}
-        size = 0
-        for doc, text, items in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("items"), strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            items = items.values
-            h, packed, hot = (items.field(n).to_numpy(zero_copy_only=False) for n in ("h", "packed", "hot"))
-            lo, n = packed >> 16, packed >> 8 & 255
-            for k in np.flatnonzero(~hot):
-                piece = data[lo[k] : lo[k] + n[k] + length - 1]
-                if len(piece) < n[k] + length - 1:
-                    continue  # of another row with the same id
-                out["h"].append(int(h[k]))
-                out["g"].append(None)
-                out["doc_id"].append(doc)
-                out["packed"].append(int(packed[k]))
-                out["bytes"].append(piece)
-                size += len(piece)
-            for k in np.flatnonzero(hot):
-                raw = np.frombuffer(data, np.uint8)[lo[k] : lo[k] + n[k] + length - 1]
-                if len(raw) < n[k] + length - 1:
-                    continue
-                half = 64 if length >= 64 else GRAM
+        raw, ends = list_parts(batch.column("text").cast(pa.large_binary()).fill_null(b""))
+        items = batch.column("items")
+        h, packed, wide = (items.values.field(n).to_numpy(zero_copy_only=False) for n in ("h", "packed", "wide"))
+        bounds = items.offsets.to_numpy()
+        h, packed, wide = (v[bounds[0] : bounds[-1]] for v in (h, packed, wide))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        doc, lo, n = batch.column("doc_id").to_numpy()[row], packed >> 16, packed >> 8 & 255
+        whole = lo + n + length - 1 <= np.diff(ends)[row]  # else of another row with the same id
+        own = np.flatnonzero(whole & ~wide)
+        for part in np.array_split(own, len(own) // 20_000 + 1):
+            if len(part):
+                size = n[part] + length - 1
+                upto = np.append(0, np.cumsum(size))
+                data = raw[np.repeat(ends[row[part]] + lo[part] - upto[:-1], size) + np.arange(upto[-1])]
+                yield _cut_batch(h[part], np.zeros(len(part), np.int64), doc[part], packed[part], pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)]))
+        own = np.flatnonzero(whole & wide)
+        for part in np.array_split(own, len(own) // 20_000 + 1):
+            if len(part):
+                many = n[part]
+                upto = np.cumsum(many)
+                nth = np.arange(upto[-1]) - np.repeat(upto - many, many)
+                at, key = np.repeat(lo[part], many) + nth, np.repeat(h[part], many)
+                start, half = np.repeat(ends[row[part]], many) + at, 64 if length >= 64 else GRAM
                 with np.errstate(over="ignore"):
-                    wide = rolling(raw, half)
-                    g = mix64(wide[: n[k]] * np.uint64(0x165667B19E3779F9) + wide[length - half : length - half + n[k]])
-                out["h"] += [int(h[k])] * int(n[k])
-                out["g"] += g.view(np.int64).tolist()
-                out["doc_id"] += [doc] * int(n[k])
-                out["packed"] += ((lo[k] + np.arange(n[k])) << 16 | 1 << 8).tolist()
-                out["bytes"] += [None] * int(n[k])
-                size += 40 * int(n[k])
-            if size > 1 << 22:
-                yield _cut_batch(out)
-                out, size = {k: [] for k in out}, 0
-        if out["h"]:
-            yield _cut_batch(out)
+                    spun = rolling(raw, half)
+                    g = mix64(spun[start] * np.uint64(0x165667B19E3779F9) + spun[start + length - half])
+                    key = mix64(key.view(np.uint64) + mix64(g)).view(np.int64)
+                yield _cut_batch(key, g.view(np.int64), np.repeat(doc[part], many), at << 16 | 1 << 8, pa.nulls(len(at), pa.binary()))
 
 
-def _cut_batch(out: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()})
+def _cut_batch(h, g, doc, packed, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(doc), pa.array(packed), data], names=[*NAMES, "bytes"])
 
 
 def _marked_batches(batches, marks: np.ndarray):
@@ -297,8 +356,8 @@ def _marked_batches(batches, marks: np.ndarray):
             yield batch.filter(pa.array(here))
 
 
-#: Distinct windows of one anchor that a block takes; the strings of larger anchors are told apart one by one.
-HOT = 1500
+#: Windows of one anchor that a block takes; the strings of wider anchors go each by its own hash.
+WIDE = 4096
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,29 +365,37 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     Removes each byte that a string of `length` bytes covers which also begins earlier, by (doc_id, place), in the input
     as it is.  Null texts are empty; rows without an id keep everything; rows that repeat an id and its text are one
-    document.  length: from 96 to 255 less GRAM.
+    document, and rows that repeat an id with another text are each cut by the spans of both.  length: from 96 to 255
+    less GRAM.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "h long, g long, doc_id long, packed long"
-    found = rows.mapInArrow(lambda it: _window_batches(it, length), schema)
-    events = found.repartition("h").sortWithinPartitions("h", "g", "doc_id", "packed").mapInArrow(_repeats, schema)
-    events = scratch.save(events, "events")
-    distinct = events.where("h is not null")
-    counts = scratch.save(distinct.groupBy("h").agg(F.count("*").alias("c")).where(f"c > {HOT}").select("h", F.lit(True).alias("hot")), "hot")
-    item = F.struct("h", "packed", F.coalesce("hot", F.lit(False)).alias("hot"))
-    lists = distinct.join(counts, "h", "left").groupBy("doc_id").agg(F.collect_list(item).alias("items"))
-    marks = spark.sparkContext.broadcast(id_marks(distinct.select("doc_id")))
-    texts = rows.mapInArrow(lambda it: _marked_batches(it, marks.value), "doc_id long, text string")
-    cut = texts.join(lists, "doc_id").mapInArrow(lambda it: _cut_batches(it, length), f"{schema}, bytes binary")
-    cut = scratch.save(cut, "windows")
-    cool = cut.where("bytes is not null").select("h", "doc_id", "packed", "bytes").repartition("h").sortWithinPartitions("h", "doc_id", "packed")
-    cool = cool.mapInArrow(lambda it: _blocks(it, length), "doc_id long, s long, e long")
-    hot = cut.where("bytes is null").select("h", "g", "doc_id", "packed").repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "packed").mapInArrow(_repeats, schema)
-    start, starts = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255))
-    whole = events.where("h is null").union(hot.where("h is null")).select("doc_id", start.alias("s"), (start + starts + length - 1).alias("e"))
-    return without_spans(docs, whole.union(cool), id_col, text_col)
+    repeats = lambda df: df.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(lambda it: _repeats(it, length), schema)
+    events = scratch.save(repeats(rows.mapInArrow(lambda it: _window_batches(it, length), schema)), "events")
+    shared = events.where("h is not null")
+    wide = scratch.save(shared.groupBy("h").agg(F.count("*").alias("c")).where(f"c > {WIDE}").select("h", F.lit(True).alias("wide")), "wide")
+    tagged = shared.join(wide, "h", "left").select("h", "doc_id", "packed", F.coalesce("wide", F.lit(False)).alias("wide"))
+
+    def cut(items: DataFrame) -> DataFrame:
+        """The windows (h, doc_id, packed, wide) cut from their texts."""
+        marks = spark.sparkContext.broadcast(id_marks(items.select("doc_id")))  # of a fixed size
+        lists = items.groupBy("doc_id").agg(F.collect_list(F.struct("h", "packed", "wide")).alias("items"))
+        texts = rows.mapInArrow(lambda it: _marked_batches(it, marks.value), "doc_id long, text string")
+        return texts.join(lists, "doc_id").mapInArrow(lambda it: _cut_batches(it, length), f"{schema}, bytes binary")
+
+    pieces = scratch.save(cut(tagged), "windows")
+    blocks, spans = pieces.where("bytes is not null"), [events]
+    if wide.limit(1).count():
+        strings = scratch.save(repeats(pieces.where("bytes is null").select(NAMES)), "strings")
+        again = cut(strings.where("h is not null").select("h", "doc_id", "packed", F.lit(False).alias("wide")))
+        blocks, spans = blocks.union(scratch.save(again, "cut")), [events, strings]
+    blocks = blocks.select("h", "doc_id", "packed", "bytes").repartition("h").sortWithinPartitions("h", "doc_id", "packed")
+    found = blocks.mapInArrow(lambda it: _blocks(it, length), "doc_id long, s long, e long")
+    for df in spans:
+        found = found.union(df.where("h is null").select("doc_id", F.col("g").alias("s"), F.col("packed").alias("e")))
+    return without_spans(docs, found, id_col, text_col)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,9 +332,9 @@ def brute_suffixes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
-def test_suffixes(docs, rows, none, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("wide", [suffixes.WIDE, 1])
+def test_suffixes(docs, rows, none, monkeypatch, wide):
+    monkeypatch.setattr(suffixes, "WIDE", wide)
     got = suffixes.suffix_dedup(docs)
     assert got.count() == len(rows)
     want = brute_suffixes(rows, 100)
@@ -342,6 +342,31 @@ def test_suffixes(docs, rows, none, monkeypatch, hot):
     assert suffixes.suffix_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("wide", [suffixes.WIDE, 3])
+def test_suffixes_of_copies(spark, monkeypatch, wide):
+    """Copies from two to many, shared passages amid other text, repeated lines, and texts that share no string."""
+    monkeypatch.setattr(suffixes, "WIDE", wide)
+    r, passage, line = random.Random(11), prose(31, 60), prose(32, 22) + "\n"
+    texts = [prose(40 + k % 7, 120) for k in range(40)] + [prose(60 + k, 40) + passage[: r.randint(60, 240)] + prose(90 + k, 40) for k in range(25)]
+    texts += [line * r.randint(1, 9) + prose(130 + k, 30) for k in range(12)] + [prose(160 + k, 90) for k in range(10)] + ["ab" * 300, "ab" * 200 + "c", ""]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    rows = list(zip(ids, texts))
+    for size in (2, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = by_id(suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {i: tuple(x)[1:] for i, x in got.items()} == brute_suffixes(rows, 100)
+
+
+def test_block_without_copies():
+    raw = np.frombuffer((prose(1, 40)[:150] + prose(2, 40)[:150]).encode(), np.uint8)
+    out = suffixes._block_spans(np.array([1, 2]), np.array([51 << 8, 51 << 8]), raw, np.array([0, 150, 300]), 100)
+    assert out.num_rows == 0 and out.schema.names == ["doc_id", "s", "e"]
+
+
 def test_prefix_groups():
     """Interval expansion parts exactly the neighbours that share fewer symbols."""
     r = random.Random(1)
