@@ -25,6 +25,8 @@ from .common import Scratch, id_marks, list_parts, marked, mix64, table, text_sl
 LENGTH, GRAM = 100, 32
 #: Bytes of windows that one suffix order holds.
 BLOCK_BYTES = 1 << 17
+#: Windows among which a task folds copies before the shuffle.
+FOLDED = 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = mix64(np.arange(501, 757, dtype=np.uint64))
 
@@ -91,6 +93,9 @@ def _window_batches(batches, length: int):
                     g = mix64(g * np.uint64(0x165667B19E3779F9) + wide[place])
             lo = start - offsets[row]
             parts.append(np.stack([h.view(np.int64), g.view(np.int64), ids[at : at + rows][row], lo << 16 | starts << 8 | rel], 1))
+            if sum(map(len, parts)) >= FOLDED:
+                yield _folded(np.concatenate(parts), length)
+                parts = []
         if parts:
             yield _folded(np.concatenate(parts), length)
 
@@ -323,23 +328,22 @@ def _cut_batches(batches, length: int):
         row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
         doc, lo, n = batch.column("doc_id").to_numpy()[row], packed >> 16, packed >> 8 & 255
         whole = lo + n + length - 1 <= np.diff(ends)[row]  # else of another row with the same id
-        own = np.flatnonzero(whole & ~wide)
-        for part in np.array_split(own, len(own) // 20_000 + 1):
-            if len(part):
-                size = n[part] + length - 1
+        for single in (False, True):
+            own = np.flatnonzero(whole & (wide == single))
+            for part in np.array_split(own, len(own) // 20_000 + 1):
+                if not len(part):
+                    continue
+                size, many = n[part] + length - 1, n[part]
                 upto = np.append(0, np.cumsum(size))
                 data = raw[np.repeat(ends[row[part]] + lo[part] - upto[:-1], size) + np.arange(upto[-1])]
-                yield _cut_batch(h[part], np.zeros(len(part), np.int64), doc[part], packed[part], pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)]))
-        own = np.flatnonzero(whole & wide)
-        for part in np.array_split(own, len(own) // 20_000 + 1):
-            if len(part):
-                many = n[part]
-                upto = np.cumsum(many)
-                nth = np.arange(upto[-1]) - np.repeat(upto - many, many)
-                at, key = np.repeat(lo[part], many) + nth, np.repeat(h[part], many)
-                start, half = np.repeat(ends[row[part]], many) + at, 64 if length >= 64 else GRAM
+                if not single:
+                    pieces = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)])
+                    yield _cut_batch(h[part], np.zeros(len(part), np.int64), doc[part], packed[part], pieces)
+                    continue
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at, key, start, half = np.repeat(lo[part], many) + nth, np.repeat(h[part], many), np.repeat(upto[:-1], many) + nth, 64 if length >= 64 else GRAM
                 with np.errstate(over="ignore"):
-                    spun = rolling(raw, half)
+                    spun = rolling(data, half)
                     g = mix64(spun[start] * np.uint64(0x165667B19E3779F9) + spun[start + length - half])
                     key = mix64(key.view(np.uint64) + mix64(g)).view(np.int64)
                 yield _cut_batch(key, g.view(np.int64), np.repeat(doc[part], many), at << 16 | 1 << 8, pa.nulls(len(at), pa.binary()))
