@@ -393,9 +393,8 @@ def test_embeddings(spark, monkeypatch):
     c = x / np.linalg.norm(x, axis=1)[:, None]
     near = c @ c.T >= 0.9
     want = brute_components([(k, k) for k in range(60)], lambda a, b: near[a, b])
-    for homes, visitors in ((4096, 16384), (5, 7)):
-        monkeypatch.setattr(embeddings, "HOMES", homes)
-        monkeypatch.setattr(embeddings, "VISITORS", visitors)
+    for part in (32_768, 5):
+        monkeypatch.setattr(embeddings, "PART", part)
         got = embeddings.embedding_duplicates(df)
         assert got.count() == len(rows)
         own = {r.vec_id: r for r in got.where("vec_id is not null").collect()}
@@ -406,6 +405,41 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_count_once(spark, monkeypatch):
+    """Over 2000 vectors, with pairs whose distance within a block lies just over or under its share."""
+    rng, d = np.random.default_rng(8), 64
+    share, turn = embeddings.shares(d, 0.9)[0], embeddings.rotation(d)
+    pairs = []
+    for k in range(300):
+        a = rng.normal(size=d)
+        a /= np.linalg.norm(a)
+        step = np.zeros(d)
+        step[:8] = np.sqrt((share + (k % 5 - 2) * 4e-6)) * np.eye(8)[k % 8]
+        step[8:] = rng.normal(size=56)
+        step[8:] *= np.sqrt(0.15) / np.linalg.norm(step[8:])
+        pairs += [a, a + step]
+    x = np.stack(pairs) @ turn.T
+    base = rng.normal(size=(30, d))
+    x = np.concatenate([x, np.repeat(base, 60, axis=0) + rng.normal(size=(1800, d)) * rng.choice([0.1, 0.3, 0.33, 0.36], (1800, 1))]).astype(np.float32)
+    c = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = c @ c.T >= 0.9
+    assert (np.abs(c @ c.T - 0.9) > 1e-12).all()
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    label = {}
+    for k in range(len(x)):
+        todo = [k] if k not in label else []
+        while todo:
+            i = todo.pop()
+            if i not in label:
+                label[i] = k
+                todo += np.flatnonzero(near[i]).tolist()
+    for part in (32_768, 700):
+        monkeypatch.setattr(embeddings, "PART", part)
+        got = {r.vec_id: r for r in embeddings.embedding_duplicates(df).collect()}
+        assert [got[k].n_links for k in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+        assert {k: r.component_id for k, r in got.items()} == label
+
+
 # op 9
 def test_forward_sums_all_segmentations():
     pieces = sorted(["▁", "a", "b", "ab", "▁a", "ba", "▁ab"])
