@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqwatch.llm.common import ROW_KEY, Scratch, table, with_row_key
+from reqwatch.llm.common import Scratch, fresh_name, table, with_row_key
 from reqwatch.llm.minhash import near_duplicates
 from reqwatch.llm.mixing import mixing_stage
 from reqwatch.llm.packing import packing_stage
@@ -18,17 +18,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a written row key, so rows that repeat an id, or have none, are documents of their own; one
     without an id stays only in a group where none has one.  Rows of empty or null texts are no copies of each other.
+    Other columns, whatever their names, pass untouched; an empty table gives an empty one.
     """
-    scratch = Scratch(spark, "dropped")
-    keyed = scratch.save(with_row_key(docs), "keyed")
-    groups = scratch.save(near_duplicates(keyed, id_col=ROW_KEY).select(F.col("doc_id").alias("_dropped"), "component_id"), "groups")
+    scratch, near = Scratch(spark, "dropped"), Scratch(spark, "near")
+    key = fresh_name(docs.columns, "row_key")
+    keyed = scratch.save(with_row_key(docs, key), "keyed")
+    slim = keyed.select(F.col(key).alias("row"), "doc_id", "text")
+    groups = near_duplicates(slim, id_col="row", scratch=near).select(F.col("doc_id").alias("row"), "component_id")
+    groups = scratch.save(groups, "groups")
+    near.drop()
     many = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = groups.join(many, "component_id")
-    ids = keyed.select(F.col(ROW_KEY), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("tie"))
-    members = scratch.save(members.join(ids, F.col("_dropped") == F.col(ROW_KEY)).select("component_id", "no_id", "doc_id", "tie", "_dropped"), "members")
-    best = members.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "tie", "_dropped")).alias("best")).select(F.col("best._dropped").alias("_kept"))
-    dropped = scratch.save(members.join(best, F.col("_dropped") == F.col("_kept"), "left_anti").select("_dropped"), "ids")
-    return keyed.join(dropped, F.col(ROW_KEY) == F.col("_dropped"), "left_anti").select(docs.columns)
+    ids = slim.select("row", F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("tie"))
+    members = scratch.save(groups.join(many, "component_id").join(ids, "row"), "members")
+    best = members.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "tie", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    dropped = scratch.save(members.join(best, "row", "left_anti").select(F.col("row").alias(key)), "ids")
+    scratch.drop("groups", "members")
+    return keyed.join(dropped, key, "left_anti").select(*docs.columns)
 
 
 STAGES = [
@@ -49,4 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
     return docs

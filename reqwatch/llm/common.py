@@ -38,18 +38,25 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables whose last reader has run; without names, all of them."""
+        for place in [f"{self.root}/{name}" for name in names] or [self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-ROW_KEY = "_row_key"
+def fresh_name(columns: list[str], name: str) -> str:
+    """name, or one like it that no column has (Spark compares them without regard to case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """Adds a key that no two rows share.  It is fixed only once written.  Its low bits are spread over partitions, see id_marks."""
     n = F.monotonically_increasing_id()
-    return df.withColumn(ROW_KEY, n.bitwiseXOR(F.xxhash64(F.shiftright(n, 33)).bitwiseAND(F.lit(MARKS - 1))))
+    return df.withColumn(name, n.bitwiseXOR(F.xxhash64(F.shiftright(n, 33)).bitwiseAND(F.lit(MARKS - 1))))
 
 
 def text_slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES):
@@ -149,8 +156,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after = scratch.save(flat(small), f"{tag}{k + 1}")
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (f"{tag}{k}", f"{tag}m{k}", f"{tag}l{k}", f"{tag}s{k}"):
-            scratch.drop(old)
+        scratch.drop(f"{tag}{k}", f"{tag}m{k}", f"{tag}l{k}", f"{tag}s{k}")
         now, k = after, k + 1
         if sign == seen:
             break

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW_KEY, WORD_BREAKS, Scratch, table, with_row_key
+from .common import WORD_BREAKS, Scratch, fresh_name, table
 
 SEED, BUDGET_SHARE, MAX_EPOCHS = 20240601, 0.5, 2
 LEVELS = ("domain", "lang", "source")
@@ -164,53 +164,89 @@ def domain_of(source: Column) -> Column:
 WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("forum",): 2.0, ("reference",): 1.0, ("web", "en"): 3.0, ("books", "en"): 3.0, ("forum", "en"): 3.0, ("reference", "en"): 3.0}
 
 
-def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", key_col: str | None = None) -> DataFrame:
-    """(doc_id, epoch, domain, lang, source, n_tokens, take): the documents of each epoch and how many of their tokens count.
-
-    budget: in tokens; None: budget_share of all tokens.  Null languages, sources and domains are leaves of their own.
-    Documents without tokens are never taken.  Rows that repeat, or have no id, are taken each for itself.  key_col: a
-    column that tells rows apart and goes along as row_key; it decides only between rows of one id and text.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+def _counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, tie) of each row, after more."""
     text = F.col(text_col).cast("string")
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"), domain_of(F.col(source_col)).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-        words_of(text).alias("n_tokens"), F.xxhash64(text).alias("tie"), *([F.col(key_col).alias("row_key")] if key_col else []),
-    )
-    slim = scratch.save(slim.where("n_tokens > 0"), "slim")
+    return docs.select(*more, F.col(id_col).alias("doc_id"), domain_of(F.col(source_col)).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), words_of(text).alias("n_tokens"), F.xxhash64(text).alias("tie"))
+
+
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("tie"))
+
+
+def _plan(slim: DataFrame, scratch: Scratch, weights: Mapping[tuple, float], budget: int | None, budget_share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame, Column]:
+    """The plan (leaf, epochs, rest), and around the end of each leaf's prefix its rows: equal ones together, as
+    (leaf, order, doc_id, tie, n_tokens, copies, at), at: the tokens before them.  Last, the bucket of a row."""
     leaves = scratch.save(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")), "leaves")
     whole, most = leaves.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     plan = scratch.save(budgets(leaves, weights, int(whole * budget_share) if budget is None else budget, max_epochs), "plan")
     buckets = 1 << max(0, (most // BUCKET_DOCS).bit_length())
-    same = [slim[k].eqNullSafe(plan[k]) for k in LEVELS]
-    key = ["row_key"] if key_col else []
-    rows = slim.join(plan, same).select("doc_id", *(slim[k] for k in LEVELS), "n_tokens", "tie", *key, "epochs", "rest")
-    names = ["doc_id", "epoch", *LEVELS, "n_tokens", "take", *key]
-    complete = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).withColumn("take", F.col("n_tokens")).select(names)
-    order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("tie"))
-    part = rows.where("rest > 0").withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 44) % buckets)
+    bucket = F.shiftrightunsigned("order", 44) % buckets
+    part = _beside(slim, plan, LEVELS).where("rest > 0").withColumn("order", _order(seed)).withColumn("bucket", bucket)
     sums = part.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("t"))
-    sums = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("t")).drop("t")
-    p, s = part.alias("p"), scratch.save(sums, "sums").alias("s")
-    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in LEVELS] + [F.col("p.bucket") == F.col("s.bucket")]
-    near = p.join(s, on).where("before < rest").select("p.*", "before")
-    inside = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("order", "doc_id", "tie", *key).rowsBetween(Window.unboundedPreceding, -1))
-    near = near.withColumn("at", F.col("before") + F.coalesce(inside, F.lit(0))).where("at < rest")
-    prefix = near.withColumn("epoch", F.col("epochs")).withColumn("take", F.least("n_tokens", F.col("rest") - F.col("at"))).select(names)
-    return complete.unionByName(prefix)
+    sums = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("t"))
+    # of each leaf, the bucket in which its prefix ends
+    sums = scratch.save(_beside(sums, plan.select(*LEVELS, "rest"), LEVELS).where("before < rest and before + t >= rest").drop("t", "rest"), "ends")
+    same = [*LEVELS, "bucket"]
+    near = _beside(part, sums, same).groupBy(*same, "rest", "before", "order", "doc_id", "tie", "n_tokens").agg(F.count("*").alias("copies"))
+    inside = F.sum(F.col("n_tokens") * F.col("copies")).over(Window.partitionBy(*same).orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1))
+    return plan, near.withColumn("at", F.col("before") + F.coalesce(inside, F.lit(0))), bucket
+
+
+def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget: int | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(doc_id, epoch, domain, lang, source, n_tokens, take): the documents of each epoch and how many of their tokens count.
+
+    budget: in tokens; None: budget_share of all tokens.  Null languages, sources and domains are leaves of their own.
+    Documents without tokens are never taken.  Rows that repeat, or have no id, are taken each for itself; those of one
+    id and text follow each other in the order.  An empty table gives an empty mix; other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    slim = scratch.save(_counted(docs, id_col, text_col, lang_col, source_col).where("n_tokens > 0"), "slim")
+    plan, near, bucket = _plan(slim, scratch, weights, budget, budget_share, max_epochs, seed)
+    rows = _beside(slim, plan, LEVELS)
+    names = ["doc_id", "epoch", *LEVELS, "n_tokens", "take"]
+    complete = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).withColumn("take", F.col("n_tokens")).select(names)
+    part = rows.where("rest > 0").withColumn("order", _order(seed)).withColumn("bucket", bucket).withColumn("epoch", F.col("epochs"))
+    ends = docs.sparkSession.read.parquet(f"{scratch.root}/ends").select(*LEVELS, F.col("bucket").alias("end"))
+    inside = _beside(part, ends, LEVELS).where("bucket < end").withColumn("take", F.col("n_tokens")).select(names)
+    # of equal rows around the end, as many as fit, the last of them in part
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("copies"), F.ceil((F.col("rest") - F.col("at")) / F.col("n_tokens"))) - 1))
+    last = near.where("at < rest").withColumn("nth", nth).withColumn("take", F.least("n_tokens", F.col("rest") - F.col("at") - F.col("nth") * F.col("n_tokens")))
+    last = _beside(last, plan.select(*LEVELS, F.col("epochs").alias("epoch")), LEVELS).select(names)
+    return complete.unionByName(inside).unionByName(last)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows of which the mix takes tokens, once and whole, with the columns they had.
 
-    Each row stands for itself, by a written row key: of rows without an id or with the same id those stay that were
-    taken, and no others.
+    Texts are not cut: the document in which a leaf's prefix ends stays whole.  A row is judged where it is read, by its
+    leaf's place of the end, so no text is shuffled.  Rows without an id or of one id are judged each for itself; only of
+    equal rows (id and text) around an end, any as many stay as fit.  Rows without words go.  Extra columns, whatever
+    their names, pass untouched; an empty table gives an empty one.
     """
     scratch = Scratch(spark, "mixed")
-    keyed = scratch.save(with_row_key(docs), "keyed")
-    taken = scratch.save(mix(keyed, budget_share=PIPELINE_SHARE, max_epochs=1, key_col=ROW_KEY).select(F.col("row_key").alias("_taken")), "taken")
-    return keyed.join(taken, F.col(ROW_KEY) == F.col("_taken"), "left_semi").select(docs.columns)
+    slim = scratch.save(_counted(docs, "doc_id", "text", "lang", "source").where("n_tokens > 0"), "slim")
+    plan, near, bucket = _plan(slim, scratch, WEIGHTS, None, PIPELINE_SHARE, 1, SEED)
+    last = near.where("at < rest").groupBy(*LEVELS, "bucket").agg(F.max(F.struct("order", "doc_id", "tie", "n_tokens", "copies", "rest", "at")).alias("m"))
+    fits = F.least("m.copies", F.ceil((F.col("m.rest") - F.col("m.at")) / F.col("m.n_tokens")))
+    last = scratch.save(last.select(*LEVELS, F.col("bucket").alias("end"), F.struct("m.order", "m.doc_id", "m.tie").alias("upto"), (fits < F.col("m.copies")).alias("partly"), fits.alias("fits")), "last")
+    cuts = scratch.save(_beside(plan, last, LEVELS, "left"), "cuts")  # a row for each leaf
+    scratch.drop("slim", "leaves", "plan", "ends", "last")
+    own, judged = fresh_name(docs.columns, "row"), fresh_name(docs.columns, "judged")
+    data = F.struct(*(F.col(c) for c in docs.columns)).alias(own)
+    held = _counted(docs, "doc_id", "text", "lang", "source", data)
+    held = _beside(held.where("n_tokens > 0"), cuts, LEVELS).withColumn("order", _order(SEED)).withColumn("bucket", bucket)
+    here = F.struct("order", "doc_id", "tie")
+    held = held.withColumn(judged, (F.col("epochs") > 0) | (F.col("bucket") < F.col("end")) | ((F.col("bucket") == F.col("end")) & (here <= F.col("upto"))))
+    tied = F.coalesce(F.col("partly") & (F.col("epochs") == 0) & (here == F.col("upto")), F.lit(False))
+    whole = held.where(F.col(judged) & ~tied).select(f"{own}.*")
+    if not cuts.where("partly").limit(1).count():
+        return whole
+    some = scratch.save(held.where(tied).select(own, *LEVELS, "fits", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "some")
+    parts = some.groupBy(*LEVELS, "part").agg(F.count("*").alias("c"))
+    parts = parts.withColumn("before", F.sum("c").over(Window.partitionBy(*LEVELS).orderBy("part")) - F.col("c")).drop("c")
+    nth = F.row_number().over(Window.partitionBy(*LEVELS, "part").orderBy("n"))
+    return whole.unionByName(_beside(some.withColumn("nth", nth), parts, [*LEVELS, "part"]).where("before + nth <= fits").select(f"{own}.*"))
 
 
 PIPELINE_SHARE = 0.8

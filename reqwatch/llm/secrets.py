@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh_name, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -274,7 +274,7 @@ def _best(best: dict, owner: list[tuple], scores: np.ndarray) -> None:
         best[key] = max(score, best.get(key, 0.0))
 
 
-def _scan_batches(batches, net: Network, redact: bool):
+def _scan_batches(batches, net: Network, redact: str | None):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         found, views, owner, best = [], [], [], {}
@@ -298,7 +298,7 @@ def _scan_batches(batches, net: Network, redact: bool):
         join = lambda spans: ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
         if redact:
             out = pa.array([redacted(t, spans) if spans else None for t, spans in zip(texts, everything, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "_redacted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, redact])
             continue
         kinds = [[kind for _, _, kind in f] for f in found]
         cols = {"doc_id": batch.column("doc_id")} | {f"n_{kind}": pa.array([k.count(kind) for k in kinds], pa.int64()) for kind in KINDS}
@@ -325,17 +325,22 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some tens of kilobytes
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _scan_batches(it, shared.value, False), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(lambda it: _scan_batches(it, shared.value, None), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
 
 
 def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, with every span found masked in the text."""
+    """Pipeline stage: all documents, with every span found masked in the text and n_chars, where there is one, made anew.
+
+    Null texts stay null; ids, null or repeated, and all other columns, whatever their names, pass untouched.
+    """
     shared = spark.sparkContext.broadcast(fit(docs))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_redacted", T.StringType())])
-    out = docs.mapInArrow(lambda it: _scan_batches(it, shared.value, True), schema)
-    text = F.coalesce("_redacted", "text")
-    out = out.withColumn("n_chars", F.when(F.col("_redacted").isNotNull(), F.length("_redacted").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
-    return out.withColumn("text", text).select(docs.columns)
+    name = fresh_name(docs.columns, "redacted")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
+    out = docs.mapInArrow(lambda it: _scan_batches(it, shared.value, name), schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(name).isNotNull(), F.length(name).cast(kind)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce(name, "text")).select(*docs.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
