@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAKS, table
+from .common import WORD_BREAKS, fresh_name, table
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,11 +64,15 @@ def _covered(places: Column) -> Column:
 
 
 def _repeated_packed(windows: Column) -> Column:
+    """Keys of 48 bits of the hash and the place; if two neighbours agree in these bits alone, whole hashes are ordered."""
     low = F.lit(PACKED_WORDS - 1).cast("long")
     keys = F.sort_array(F.transform(windows, lambda x, k: F.shiftleft(x, 16).bitwiseOR(k.cast("long"))))
-    top = lambda x: F.shiftrightunsigned(x, 16)
+    top, place = lambda x: F.shiftrightunsigned(x, 16), lambda x: x.bitwiseAND(low)
     twice = lambda s: F.filter(s, lambda x, k: F.coalesce(top(F.get(s, k - 1)) == top(x), F.lit(False)) | F.coalesce(top(F.get(s, k + 1)) == top(x), F.lit(False)))
-    return _let(keys, lambda s: _let(F.sort_array(F.transform(twice(s), lambda x: x.bitwiseAND(low))), _covered))
+    whole = lambda x: F.get(windows, place(x).cast("int"))
+    clash = lambda t: F.size(F.filter(t, lambda x, k: F.coalesce((top(F.get(t, k + 1)) == top(x)) & (whole(F.get(t, k + 1)) != whole(x)), F.lit(False)))) > 0
+    count = lambda t: F.when(clash(t), _repeated_paired(windows)).otherwise(_let(F.sort_array(F.transform(t, place)), _covered))
+    return _let(keys, lambda s: _let(twice(s), count))
 
 
 def _repeated_paired(windows: Column) -> Column:
@@ -104,7 +108,8 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     A null or empty text has no words and fails the base rule.  Other columns, whatever their names, pass untouched;
     rows that repeat are judged each for itself.
     """
-    raw, row, m = f"_{column}_counts", f"_{column}_row", lambda n: F.col(f"_{column}_counts")[n]
+    raw, row = fresh_name([*docs.columns, column], "counts"), fresh_name([*docs.columns, column], "row")
+    m = lambda n: F.col(raw)[n]
     value = {n: m("w")[n] for n in ("n_words", "n_stop_words", "n_repeat_words")} | {n: m("l")[n] for n in ("n_lines", "n_dup_lines")}
     value |= {n: m(n) for n in ("word_chars", "n_symbols", "n_capitals")}
     fails = []
@@ -120,8 +125,12 @@ def quality_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep, with the columns they had."""
-    return quality_table(docs, column="_quality").where("_quality.kept").select(docs.columns)
+    """Pipeline stage: documents that the rules keep, with the columns they had, whatever their names.
+
+    Null and empty texts have no words and go; rows without an id and rows that repeat are judged each for itself.
+    """
+    name = fresh_name(docs.columns, "quality")
+    return quality_table(docs, column=name).where(F.col(name)["kept"]).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
