@@ -26,7 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 1_000_000
 #: Bytes of text that are encoded together.
 SLICE = 1 << 20
-SALTS = 256
+#: About so many pieces are ranked in one task.
+RANKED = 50_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -240,24 +241,26 @@ def _place_batches(batches, places: dict[int, np.ndarray]):
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece; repeated rows are packed each.
 
-    Ranks within a length are counted in salted parts, so one length may hold most pieces.
+    Ranks within a length are counted in salted parts, so one length may hold most pieces.  A null text is empty; null
+    and repeated ids are passed on as they are, an empty table has no pieces, and other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    cut = pieces(docs, path or tokenizer_path(), capacity, id_col, text_col)
-    cut = scratch.save(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    cut = scratch.save(pieces(docs, path or tokenizer_path(), capacity, id_col, text_col), "pieces")
+    salts = cut.count() // RANKED + 1
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = scratch.save(cut.groupBy("length", "salt").agg(F.count("*").alias("c")), "parts")
     histogram = {r.length: r.c for r in parts.groupBy("length").agg(F.sum("c").alias("c")).collect()}
-    places = _places(plan_bins(histogram, capacity))
+    places = spark.sparkContext.broadcast(_places(plan_bins(histogram, capacity)))  # some rows for each length, at most capacity lengths
     before = F.sum("c").over(Window.partitionBy("length").orderBy("salt")) - F.col("c")
     parts = parts.select("length", "salt", before.alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
     ranked = cut.withColumn("own", own).join(parts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
-    return ranked.mapInArrow(lambda it: _place_batches(it, places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lambda it: _place_batches(it, places.value), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: where each piece of the documents lies."""
+    """Pipeline stage: where each piece of the documents lies, null and repeated ids included."""
     return pack(docs)
 
 
