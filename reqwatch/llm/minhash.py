@@ -129,7 +129,7 @@ def _joined(labels: np.ndarray, i: int, others: np.ndarray) -> None:
 
 
 #: Members of a bucket or cluster that meet in one task; larger ones go out as pairs of blocks, losslessly.
-BLOCK = 2048
+BLOCK = 512
 _SMALL = 24
 
 
@@ -233,14 +233,15 @@ def _in_blocks(df: DataFrame, key: str, count: str, item: str) -> DataFrame:
     return out.withColumn("part", part).withColumn("side", side).drop("_blocks", "_mine", "_other")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs.
 
     Null or empty texts have empty sets and link with nothing.  A null id takes no part: its component is null and it is
-    kept.  Rows that repeat an id are one node of the graph.  Other columns of docs are not read.
+    kept.  Rows that repeat an id have each the component of their own text; with one text they are one node.  Other
+    columns of docs are not read.  scratch: where the tables go that the result still reads.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = scratch or Scratch(spark, "near")
     least = percent / 100 - SLACK
     sk = scratch.save(sketch_table(docs, width, id_col, text_col), "sketch")
     classes = sk.where("d1 is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
@@ -254,7 +255,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     rows = members.join(reps, "rep")
     rows = _in_blocks(rows, "key", "c", "rep").select("key", "part", "rep", "n", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", "rep")
     edges = scratch.save(rows.mapInArrow(lambda it: _bucket_edges(it, least), "a long, b long"), "edges")
+    scratch.drop("shared", "members")
     near = scratch.save(components(edges, scratch, "est"), "near")
+    scratch.drop("edges")
     sizes = near.groupBy("component").agg(F.count("*").alias("c"))
     near = scratch.save(near.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "c"), "clusters")
     marks = spark.sparkContext.broadcast(id_marks(near.select("rep")))
@@ -263,9 +266,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     rows = _in_blocks(near.join(sets, near.rep == sets.doc_id).drop("doc_id"), "cluster", "c", "rep")
     rows = rows.select("cluster", "part", "side", "rep", "elements").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "rep")
     links = scratch.save(rows.mapInArrow(lambda it: _cluster_links(it, percent), "a long, b long"), "links")
+    scratch.drop("near", "clusters")
     found = scratch.save(components(links, scratch, "link"), "found")
     ids = classes.select("d1", "d2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     ids = scratch.save(ids.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "ids")
+    scratch.drop("links", "found", "classes")
     out = sk.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -94,7 +94,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
         texts.append((k, " ".join(w)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_components([(k, shingles(t)) for k, t in texts], lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
-    for size in (2048, 7):
+    for size in (512, 7):
         monkeypatch.setattr(minhash, "BLOCK", size)
         monkeypatch.setattr(minhash, "_SMALL", 5)
         assert {i: x.component_id for i, x in by_id(minhash.near_duplicates(df)).items()} == want
