@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+from re import _constants as op
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,46 @@ class Rule:
         """For tests of whether there is a match at all."""
         return to_java_existence(self.expression, self.flags)
 
+    @property
+    def needs(self) -> tuple[str, ...]:
+        """Texts of which one is in the lower-cased text wherever there is a match: a cheap test before the expression."""
+        return required_literals(self.expression)
+
+
+@lru_cache(maxsize=4096)
+def required_literals(expression: str) -> tuple[str, ...]:
+    """Lower-case texts of which all that the expression matches holds one at least; none if it names no such texts."""
+    found = _literals(_parser.parse(expression))
+    return found if all(t.isascii() for t in found) else ()
+
+
+def _literals(parsed) -> tuple[str, ...]:
+    options, run = [], ""
+    for kind, value in parsed:
+        if kind is op.LITERAL:
+            run += chr(value).lower()
+        elif kind not in (op.AT, op.ASSERT, op.ASSERT_NOT):  # these take no room
+            options.append((run,) if run else ())
+            options.append(_literals_of(kind, value))
+            run = ""
+    options.append((run,) if run else ())
+    return max(options, key=lambda o: (min(map(len, o), default=0), -len(o)))
+
+
+def _literals_of(kind, value) -> tuple[str, ...]:
+    if kind is op.SUBPATTERN:
+        return _literals(value[-1])
+    if kind is op.ATOMIC_GROUP:
+        return _literals(value)
+    if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
+        return _literals(value[2]) if value[0] else ()
+    if kind is op.BRANCH:
+        parts = [_literals(x) for x in value[1]]
+        return tuple(dict.fromkeys(t for x in parts for t in x)) if all(parts) else ()
+    if kind is op.IN and len(value) <= 8 and all(k is op.LITERAL for k, _ in value):
+        return tuple(dict.fromkeys(chr(v).lower() for _, v in value))
+    return ()
+
 
 def _starts_word(rest: str) -> bool:
     """Whether all that rest matches begins with a word character, as far as its first element tells."""

@@ -43,13 +43,23 @@ def open_categories(text: Column) -> Column:
 
 def flat_scan(text: Column, custom: list[Rule] | None = None, auth_path: Column | None = None, source: str = "middleware") -> Column:
     """Matches of default and custom rules in text as it is: no gates, no normalisation, no contexts."""
-    found = [F.when(text.rlike(r.exists), _match(k, r.label, r.level, source, "payload")) for k, r in enumerate(default_rules())]
-    for k, r in enumerate(custom_rules()[0] if custom is None else custom):
-        hit = text.rlike(r.exists) & (passes(r.validator, text, r.java) if r.validator else F.lit(True))
-        if auth_path is not None and r.label in fixed.AUTH_SUPPRESSED:
-            hit = hit & ~auth_path
-        found.append(F.when(hit, _match(1000 + k, r.label, r.level, "custom", "payload")))
-    return F.array_compact(F.array(*found))
+    custom = custom_rules()[0] if custom is None else custom
+
+    def found(low: Column) -> Column:
+        hits = [F.when(_holds(r, text, low), _match(k, r.label, r.level, source, "payload")) for k, r in enumerate(default_rules())]
+        for k, r in enumerate(custom):
+            hit = _holds(r, text, low) & (passes(r.validator, text, r.java) if r.validator else F.lit(True))
+            if auth_path is not None and r.label in fixed.AUTH_SUPPRESSED:
+                hit = hit & ~auth_path
+            hits.append(F.when(hit, _match(1000 + k, r.label, r.level, "custom", "payload")))
+        return F.array_compact(F.array(*hits))
+
+    return let(F.lower(text), found)
+
+
+def _holds(rule: Rule, text: Column, low: Column) -> Column:
+    """Whether the rule matches; its expression only runs where the lower-cased text holds what every match holds."""
+    return contains_any(low, list(rule.needs)) & text.rlike(rule.exists) if rule.needs else text.rlike(rule.exists)
 
 
 def _capped(text: Column) -> Column:
@@ -64,7 +74,7 @@ def _sql_match(ord_: int, r: Rule, source: str, context: str) -> str:
     return f"named_struct('ord', {ord_}, 'label', {sql_text(r.label)}, 'level', '{r.level}', 'source', {sql_text(source)}, 'context', '{context}')"
 
 
-def _sql_any(low: str, words: list[str]) -> str:
+def _sql_any(low: str, words) -> str:
     return "(" + " OR ".join(f"contains({low}, {sql_text(w)})" for w in words) + ")"
 
 
@@ -76,14 +86,15 @@ def segment_matches(raw: str, norm: str, context: str, config: EngineConfig, sou
     """
     gate = lambda r: f"g.screened AND g.{r.category} AND" if r.category in fixed.CATEGORY_KEYWORDS else ""
     case = lambda when, k, r, s: f"CASE WHEN {when} THEN {_sql_match(k, r, s, context)} END"
-    found = [case(f"g.screened AND s.raw RLIKE {sql_text(r.exists)}", k, r, source) for k, r in enumerate(evasion_rules())]
+    test = lambda r, c: (f"{_sql_any(f's.l{c}', r.needs)} AND " if r.needs else "") + f"s.{c} RLIKE {sql_text(r.exists)}"
+    found = [case(f"g.screened AND {test(r, 'raw')}", k, r, source) for k, r in enumerate(evasion_rules())]
     for k, r in enumerate(default_rules()):
         if config.mode != "relaxed" or r.level == "high":
-            found.append(case(f"{gate(r)} s.norm RLIKE {sql_text(r.exists)}", 100 + k, r, source))
+            found.append(case(f"{gate(r)} {test(r, 'norm')}", 100 + k, r, source))
     custom = [r for r in custom_rules(config.custom_rules, config.validators)[0] if not r.contexts or context in r.contexts]
     for k, r in enumerate(custom):
         auth = "NOT s.auth AND" if r.label in fixed.AUTH_SUPPRESSED else ""
-        found.append(case(f"{gate(r)} {auth} s.norm RLIKE {sql_text(r.exists)}", 1000 + k, r, "custom"))
+        found.append(case(f"{gate(r)} {auth} {test(r, 'norm')}", 1000 + k, r, "custom"))
     screened = "true" if context == "path" else _sql_any("s.lraw", fixed.PRESCREEN)
     gates = ", ".join([f"'screened', {screened}", *(f"'{c}', {_sql_any('s.lnorm', words)}" for c, words in fixed.CATEGORY_KEYWORDS.items())])
     held = f"named_struct('raw', {raw}, 'norm', {norm}, 'lraw', lower({raw}), 'lnorm', lower({norm}), 'auth', auth_path)"

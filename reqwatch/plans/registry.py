@@ -127,9 +127,9 @@ def rules_from_marks(spark, sf_dir):
     return enrich.rules_from_marks(adapters.threat_logs(spark, sf_dir), _marks(spark, sf_dir))
 
 
-def _fold_sql(key: str, window: int) -> str:
+def _fold_sql(key: str, window: int, logs: str = LOGS) -> str:
     """Recursive SQL that walks a key's seconds: keep marks those that begin a window."""
-    return f"""WITH RECURSIVE logs AS ({LOGS}), s AS (SELECT {key}, floor(epoch(created_at))::BIGINT AS sec, count(*) AS n, min(id) AS first FROM logs GROUP BY ALL),
+    return f"""WITH RECURSIVE logs AS ({logs}), s AS (SELECT {key}, floor(epoch(created_at))::BIGINT AS sec, count(*) AS n, min(id) AS first FROM logs GROUP BY ALL),
  o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sec) AS k FROM s),
  w AS (SELECT {key}, sec, n, first, k, sec AS start, true AS keep, n AS upto FROM o WHERE k = 1 UNION ALL
        SELECT {", ".join("o." + c.strip() for c in key.split(","))}, o.sec, o.n, o.first, o.k, CASE WHEN o.sec >= w.start + {window} THEN o.sec ELSE w.start END, o.sec >= w.start + {window}, CASE WHEN o.sec >= w.start + {window} THEN o.n ELSE w.upto + o.n END
@@ -152,7 +152,7 @@ def ddos_counter(spark, sf_dir):
 
 
 def _flat(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    found = df.select(key, F.explode(detect.flat_scan(F.col(text_col), custom=[r for r in patterns.custom_rules()[0] if r.validator is None])).alias("m"))
+    found = adapters.spread(df.select(key, text_col)).select(key, F.explode(detect.flat_scan(F.col(text_col), custom=[r for r in patterns.custom_rules()[0] if r.validator is None])).alias("m"))
     plain = {label for label, *_ in _portable()}
     return found.select(key, "m.label", "m.level", "m.source").where(F.col("label").isin(sorted(plain))).groupBy("label", "level", "source").agg(F.count("*").alias("hits"), F.min(key).alias("first"), F.max(key).alias("last"))
 
@@ -180,7 +180,7 @@ def _flat_all(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """Every shipped rule with its check digits, look-around or not; other engines cannot say these, so there is no SQL."""
     config = EngineConfig()
     custom = patterns.custom_rules(config.custom_rules, config.validators)[0]
-    found = df.select(key, F.explode(detect.flat_scan(F.col(text_col), custom=custom)).alias("m"))
+    found = adapters.spread(df.select(key, text_col)).select(key, F.explode(detect.flat_scan(F.col(text_col), custom=custom)).alias("m"))
     return found.groupBy("m.label", "m.level", "m.source").agg(F.count("*").alias("hits"), F.min(key).alias("first"), F.max(key).alias("last"))
 
 
@@ -322,7 +322,7 @@ def normalize_pages(spark, sf_dir):
 @query("request_pipeline")
 def request_pipeline(spark, sf_dir):
     """pages as requests, all the way to log rows."""
-    return detect.log_rows(adapters.page_requests(spark, sf_dir), EngineConfig(), adapters.exclusion_rules(spark))
+    return detect.log_rows(adapters.spread(adapters.page_requests(spark, sf_dir)), EngineConfig(), adapters.exclusion_rules(spark))
 
 
 @query("request_alerts")
@@ -330,9 +330,15 @@ def request_alerts(spark, sf_dir):
     return export.alerts(request_pipeline(spark, sf_dir))
 
 
-@query("flood_rows")
+_FLOODS = """, f AS (SELECT ip_address, sec, row_number() OVER (PARTITION BY ip_address ORDER BY sec) AS k FROM w WHERE upto > 3),
+ v AS (SELECT ip_address, sec, k, sec AS start, true AS keep FROM f WHERE k = 1 UNION ALL
+       SELECT f.ip_address, f.sec, f.k, CASE WHEN f.sec >= v.start + 86400 THEN f.sec ELSE v.start END, f.sec >= v.start + 86400 FROM v JOIN f ON f.ip_address = v.ip_address AND f.k = v.k + 1)
+ SELECT ip_address, make_timestamp(sec * 1000000) AS created_at, '[ddos] Excessive Requests' AS type, 'high' AS threat_level, 90 AS confidence_score, 'very_high' AS confidence_label, 'Exceeded 3 requests in 86400 seconds' AS payload FROM v WHERE keep"""
+
+
+@query("flood_rows", _fold_sql("ip_address", 86400) + _FLOODS)
 def flood_rows(spark, sf_dir):
-    return suppress.flood_rows(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400)
+    return suppress.flood_rows(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("health_check", "SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema')) AS h(status, title)")
@@ -341,7 +347,12 @@ def health_check(spark, sf_dir):
     return report.select("status", "title")
 
 
-@query("stream_dedup")
+_STREAMED = "SELECT event_id AS id, concat('10.0.', user_id // 256, '.', user_id % 256) AS ip_address, concat('[middleware] ', event_type) AS type, ts AS created_at FROM events"
+_FIRSTS = """, r AS (SELECT id, ip_address, type, created_at, floor(epoch(created_at))::BIGINT AS sec FROM logs QUALIFY row_number() OVER (PARTITION BY ip_address, type, floor(epoch(created_at)) ORDER BY created_at, id) = 1)
+ SELECT r.* EXCLUDE (sec) FROM r JOIN w USING (ip_address, type, sec) WHERE w.keep"""
+
+
+@query("stream_dedup", _fold_sql("ip_address, type", 86400, _STREAMED) + _FIRSTS)
 def stream_dedup(spark, sf_dir):
     """The log's rows as one stream through the stateful de-duplication, written as Parquet and read back."""
     kind = adapters.table(spark, sf_dir, "events").schema
@@ -352,4 +363,4 @@ def stream_dedup(spark, sf_dir):
     out = state.deduplicated(rows, 86400, "60 days")
     q = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/rows")
+    return spark.read.schema(out.schema).parquet(f"{root}/rows").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))

@@ -34,11 +34,13 @@ def test_against_sql(spark, duck, sf_dir, name):
 
 
 def test_stream_equals_batch(spark, sf_dir):
-    batch = {r.id for r in QUERIES["dedup_window"](spark, sf_dir).collect()}
-    assert len({r.id for r in QUERIES["stream_dedup"](spark, sf_dir).collect()}) == len(batch)
+    """The same address and second of each window, whatever the labels are called."""
+    logs = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "event_type", "unix_timestamp(ts) AS sec")
+    seconds = lambda df: sorted(map(tuple, df.join(logs, "id").select("ip_address", "event_type", "sec").collect()))
+    assert seconds(QUERIES["stream_dedup"](spark, sf_dir)) == seconds(QUERIES["dedup_window"](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", ["normalize_pages", "request_pipeline", "request_alerts", "flood_rows"])
+@pytest.mark.parametrize("name", ["normalize_pages", "request_pipeline", "request_alerts"])
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
