@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, table, text_slices
 
 GEAR = mix64(np.arange(101, 357, dtype=np.uint64)).astype(np.uint32)
-#: Bytes that the rolling hash sees: as many as it has bits.
-WINDOW, REACH, LONGEST = 32, 32, 2048
+#: Bytes that the rolling hash sees (as many as it has bits); places on either side among which a cut is the smallest, and
+#: so the least size of a chunk: below it common phrases of unrelated texts count as copies; the largest size of a chunk.
+WINDOW, REACH, LONGEST = 32, 56, 2048
 
 
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
