@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ ROUNDS, LONGEST, START = 3, 12, "▁"
 #: What a character outside the vocabulary weighs, and a piece that the language never used (in expected uses).
 UNKNOWN, PRIOR = 1e-7, 0.01
 REMEMBERED = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS, _ONLY = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+#: Forward and backward values that are held at once in training.
+CELLS = 1 << 19
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,7 +37,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def load_pieces(path: str) -> list[str]:
-    """The vocabulary's lower-case pieces of letters, with or without a word start, of up to LONGEST characters."""
+    """The vocabulary's lower-case pieces of letters, with or without a word start, of up to LONGEST characters.
+
+    Others never count: words are of letters alone, and what only a longer piece would cover is summed over shorter ones.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -155,8 +161,12 @@ class Model:
 def expected_uses(index: PieceIndex, p: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words, over all segmentations under piece probabilities p (last entry 0)."""
     total = np.zeros(len(p) - 1)
-    for at in range(0, len(words), 8192):
-        part, weight = words[at : at + 8192], counts[at : at + 8192]
+    longest_first = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    at = 0
+    while at < len(words):
+        own = longest_first[at : at + max(1, CELLS // (len(words[longest_first[at]]) + 2))]
+        at += len(own)
+        part, weight = [words[i] for i in own], counts[own]
         order, codes, starts, lengths = _layout(part)
         weight, m = weight[order], int(lengths[0])
         left = np.repeat(lengths, lengths) - (np.arange(len(codes)) - np.repeat(starts, lengths))
@@ -187,7 +197,9 @@ def expected_uses(index: PieceIndex, p: np.ndarray, words: list[str], counts: np
 
 
 def letters_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, lower-cased; numbers that are no digits, such as fractions, part them like all else."""
+    found = _LETTERS.findall(text.lower())
+    return found if not found or "".join(found).isalpha() else [w for x in found for w in _ONLY.findall(x)]
 
 
 def train(counts: list[tuple[str, str, int]], path: str) -> Model:
@@ -197,7 +209,7 @@ def train(counts: list[tuple[str, str, int]], path: str) -> Model:
     langs = sorted({lang for lang, _, _ in counts})
     table_ = np.zeros((len(pieces) + 1, len(langs)))
     for j, lang in enumerate(langs):
-        own = sorted((w, n) for k, w, n in counts if k == lang and 0 < len(w) <= 40)
+        own = sorted((w, n) for k, w, n in counts if k == lang)
         p = np.full(len(pieces) + 1, 1.0 / len(pieces))
         p[-1] = 0
         for _ in range(ROUNDS if own else 0):
