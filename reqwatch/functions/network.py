@@ -7,7 +7,6 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def parse_networks(entries) -> list:
@@ -70,15 +69,12 @@ def in_v4(ip: Column, entries) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def looked_up(values: pd.Series) -> pd.Series:
-    """Whether a geo lookup makes sense: a valid address, neither private nor reserved."""
+#: Fixed values.  Private and reserved blocks, of which no geo lookup can know a place.
+UNPLACED = [
+    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7", "0.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "240.0.0.0/4", "::/128", "::1/128", "fe80::/10", "2001:db8::/32", "5f00::/8", "3ff3::/16", "2001:10::/28",
+]
 
-    def one(v):
-        try:
-            a = ipaddress.ip_address(v)
-            return not (a.is_private or a.is_reserved or a.is_loopback or a.is_link_local or a.is_multicast)
-        except ValueError:
-            return False
 
-    return values.fillna("").map(one)
+def looked_up(ip: Column) -> Column:
+    """Whether a geo lookup makes sense: a valid address, neither private nor reserved."""
+    return F.when(v4_number(ip).isNotNull(), ~in_v4(ip, UNPLACED)).otherwise(in_networks(ip, ["::/0"]) & ~in_networks(ip, UNPLACED))

@@ -54,3 +54,13 @@ def correlation_summary(logs: DataFrame, as_of: str, windows: tuple[int, int, in
         rapid_attackers(logs, as_of, windows[2], least[2]).agg(F.count("*").alias("rapid_attackers")),
     ]
     return parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # one row each
+
+
+KINDS = {"coordinated": (coordinated_attacks, "coordinated_attacks"), "campaigns": (campaigns, "attack_campaigns"), "rapid": (rapid_attackers, "rapid_attackers")}
+
+
+def correlation(logs: DataFrame, as_of: str, kind: str = "all") -> dict[str, DataFrame]:
+    """The reports that kind asks for, by name, with their usual bounds."""
+    if kind != "all" and kind not in KINDS:
+        raise ValueError(f"kind must be all or one of {sorted(KINDS)}")
+    return {name: report(logs, as_of) for k, (report, name) in KINDS.items() if kind in ("all", k)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.network import looked_up
 from .reports import since
 
 
@@ -24,6 +25,11 @@ def candidates(logs: DataFrame, as_of: str, days: int = 7, force: bool = False)
     return rows.select("ip_address").distinct()
 
 
+def lookups(logs: DataFrame, as_of: str, days: int = 7, force: bool = False) -> DataFrame:
+    """Candidates that a geo service is asked for: private, reserved and odd addresses are skipped."""
+    return candidates(logs, as_of, days, force).where(looked_up(F.col("ip_address")))
+
+
 def enriched(logs: DataFrame, geo: DataFrame, home_country: str = "IN", force: bool = False) -> DataFrame:
     """logs with the geo columns of geo (ip_address, country_code, country_name, city, isp, org).
 

@@ -100,6 +100,17 @@ def floods(rows: DataFrame, threshold: int = 300, window_s: int = 60, key: str =
     return w.where(F.col("requests") > threshold).select(key, "sec", "requests", (F.col("requests") - F.greatest("before", F.lit(threshold))).alias("over"))
 
 
+def flood_count(rows: DataFrame, as_of, window_s: int = 60, key: str = "ip_address", time_col: str = "created_at") -> DataFrame:
+    """(key, requests): what each key's counter shows at as_of, a time in seconds; none where the last window is over.
+
+    A look at the past: events after as_of do not count, and looking counts nothing.
+    """
+    w = flood_windows(rows.where(F.unix_timestamp(time_col) <= as_of), key, time_col, window_s)
+    began = F.max(F.when(F.col("before") == 0, F.col("sec")))
+    held = w.groupBy(key).agg(began.alias("began"), F.max_by(F.col("before") + F.col("n"), "sec").alias("requests"))
+    return held.where(F.col("began") + window_s > as_of).select(key, "requests")
+
+
 def flood_rows(rows: DataFrame, threshold: int = 300, window_s: int = 60, dedup_s: int = 300) -> DataFrame:
     """The log row of each flood, once per de-duplication window and address."""
     found = floods(rows, threshold, window_s).select("ip_address", F.timestamp_seconds("sec").alias("created_at"), F.col("sec").alias("id"))

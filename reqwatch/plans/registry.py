@@ -95,6 +95,15 @@ _report("enrich_candidates", lambda x: enrich.candidates(x, AS_OF), f"SELECT DIS
 _report("log_lines", lambda x: x.select("id", export.log_line(F.col("threat_level"), F.col("type"), F.col("ip_address"), F.col("url"), F.col("confidence_score")).alias("line")), "SELECT id, concat('[', threat_level, '] Threat Detected: ', type, ' from ', ip_address, ' (', url, ') [confidence: ', confidence_score, '%]') AS line FROM logs")
 
 
+@query("geo_lookups", f"""WITH logs AS ({LOGS}), n AS (SELECT user_id * 37 % 256 AS a, user_id * 11 % 256 AS b, user_id % 256 AS c, created_at FROM logs)
+ SELECT DISTINCT concat(a, '.', b, '.', c, '.7') AS ip_address FROM n WHERE {_LAST(7 * 86400)} AND NOT (a IN (0, 10, 127) OR a >= 240 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 169 AND b = 254)""")
+def geo_lookups(spark, sf_dir):
+    """Log rows with addresses of all kinds: those that a geo service is asked for."""
+    user = F.col("user_id")
+    rows = adapters.threat_logs(spark, sf_dir).withColumn("ip_address", F.format_string("%d.%d.%d.7", user * 37 % 256, user * 11 % 256, user % 256))
+    return enrich.lookups(rows.withColumn("country_code", F.lit(None).cast("string")), AS_OF)
+
+
 @query("purge_orphan_rules", WITH + f"SELECT id FROM (VALUES (1, 10), (2, 20), (3, NULL), (4, 99999999), (5, NULL)) AS r(id, made_from) WHERE made_from IS NULL OR made_from IN (SELECT id FROM logs WHERE {_LAST(30 * 86400)})")
 def purge_orphan_rules(spark, sf_dir):
     return enrich.purged_rules(adapters.exclusion_rules(spark), enrich.purged(logs(spark, sf_dir), AS_OF, 30)).select(F.col("id").cast("int").alias("id"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reqwatch.config import EngineConfig
 from reqwatch.functions import checksums, network, normalize, patterns, scoring
-from reqwatch.operators import detect, export, segments, suppress
+from reqwatch.operators import correlate, detect, export, segments, suppress
 from reqwatch.sources import schema
 
 
@@ -84,6 +84,29 @@ def test_address_lists(spark):
     assert not spark.range(1).select(network.blocked(F.lit("203.0.113.7"), nets, ["203.0.113.7"]).alias("b")).first().b
 
 
+def test_looked_up(spark):
+    want = {"8.8.8.8": True, "203.0.113.7": True, "10.1.2.3": False, "172.20.0.1": False, "192.168.1.1": False, "127.0.0.1": False, "169.254.169.254": False, "0.1.2.3": False, "250.1.1.1": False, "2606:4700::1": True, "fd00::1": False, "::1": False, "fe80::1": False, "odd": False, "": False, None: False}
+    df = spark.createDataFrame([(v,) for v in want], "ip string").select("ip", network.looked_up(F.col("ip")).alias("h"))
+    assert {r.ip: bool(r.h) for r in df.collect()} == want
+
+
+def test_flood_count(spark):
+    times = [0, 10, 59, 60, 61, 200]
+    df = spark.createDataFrame([("a", t) for t in times] + [("b", 5)], "ip_address string, t long").withColumn("created_at", F.timestamp_seconds("t"))
+    shown = lambda at: {r.ip_address: r.requests for r in suppress.flood_count(df, at).collect()}
+    assert shown(9) == {"a": 1, "b": 1} and shown(59) == {"a": 3, "b": 1} and shown(61) == {"a": 2, "b": 1}
+    assert shown(65) == {"a": 2} and shown(130) == {} and shown(200) == {"a": 1}
+
+
+def test_correlation_kinds(spark):
+    rows = spark.createDataFrame([(k, f"10.0.0.{k % 4}", "https://e.com/x", "[m] T") for k in range(12)], "id long, ip_address string, url string, type string").withColumn("created_at", F.to_timestamp(F.lit("2024-01-30 23:59:30")))
+    got = correlate.correlation(rows, "2024-01-31 00:00:00")
+    assert list(got) == ["coordinated_attacks", "attack_campaigns", "rapid_attackers"] and got["coordinated_attacks"].first().unique_ips == 4
+    assert list(correlate.correlation(rows, "2024-01-31 00:00:00", "rapid")) == ["rapid_attackers"]
+    with pytest.raises(ValueError):
+        correlate.correlation(rows, "2024-01-31 00:00:00", "odd")
+
+
 def test_normalisation():
     n = normalize.normalize_bytes
     assert n(b"UNION/* x */SELECT") == b"UNION SELECT"
