@@ -66,11 +66,14 @@ def by_id(logs: DataFrame, id_: int) -> DataFrame:
 
 
 def stats(logs: DataFrame, as_of: str) -> DataFrame:
-    """Totals in one pass."""
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
-    return logs.agg(
-        F.count("*").alias("total"), *(count(F.col("threat_level") == x).alias(x) for x in LEVELS), F.countDistinct("ip_address").alias("unique_ips"), F.countDistinct(F.when(F.col("is_foreign"), F.col("ip_address"))).alias("foreign_ips"),
-        count(F.col("cloud_provider").isNotNull()).alias("cloud_attacks"), count(F.to_date("created_at") == F.to_date(_at(as_of))).alias("today"), count(F.col("created_at") >= _at(as_of) - F.expr("INTERVAL 1 HOUR")).alias("last_hour"),
+    """Totals in one pass: rows are counted by address first, so both numbers of addresses come of one small shuffle."""
+    day, hour = F.to_date(_at(as_of)), _at(as_of) - F.expr("INTERVAL 1 HOUR")
+    sums = {x: F.col("threat_level") == x for x in LEVELS} | {"cloud_attacks": F.col("cloud_provider").isNotNull(), "today": F.to_date("created_at") == day, "last_hour": F.col("created_at") >= hour}
+    per = logs.groupBy("ip_address").agg(F.count("*").alias("total"), F.max("is_foreign").alias("foreign"), *(F.count_if(c).alias(x) for x, c in sums.items()))
+    whole = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x)
+    own = F.col("ip_address")
+    return per.agg(
+        whole("total"), *map(whole, LEVELS), F.count(own).alias("unique_ips"), F.count(F.when(F.col("foreign"), own)).alias("foreign_ips"), *map(whole, list(sums)[len(LEVELS) :]),
     )
 
 

@@ -1,14 +1,15 @@
 """Suppression: exclusion rules, windows anchored at the first event of a key, and flood counting.
 
 The anchored windows are folds over a key's times in order.  A key's times are first thinned to one row per second and
-key, with a count, so that a hot key grows with the seconds it covers and not with its events, and the fold runs as a
-grouped function over batches in order, holding a few numbers.
+key, with a count, so that a hot key grows with the seconds it covers and not with its events, and the fold runs over
+batches in order, holding a few numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,42 +37,49 @@ def excluded(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return keyed.join(rules, on, "left_anti").drop("_own", "_path")
 
 
-def _fold(step, keys: list[str], schema: str):
-    """Runs step over each key's seconds in order; rows of all keys come sorted within a partition."""
+def windowed(batches: Iterator[pd.DataFrame], keys: list[str], window_s: int) -> Iterator[pd.DataFrame]:
+    """Adds to each key's seconds, sorted, whether one opens a window, and how many events its window held before it.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                own = tuple(getattr(row, k) for k in keys)
-                if own != key:
-                    key, state = own, None
-                state, value = step(state, row.sec, row.n)
-                out.append(value)
-            yield pdf.assign(value=out)[[*keys, "sec", "value"]]
-
-    return run
-
-
-def _seconds(rows: DataFrame, keys: list[str], time_col: str) -> DataFrame:
-    per = rows.groupBy(*keys, F.unix_timestamp(time_col).alias("sec")).agg(F.count("*").alias("n"))
-    return per.repartition(*keys).sortWithinPartitions(*keys, "sec")
+    From the second that opens a window the next one is found by a search, so steps are taken per window, not per row.
+    The window that a batch ends in goes on in the next.
+    """
+    key, start, held = None, 0, 0
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        names, sec, n = pdf[keys].to_numpy(), pdf["sec"].to_numpy(), pdf["n"].to_numpy()
+        group = np.cumsum(np.append(False, (names[1:] != names[:-1]).any(axis=1)))
+        low = sec.min()
+        line = group * (sec.max() - low + window_s + 1) + sec - low  # keys one after the other, more than a window apart
+        after = np.searchsorted(line, line + window_s).tolist()
+        at, opens = int(np.searchsorted(line, start + window_s - low)) if names[0].tolist() == key else 0, []
+        while at < len(sec):
+            opens.append(at)
+            at = after[at]
+        opened = np.zeros(len(sec), bool)
+        opened[opens] = True
+        total = np.cumsum(n) - n
+        before = total - np.append(total[opens], -held)[np.cumsum(opened) - 1]
+        key, held = names[-1].tolist(), before[-1] + n[-1]
+        start = sec[opens[-1]] if opens else start
+        yield pdf[[*keys, "sec", "n"]].assign(opened=opened, before=before)
+
+
+def _windows(rows: DataFrame, keys: list[str], time_col: str, window_s: int) -> DataFrame:
+    """(keys, sec, n, opened, before) of each key and second with events; rows without a time or a key are in no window."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sec long, n long, opened boolean, before long"
+    per = rows.groupBy(*keys, F.unix_timestamp(time_col).alias("sec")).agg(F.count("*").alias("n")).dropna(subset=[*keys, "sec"])
+    per = per.repartition(*keys).sortWithinPartitions(*keys, "sec")
+    return per.mapInPandas(lambda it: windowed(it, keys, window_s), schema)
 
 
 def first_in_window(rows: DataFrame, keys: list[str], time_col: str = "created_at", window_s: int = 300, order_col: str = "id") -> DataFrame:
     """Rows that are not within window_s seconds after the last row kept of their key.  Dropped rows do not extend it.
 
-    Of a key's rows in one second the smallest order_col stands.
+    Of a key's rows in one second the smallest order_col stands.  Rows without a time or without one of the keys go.
     """
-
-    def step(last, sec, n):
-        keep = last is None or sec >= last + window_s
-        return (sec if keep else last), keep
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sec long, value boolean"
-    kept = _seconds(rows, keys, time_col).mapInPandas(_fold(step, keys, schema), schema).where("value").drop("value")
+    kept = _windows(rows, keys, time_col, window_s).where("opened").select(*keys, "sec")
     least = rows.groupBy(*keys, F.unix_timestamp(time_col).alias("sec")).agg(F.min(order_col).alias("_first"))
     picked = least.join(kept, [*keys, "sec"]).select(F.col("_first"))
     return rows.join(picked, rows[order_col] == picked["_first"], "left_semi")
@@ -82,16 +90,7 @@ def flood_windows(rows: DataFrame, key: str = "ip_address", time_col: str = "cre
 
     A window begins with the first event after the last one's end and lasts window_s seconds.
     """
-
-    def step(state, sec, n):
-        start, count = state if state and sec < state[0] + window_s else (sec, 0)
-        return (start, count + n), count
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"{key} {types[key]}, sec long, value long"
-    counted = _seconds(rows, [key], time_col)
-    before = counted.mapInPandas(_fold(step, [key], schema), schema).withColumnRenamed("value", "before")
-    return counted.join(before, [key, "sec"])
+    return _windows(rows, [key], time_col, window_s).select(key, "sec", "n", "before")
 
 
 def floods(rows: DataFrame, threshold: int = 300, window_s: int = 60, key: str = "ip_address", time_col: str = "created_at") -> DataFrame:

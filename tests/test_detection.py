@@ -1,5 +1,7 @@
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,33 @@ def test_windows(spark):
     assert suppress.flood_rows(df, 2, 300).count() == 1
 
 
+def test_windows_of_batches():
+    """Against a walk through the seconds, however they are cut into batches; one key holds most of them."""
+    r, window = random.Random(8), 60
+    seconds = {("a" if k < 300 else r.choice("bcdefgh"), r.randrange(20_000 if k < 300 else 900)) for k in range(500)}
+    pdf = pd.DataFrame(sorted((k, t, r.randint(1, 5)) for k, t in seconds), columns=["key", "sec", "n"])
+    opened, before, state = [], [], {}
+    for k, t, n in pdf.itertuples(index=False):
+        start, count = state.get(k, (t - window, 0))
+        opened.append(t >= start + window)
+        start, count = (t, 0) if opened[-1] else (start, count)
+        before.append(count)
+        state[k] = start, count + n
+    for size in (1, 2, 7, 100, len(pdf)):
+        cuts = (pdf[k : k + size] for k in range(0, len(pdf), size))
+        got = pd.concat(suppress.windowed(cuts, ["key"], window))
+        assert got["opened"].tolist() == opened and got["before"].tolist() == before
+    assert not list(suppress.windowed(iter([pdf[:0]]), ["key"], window))
+
+
+def test_windows_without_time_or_key(spark):
+    rows = [(1, "a", None), (2, "a", 100), (3, "a", 130), (4, None, 100), (5, "a", 400), (6, "a", None), (7, "b", None)]
+    df = spark.createDataFrame(rows, "id long, ip_address string, t long").withColumn("created_at", F.timestamp_seconds("t"))
+    assert sorted(x.id for x in suppress.first_in_window(df, ["ip_address"]).collect()) == [2, 5]
+    none = df.limit(0)
+    assert suppress.first_in_window(none, ["ip_address"]).count() == suppress.floods(none).count() == 0
+
+
 def test_exclusions(spark):
     rows = spark.createDataFrame([(1, "[query] XSS Script Tag", "https://e.com/blog/post-1"), (2, "[query] XSS Script Tag", "https://e.com/admin/users"), (3, "[q] SQL Injection UNION", "https://e.com/a"), (4, "[q] Other", None)], "id long, type string, url string")
     rules = spark.createDataFrame([("XSS Script Tag", "blog/*", True), ("SQL", None, True), ("Other", "", False)], "pattern_label string, path_pattern string, is_active boolean")
