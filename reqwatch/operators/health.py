@@ -1,11 +1,11 @@
-"""Health check: schemas, settings and shadowed rules."""
+"""Health check: schemas, settings, shadowed rules and the folder that streams keep their state in."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import EngineConfig
-from ..functions import fixed
+from ..functions import patterns
 from ..sources import schema
 
 
@@ -19,11 +19,16 @@ def health(spark: SparkSession, logs: DataFrame | None = None, rules: DataFrame
     known = set(EngineConfig.__dataclass_fields__)
     for name in sorted(set(settings or known) ^ known):
         out.append(("warning", f"setting {name} is {'unknown' if name not in known else 'missing'}", "bring the settings up to date"))
-    built_in = {label for label, *_ in fixed.DEFAULT_RULES}
-    for spec in config.custom_rules:
-        label = spec.get("label") if isinstance(spec, dict) else spec[0]
-        if label in built_in:
-            out.append(("warning", f"custom rule shadows {label}", "rename it"))
+    built_in = {r.label: (r.expression, r.flags) for r in patterns.default_rules()}
+    found, said = patterns.custom_rules(config.custom_rules, config.validators)
+    out += [("warning", f"custom rule {what}", "mend the rule") for what in said]
+    for r in found:
+        if r.label in built_in and (r.expression, r.flags) != built_in[r.label]:  # the same expression shadows nothing
+            out.append(("warning", f"custom rule shadows {r.label}", "rename it"))
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.master", "local").startswith("local"):
+        out.append(("ok", "streams have a shared folder for their state", ""))
+    else:
+        out.append(("warning", "streams have no shared folder for their state", "set spark.checkpoint.dir"))
     return spark.createDataFrame(out, "status string, title string, fix string")
 
 

@@ -350,26 +350,48 @@ def flood_rows(spark, sf_dir):
     return suppress.flood_rows(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@query("health_check", "SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema')) AS h(status, title)")
+@query("health_check", "SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema'), ('ok', 'streams have a shared folder for their state')) AS h(status, title)")
 def health_check(spark, sf_dir):
     report = health.health(spark, schema.empty(spark, schema.THREAT_LOGS), schema.empty(spark, schema.EXCLUSION_RULES))
     return report.select("status", "title")
 
 
-_STREAMED = "SELECT event_id AS id, concat('10.0.', user_id // 256, '.', user_id % 256) AS ip_address, concat('[middleware] ', event_type) AS type, ts AS created_at FROM events"
 _FIRSTS = """, r AS (SELECT id, ip_address, type, created_at, floor(epoch(created_at))::BIGINT AS sec FROM logs QUALIFY row_number() OVER (PARTITION BY ip_address, type, floor(epoch(created_at)) ORDER BY created_at, id) = 1)
  SELECT r.* EXCLUDE (sec) FROM r JOIN w USING (ip_address, type, sec) WHERE w.keep"""
 
 
-@query("stream_dedup", _fold_sql("ip_address, type", 86400, _STREAMED) + _FIRSTS)
-def stream_dedup(spark, sf_dir):
-    """The log's rows as one stream through the stateful de-duplication, written as Parquet and read back."""
-    kind = adapters.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a glob may be one file or a folder
-    user, label = F.col("user_id"), F.concat(F.lit("[middleware] "), F.col("event_type"))
-    rows = stream.select(F.col("event_id").alias("id"), F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("ip_address"), label.alias("type"), F.col("ts").cast("timestamp").alias("created_at"))
+def _landed(spark: SparkSession, out: DataFrame, *times: str) -> DataFrame:
+    """What a stream yields of all that is there, written as Parquet and read back; times without a zone, as the tables have them."""
     root = f"{state.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    out = state.deduplicated(rows, 86400, "60 days")
     q = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/rows").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return spark.read.schema(out.schema).parquet(f"{root}/rows").withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+@query("stream_dedup", _fold_sql("ip_address, type", 86400) + _FIRSTS)
+def stream_dedup(spark, sf_dir):
+    """The log's rows as one stream through the stateful de-duplication."""
+    return _landed(spark, state.deduplicated(adapters.log_stream(spark, sf_dir), 86400, "60 days"), "created_at")
+
+
+@query("stream_flood_alerts", _fold_sql("ip_address", 86400) + "SELECT ip_address, make_timestamp(start * 1000000) AS started, 4::BIGINT AS requests FROM w WHERE upto > 3 AND upto - n <= 3")
+def stream_flood_alerts(spark, sf_dir):
+    return _landed(spark, state.flood_alerts(adapters.log_stream(spark, sf_dir), 3, 86400, "60 days"), "started")
+
+
+_HOURS = """, c AS (SELECT time_bucket(INTERVAL 6 HOURS, created_at) AS "start", threat_level, count(*) AS n FROM logs GROUP BY ALL)
+ SELECT "start", "start" + INTERVAL 6 HOURS AS "end", threat_level, n FROM c WHERE "start" + INTERVAL 6 HOURS <= (SELECT max(created_at) FROM logs) - INTERVAL 1 DAY"""
+
+
+@query("stream_window_counts", f"WITH logs AS ({LOGS})" + _HOURS)
+def stream_window_counts(spark, sf_dir):
+    """Windows that a watermark of a day has closed."""
+    return _landed(spark, state.windowed_counts(adapters.log_stream(spark, sf_dir), "6 hours", watermark="1 day"), "start", "end")
+
+
+@query("stream_log", f"WITH logs AS ({LOGS}) SELECT id, type, threat_level, created_at FROM logs")
+def stream_log(spark, sf_dir):
+    """The log's rows through the streaming sink, read back from the log."""
+    root = f"{state.shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    state.to_log(adapters.log_stream(spark, sf_dir), f"{root}/log", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/log").select("id", "type", "threat_level", F.col("created_at").cast("timestamp_ntz"))

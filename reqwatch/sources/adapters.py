@@ -33,7 +33,18 @@ def pick(values: tuple[str, ...], number) -> F.Column:
 
 def threat_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as log rows without geo columns."""
-    e, user = table(spark, sf_dir, "events"), F.col("user_id")
+    return _as_logs(table(spark, sf_dir, "events"))
+
+
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a stream, their time a timestamp, as watermarks want it."""
+    kind = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a glob may be one file or a folder
+    return _as_logs(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _as_logs(e: DataFrame) -> DataFrame:
+    user = F.col("user_id")
     label, level = F.lit(None), F.lit("low")
     for k, v in LABELS.items():
         label = F.when(F.col("event_type") == k, v).otherwise(label)

@@ -31,8 +31,17 @@ def firsts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(sec=sec).sort_values(["created_at", "id"]).drop_duplicates("sec")
 
 
+def per_second(pdf: pd.DataFrame, held: pd.Series | None = None) -> pd.Series:
+    """Events of each second, added to those held."""
+    n = (pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000).value_counts()
+    return n if held is None else held.add(n, fill_value=0)
+
+
 def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minutes") -> DataFrame:
-    """The stream's rows (id, ip_address, type, created_at) that are first in their key's anchored window."""
+    """The stream's rows (id, ip_address, type, created_at) that are first in their key's anchored window.
+
+    Rows without a time or without a part of the key go, as in suppress.first_in_window.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,49 +58,67 @@ def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minu
             keep.append(ok)
         state.update((int(last),))
         state.setTimeoutTimestamp(max(int((last + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pdf[keep][["id", "ip_address", "type", "created_at"]]
+        if any(keep):
+            yield pdf[keep][["id", "ip_address", "type", "created_at"]]
 
-    out = rows.select("id", "ip_address", "type", "created_at").withWatermark("created_at", watermark).groupBy("ip_address", "type")
+    timed = rows.select("id", "ip_address", "type", "created_at").dropna(subset=["ip_address", "type", "created_at"])
+    out = timed.withWatermark("created_at", watermark).groupBy("ip_address", "type")
     return out.applyInPandasWithState(step, DEDUP_SCHEMA, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def flood_alerts(rows: DataFrame, threshold: int = 300, window_s: int = 60, watermark: str = "10 minutes") -> DataFrame:
-    """(ip_address, started, requests) once for each window of an address that goes beyond the threshold."""
+    """(ip_address, started, requests) once for each window of an address that goes beyond the threshold.
+
+    requests: the count that does so.  Rows without a time or an address are in no window.  A batch's rows are counted by
+    second as they come, so a hot address grows with its seconds and not with its requests.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         start, n = state.get if state.exists else (None, 0)
-        pdf = pd.concat(list(batches)).sort_values("created_at")
+        seconds = None
+        for batch in batches:
+            seconds = per_second(batch, seconds)
         out = []
-        for sec in pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000:
+        for sec, more in seconds.sort_index().astype("int64").items():
             if start is None or sec >= start + window_s:
                 start, n = int(sec), 0
-            n += 1
-            if n == threshold + 1:
-                out.append((key[0], pd.Timestamp(start, unit="s"), n))
+            if n <= threshold < n + more:
+                out.append((key[0], pd.Timestamp(start, unit="s"), threshold + 1))
+            n += int(more)
         state.update((int(start), int(n)))
         state.setTimeoutTimestamp(max((start + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["ip_address", "started", "requests"])
+        if out:
+            yield pd.DataFrame(out, columns=["ip_address", "started", "requests"])
 
-    out = rows.select("ip_address", "created_at").withWatermark("created_at", watermark).groupBy("ip_address")
+    out = rows.select("ip_address", "created_at").dropna().withWatermark("created_at", watermark).groupBy("ip_address")
     return out.applyInPandasWithState(step, FLOOD_SCHEMA, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(rows: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
-    """Log rows per event-time window and level."""
+    """Log rows per event-time window and level, once the watermark has passed the window's end.  Rows without a time go."""
     window = F.window("created_at", width, slide) if slide else F.window("created_at", width)
     out = rows.withWatermark("created_at", watermark).groupBy(window.alias("w"), "threat_level").agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "threat_level", "n")
 
 
+def append(batch: DataFrame, path: str, number: int) -> None:
+    """Writes a batch's rows to the log at path, under its number: all of them or none, and a repeated batch replaces itself."""
+    batch.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def to_log(stream: DataFrame, path: str, checkpoint: str, callback=None):
-    """Appends each micro-batch to the log at path, then gives it to callback(batch, number), such as an alert sender."""
+    """Appends each micro-batch to the log at path, then gives it to callback(batch, number), such as an alert sender.
+
+    The callback gets what was written, read back, so the stream's work is done once.  The log has a column batch.
+    """
+    kind = stream.drop("batch").schema
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
+        append(batch, path, number)
         if callback is not None:
-            callback(batch, number)
+            callback(batch.sparkSession.read.schema(kind).parquet(f"{path}/batch={number}"), number)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")

@@ -1,9 +1,12 @@
 import datetime as dt
 
 import duckdb
+import pandas as pd
 import pytest
 
 from reqwatch.plans.registry import ORACLES, QUERIES
+from reqwatch.sources import adapters
+from reqwatch.streaming import state
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,9 +37,9 @@ def test_against_sql(spark, duck, sf_dir, name):
 
 
 def test_stream_equals_batch(spark, sf_dir):
-    """The same address and second of each window, whatever the labels are called."""
-    logs = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "event_type", "unix_timestamp(ts) AS sec")
-    seconds = lambda df: sorted(map(tuple, df.join(logs, "id").select("ip_address", "event_type", "sec").collect()))
+    """The same address, label and second of each window."""
+    logs = adapters.threat_logs(spark, sf_dir).selectExpr("id", "unix_timestamp(created_at) AS sec")
+    seconds = lambda df: sorted(map(tuple, df.join(logs, "id").select("ip_address", "type", "sec").collect()))
     assert seconds(QUERIES["stream_dedup"](spark, sf_dir)) == seconds(QUERIES["dedup_window"](spark, sf_dir))
 
 
@@ -53,12 +56,49 @@ def test_stream_rows_and_sink(spark, sf_dir):
 
 
 def test_first_row_of_each_second():
-    import pandas as pd
-
-    from reqwatch.streaming import state
-
     at = pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.9", "2024-01-01 00:00:00.2", "2024-01-01 00:00:01.5", "2024-01-01 00:00:00.2"])
     pdf = pd.DataFrame({"id": [9, 1, 5, 3, 4], "created_at": at})
     assert state.firsts(pdf)["id"].tolist() == [4, 3]
     parts = state.firsts(pd.concat([state.firsts(pdf[:3]), state.firsts(pdf[3:])]))
     assert parts["id"].tolist() == [4, 3]
+
+
+def test_events_of_each_second():
+    at = pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.9", "2024-01-01 00:00:01.0"])
+    n = state.per_second(pd.DataFrame({"created_at": at}))
+    n = state.per_second(pd.DataFrame({"created_at": at[:1]}), n).sort_index()
+    assert n.tolist() == [1, 3] and n.index.tolist() == [1704067200, 1704067201]
+
+
+def stream_of(spark, folder, rows):
+    """rows in files of their own, one micro-batch each."""
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "id long, ip_address string, type string, created_at timestamp").coalesce(1).write.parquet(f"{folder}/in/part={k}")
+    kind = "id long, ip_address string, type string, created_at timestamp, part int"
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("part")
+
+
+def landed(stream, folder, name):
+    stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}")
+
+
+def test_windows_over_micro_batches(spark, tmp_path):
+    """State carries a window from one micro-batch to the next; rows without a time or a key are in no window."""
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    rows = [(1, "a", "x", at(0)), (2, "a", "x", at(10)), (3, "a", "x", at(59)), (4, "a", "x", at(61)), (5, None, "x", at(62)), (6, "a", "x", None), (7, "a", None, at(63)), (8, "b", "x", at(64)), (9, "a", "x", at(122))]
+    stream = stream_of(spark, tmp_path, rows)
+    assert sorted(r.id for r in landed(state.deduplicated(stream, 60, "1 hour"), tmp_path, "kept").collect()) == [1, 4, 8, 9]
+    floods = landed(state.flood_alerts(stream, 2, 60, "1 hour"), tmp_path, "floods").collect()
+    assert [(r.ip_address, r.started.second, r.requests) for r in floods] == [("a", 0, 3)]
+
+
+def test_log_sink(spark, tmp_path):
+    """Every micro-batch is in the log once, and the callback gets its rows; a batch that comes again replaces itself."""
+    rows, got = [(k, "a", "x", dt.datetime(2024, 1, 1, 0, k)) for k in range(3)], []
+    out = state.to_log(stream_of(spark, tmp_path, rows), f"{tmp_path}/log", f"{tmp_path}/state", lambda batch, number: got.append((number, [r.id for r in batch.collect()])))
+    out.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(i for _, ids in got for i in ids) == [0, 1, 2] and [n for n, _ in got] == [0, 1, 2]
+    for _ in range(2):
+        state.append(spark.createDataFrame([(9, "a")], "id long, ip_address string"), f"{tmp_path}/log", 3)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [0, 1, 2, 9]

@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from reqwatch.config import EngineConfig
+from reqwatch.functions import fixed
 from reqwatch.operators import correlate, enrich, health, reports
 from reqwatch.sources import schema
 
@@ -59,10 +61,22 @@ def test_retention(spark, logs):
     assert (made.pattern_label, made.path_pattern) == ("SQL Injection UNION", "0")
 
 
+def test_rule_list(spark):
+    rules = spark.createDataFrame([(1, True), (2, False), (3, True)], "id long, is_active boolean")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(enrich.listed_rules(rules)) == [3, 2, 1] and ids(enrich.listed_rules(rules, active_only=True)) == [3, 1]
+    assert ids(enrich.listed_rules(enrich.without_rule(rules, 3))) == [2, 1] and enrich.without_rule(rules, 9).count() == 3
+
+
 def test_health(spark):
     good = schema.empty(spark, schema.THREAT_LOGS)
     assert not health.failed(health.health(spark, good, schema.empty(spark, schema.EXCLUSION_RULES)))
     assert health.failed(health.health(spark, good.drop("confidence_score"), None))
     assert health.health(spark, good, settings={"odd": 1}).where(F.col("title").contains("odd is unknown")).count() == 1
+    shadowing = lambda *rules: {r.title for r in health.health(spark, good, config=EngineConfig(custom_rules=rules)).where("title like 'custom rule%'").collect()}
+    same = next(r for r in fixed.DEFAULT_RULES if r[0] == "XSS Script Tag")
+    assert shadowing(same, ("Mine", None, "x+", "")) == set()  # the same expression shadows nothing
+    assert shadowing({"label": "XSS Script Tag", "pattern": "<script"}) == {"custom rule shadows XSS Script Tag"}
+    assert any("Broken" in t for t in shadowing({"label": "Broken", "pattern": "("}))
     with pytest.raises(ValueError):
         schema.require(good.drop("type"), schema.THREAT_LOGS, "log")
