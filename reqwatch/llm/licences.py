@@ -2,8 +2,9 @@
 
 Each paragraph (a line with a word) becomes hashed one- and two-word features.  Multinomial logistic regression, trained
 on templates of public licences amid words of the corpus, names its family or none of them.  The least probability that
-counts is calibrated on held-out examples; below it the family is unknown.  A named family stands only if the paragraph
-shares enough word pairs with one of the family's templates.
+counts is calibrated on paragraphs, templates and whole families that the fit has not seen; below it the family is
+unknown.  A named family stands only if the paragraph shares enough word pairs with one of the family's templates, one
+that no other family has among them, and is at least as close to it as to any other such template.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Apache License Version 2.0, January 2004",
+        "License: Apache-2.0",
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -33,6 +39,10 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "The MIT License (MIT)",
+        "License: MIT",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -40,15 +50,29 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under the GNU GPL version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "License: GPL-3.0",
+        "Licensed under the GPLv3.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "Licensed under the LGPL version 3.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "Licensed under the AGPLv3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -56,37 +80,65 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES, HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "Released under the 2-clause BSD license.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Released under the MPL 2.0.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "This article is available under the Creative Commons CC BY 3.0 license.",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License 3.0; additional terms may apply.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Released under CC BY-SA 3.0.",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This is an open access article distributed under the terms of the Creative Commons Attribution-NonCommercial License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Released under CC BY-NC 3.0 for non-commercial use.",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "The person who associated a work with this deed has dedicated the work to the public domain under CC0 1.0 Universal.",
         "Released into the public domain.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "SPDX-License-Identifier: Unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "This work has been marked as dedicated to the public domain.",
     ],
 }
 FAMILIES = sorted(TEMPLATES)
 NONE = len(FAMILIES)
 #: About so many documents lend paragraphs that are no licences, at most so many of them.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS, EXAMPLES, PRECISION, SEED = 2_000, 4_000, 150, 0.995, 3
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, EXAMPLES, PRECISION, SEED = 2_000, 4_000, 240, 0.995, 3
+#: Every so manyth family, template of a family and paragraph is unseen by the fit that calibrates.
+UNSEEN = 4
 #: Part of the paragraph's word pairs, or of a template's, that must be the other's.
 SHARED = 0.6
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -131,29 +183,49 @@ class Classifier:
 
 
 class Templates:
-    """Word pairs of all templates, for the comparison that confirms a prediction."""
+    """Word pairs of templates, for the comparison that confirms a prediction."""
 
-    def __init__(self):
-        texts = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]
+    def __init__(self, templates: dict[str, list[str]]):
+        texts = [(f, t) for f in FAMILIES for t in templates[f]]
         hashes, rows, pair = _of([t for _, t in texts])
         self.family = np.array([FAMILIES.index(f) for f, _ in texts])
-        self.pairs = [np.unique(hashes[pair & (rows == k)]) for k in range(len(texts))]
-
-    def confirms(self, family: int, pairs: np.ndarray) -> bool:
-        own = np.unique(pairs)
-        for k in np.flatnonzero(self.family == family):
-            both = len(np.intersect1d(own, self.pairs[k], assume_unique=True))
-            if both and both >= SHARED * min(len(own), len(self.pairs[k])) and both >= min(2, len(self.pairs[k])):
-                return True
-        return False
-
-
-def _examples(rng: np.random.Generator, words: list[str]) -> tuple[list[str], list[int]]:
-    """Templates with words dropped, cut short, changed in case, or amid other words."""
+        self.pairs, at = np.unique(hashes[pair], return_inverse=True)
+        self.holds = np.zeros((len(self.pairs), len(texts)), np.float32)
+        self.holds[at, rows[pair]] = 1
+        known_to = np.stack([self.holds[:, self.family == k].any(axis=1) for k in range(NONE)]).sum(axis=0)
+        self.telling = np.where((known_to == 1)[:, None], self.holds, 0)  # pairs of one family alone
+        self.weight = np.where(known_to == 1, 2, 1)
+
+    def confirmed(self, pairs: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Which families the word pairs of each of n rows confirm, as booleans.
+
+        Those of the closest template that shares enough of them, one that no other family has among them.
+        """
+        order = np.lexsort((pairs, rows))
+        pairs, rows = pairs[order], rows[order]
+        fresh = np.append(True, (pairs[1:] != pairs[:-1]) | (rows[1:] != rows[:-1]))[: len(pairs)]
+        pairs, rows = pairs[fresh], rows[fresh]
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        hit = self.pairs[at] == pairs
+        both, own, size = np.zeros((n, len(self.family)), np.float32), np.bincount(rows, minlength=n)[:, None], self.holds.sum(axis=0)
+        np.add.at(both, rows[hit], self.holds[at[hit]])
+        told = np.zeros_like(both)
+        np.add.at(told, rows[hit], self.telling[at[hit]])
+        enough = (told > 0) & (both >= SHARED * np.minimum(own, size)) & (both >= np.minimum(2, size))
+        near = np.where(enough, both / np.maximum(own + size - both, 1), 0)
+        best = near.max(axis=1, keepdims=True)
+        out = np.zeros((n, NONE), bool)
+        for k in range(NONE):
+            out[:, k] = ((near == best) & (best > 0))[:, self.family == k].any(axis=1)
+        return out
+
+
+def _examples(rng: np.random.Generator, words: list[str], templates: dict[str, list[str]] = TEMPLATES, each: int = EXAMPLES) -> tuple[list[str], list[int]]:
+    """Templates with words dropped, cut short, changed in case, or amid other words; of each family as many."""
     texts, labels = [], []
     for k, family in enumerate(FAMILIES):
-        for _ in range(EXAMPLES):
-            t = TEMPLATES[family][rng.integers(len(TEMPLATES[family]))].split()
+        for _ in range(each if templates[family] else 0):
+            t = templates[family][rng.integers(len(templates[family]))].split()
             if rng.random() < 0.4 and len(t) > 6:
                 t = [w for w in t if rng.random() > 0.1]
             if rng.random() < 0.3 and len(t) > 16:
@@ -177,19 +249,10 @@ _OTHERS = [
 ]
 
 
-def train(others: list[str], seed: int = SEED) -> Classifier:
-    """others: paragraphs of the corpus, taken as none unless a template confirms them.  Every fourth example calibrates."""
-    rng, templates = np.random.default_rng(seed), Templates()
-    others = others + _OTHERS * 20
-    hashes, rows, pair = _of(others)
-    bounds = np.searchsorted(rows[pair], np.arange(len(others) + 1))
-    pairs = hashes[pair]
-    clean = [t for k, t in enumerate(others) if not any(templates.confirms(f, pairs[bounds[k] : bounds[k + 1]]) for f in range(NONE))]
-    words = sorted({w for t in clean[:500] for w in t.split()})
-    texts, labels = _examples(rng, words)
-    texts, labels = texts + clean, np.array(labels + [NONE] * len(clean))
+def _fitted(texts: list[str], labels: np.ndarray, templates: dict[str, list[str]]) -> Classifier:
+    """A classifier by the words and word pairs of templates; all others count as unknown ones."""
     hashes, rows, _ = _of(texts)
-    known = np.unique(hashes[labels[rows] < NONE])
+    known = np.unique(_of([t for ts in templates.values() for t in ts])[0])
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     hit = known[at] == hashes
     x = np.zeros((len(texts), len(known) + 2), np.float32)
@@ -198,22 +261,55 @@ def train(others: list[str], seed: int = SEED) -> Classifier:
     x /= np.sqrt(total)[:, None]
     x[:, -2] = 1 - np.bincount(rows[hit], minlength=len(texts)) / total
     x[:, -1] = 1
-    held = rng.permutation(len(texts)) % 4 == 0
     w = np.zeros((x.shape[1], NONE + 1), np.float32)
     step, y = np.zeros_like(w), np.eye(NONE + 1, dtype=np.float32)[labels]
-    fit, own = x[~held], y[~held]
     for _ in range(150):
-        z = fit @ (w + 0.9 * step)
+        z = x @ (w + 0.9 * step)
         z = np.exp(z - z.max(axis=1, keepdims=True))
         z /= z.sum(axis=1, keepdims=True)
-        step = 0.9 * step - 4.0 * (fit.T @ (z - own) / len(fit) + 1e-5 * w)
+        step = 0.9 * step - 4.0 * (x.T @ (z - y) / len(x) + 1e-5 * w)
         w += step
-    model = Classifier(known, w.astype(np.float64))
-    z = np.exp(x[held] @ w - (x[held] @ w).max(axis=1, keepdims=True))
-    p = z / z.sum(axis=1, keepdims=True)
-    best = p[:, :NONE].argmax(axis=1)
-    top, right = p[np.arange(len(p)), best], best == labels[held]
-    levels = [t for t in np.linspace(0.2, 0.99, 80) if right[top >= t].mean() >= PRECISION] if len(top) else []
+    return Classifier(known, w.astype(np.float64))
+
+
+def named(model: Classifier, templates: Templates, hashes: np.ndarray, rows: np.ndarray, pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: the likeliest family, its probability, whether it is none at all, and whether a template confirms the family.
+
+    Rows for which none is likelier than each family are none, as are those with no word pair of a single family's
+    templates and fewer than two pairs of any.
+    """
+    p = model.probabilities(hashes, rows, n)
+    at = np.minimum(np.searchsorted(templates.pairs, hashes[pair]), len(templates.pairs) - 1)
+    known = np.bincount(rows[pair], np.where(templates.pairs[at] == hashes[pair], templates.weight[at], 0), n) >= 2
+    best, likely = p[:, :NONE].argmax(axis=1), known & (p.argmax(axis=1) != NONE)
+    own = pair & likely[rows]  # only these are compared
+    return best, p[np.arange(n), best], ~likely, templates.confirmed(hashes[own], rows[own], n)[np.arange(n), best]
+
+
+def train(others: list[str], seed: int = SEED) -> Classifier:
+    """others: paragraphs of the corpus, taken as none unless a template confirms them.
+
+    A first fit leaves out some families, which are unknown to it, some templates of others, and some paragraphs; on these
+    the least probability is found at which named families are right often enough.  The fit that counts takes all.
+    """
+    rng = np.random.default_rng(seed)
+    others = others + _OTHERS * 20
+    hashes, rows, pair = _of(others)
+    clean = [t for t, known in zip(others, Templates(TEMPLATES).confirmed(hashes[pair], rows[pair], len(others)).any(axis=1), strict=True) if not known]
+    words = sorted({w for t in clean[:500] for w in t.split()})
+    foreign = FAMILIES[UNSEEN - 1 :: UNSEEN]
+    unseen = {f: t if f in foreign else t[UNSEEN - 1 :: UNSEEN] for f, t in TEMPLATES.items()}
+    seen = {f: [t for t in TEMPLATES[f] if t not in unseen[f]] for f in FAMILIES}
+    held = rng.permutation(len(clean)) % UNSEEN == 0
+    kept, left = [t for t, h in zip(clean, held, strict=True) if not h], [t for t, h in zip(clean, held, strict=True) if h]
+    texts, labels = _examples(rng, words, seen)
+    first = _fitted(texts + kept, np.array(labels + [NONE] * len(kept)), seen)
+    (texts, labels), (new, own) = _examples(rng, words, seen, EXAMPLES // UNSEEN), _examples(rng, words, unseen, EXAMPLES // UNSEEN)
+    labels = np.array(labels + [NONE if FAMILIES[k] in foreign else k for k in own] + [NONE] * len(left))
+    best, top, none, sure = named(first, Templates(seen), *_of(texts + new + left), len(labels))
+    levels = [t for t in np.linspace(0.2, 0.99, 80) if (labels == best)[sure & ~none & (top >= t)].mean() >= PRECISION] if (sure & ~none & (top >= 0.99)).any() else []
+    texts, labels = _examples(rng, words)
+    model = _fitted(texts + clean, np.array(labels + [NONE] * len(clean)), TEMPLATES)
     model.least = float(levels[0]) if levels else 0.99
     return model
 
@@ -226,6 +322,7 @@ def _paragraph_batches(batches):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Classifier:
+    """Trains amid paragraphs, of fewer than 2000 characters, of about sample_docs rows; rows without a text lend none."""
     h = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30))
     rows = docs.select(h.alias("h"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.where(F.col("h") < min(1.0, sample_docs / max(1, docs.count())) * (1 << 30))
@@ -234,7 +331,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 
 def _scan_batches(batches, model: Classifier):
-    templates = Templates()
+    templates = Templates(TEMPLATES)
     for batch in batches:
         ids = batch.column("doc_id")
         for at, n, raw, offsets in text_slices(ids, batch.column("text")):
@@ -246,16 +343,10 @@ def _scan_batches(batches, model: Classifier):
             real = np.bincount(rows[~pair], minlength=lines) > 0
             owner = np.searchsorted(offsets, bounds[:-1], "right") - 1
             paragraphs = np.bincount(owner[real], minlength=n)[:n]
-            p = model.probabilities(hashes, rows, lines)
-            best = p[:, :NONE].argmax(axis=1)
-            top = p[np.arange(lines), best]
-            likely = np.flatnonzero(real & (p.argmax(axis=1) != NONE))
-            lo = np.searchsorted(rows[pair], likely)
-            hi = np.searchsorted(rows[pair], likely, "right")
-            pairs = hashes[pair]
+            best, top, none, sure = named(model, templates, hashes, rows, pair, lines)
             found: dict[int, list[tuple[str, int, int, float]]] = {}
-            for k, a, b in zip(likely, lo, hi, strict=True):
-                family = FAMILIES[best[k]] if top[k] >= model.least and templates.confirms(int(best[k]), pairs[a:b]) else "unknown"
+            for k in np.flatnonzero(real & ~none):
+                family = FAMILIES[best[k]] if top[k] >= model.least and sure[k] else "unknown"
                 doc = int(owner[k])
                 text = raw[offsets[doc] : bounds[k + 1]].tobytes()
                 start = len(text[: bounds[k] - offsets[doc]].decode("utf-8", "replace"))
@@ -264,9 +355,9 @@ def _scan_batches(batches, model: Classifier):
             out = []
             for k in range(n):
                 spans = found.get(k, [])
-                named = [s for s in spans if s[0] != "unknown"]
-                first = max(named, key=lambda s: (s[3], -s[1]))[0] if named else ("unknown" if spans else None)
-                out.append((int(paragraphs[k]), len(named), len(spans) - len(named), first, ",".join(sorted({s[0] for s in named})), ",".join(f"{f}:{a}:{b}" for f, a, b, _ in spans)))
+                sound = [s for s in spans if s[0] != "unknown"]
+                first = max(sound, key=lambda s: (s[3], -s[1]))[0] if sound else ("unknown" if spans else None)
+                out.append((int(paragraphs[k]), len(sound), len(spans) - len(sound), first, ",".join(sorted({s[0] for s in sound})), ",".join(f"{f}:{a}:{b}" for f, a, b, _ in spans)))
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             names = ["n_paragraphs", "n_named", "n_unknown", "licence", "families", "spans"]
@@ -277,7 +368,8 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     """(doc_id, n_paragraphs, n_named, n_unknown, licence, families, spans), one row per row of docs.
 
     licence: the likeliest confirmed family, `unknown` where paragraphs look like a licence but none is confirmed, null
-    where none does, as in null and empty texts.  spans: family:start:end in code points.
+    where none does, as in null and empty texts.  spans: family:start:end in code points.  Rows are judged one by one, so
+    null and repeated ids stay as they are, and other columns, whatever their names, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand features by a dozen families
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
