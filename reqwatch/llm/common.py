@@ -101,14 +101,17 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(1 << 12)
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of each row: 64-bit hashes (A-Z lower-cased), starts, ends, and the number of words of each row."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of each row: 64-bit hashes (A-Z lower-cased), starts, ends, and the number of words of each row.
+
+    breaks: whether each byte value parts words.
+    """
     global _POWERS
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_BREAK[raw]
+    inside = ~breaks[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][(offsets[:-1] < n) & (np.diff(offsets) > 0)]
