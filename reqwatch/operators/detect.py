@@ -124,8 +124,8 @@ def pattern_matches(df: DataFrame, config: EngineConfig, source: str = "middlewa
     df = df.withColumn("_seen", seen).withColumn(column, F.concat("_decoded", F.when(prescreened(raw), extra).otherwise(empty)))
     if config.max_detections > 0:
         df = df.withColumn(column, F.slice(column, 1, config.max_detections))
-    # a row number keeps later filters above the matching, which would else be planned and run once for each mention
-    df = df.withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0")
+    # a random column keeps later filters above the matching, which would else be planned and run once for each mention
+    df = df.withColumn("_row", F.rand(0)).where("_row >= 0")
     return df.drop("_row", "_decoded", "_seen", *cut, *(f"_norm_{c}" for c in contexts))
 
 
@@ -179,23 +179,22 @@ def analyse(requests: DataFrame, config: EngineConfig | None = None, source: str
 
 
 def log_rows(requests: DataFrame, config: EngineConfig | None = None, rules: DataFrame | None = None, source: str = "middleware", environment: str = "production") -> DataFrame:
-    """Log rows of requests, before the de-duplication across requests (suppress.first_in_window).
+    """Log rows of requests, batch or stream, before the de-duplication across requests (journal.request_log).
 
-    Suppression in order: confidence, API routes, content paths, exclusion rules; within a request each type once.
+    Suppression in order: confidence, API routes, content paths, within a request each type once, exclusion rules.  All
+    but the last is done within the request's row, so nothing is shuffled.
     """
     config = config or EngineConfig()
     df = analyse(requests, config, source, environment).where((F.size("threats") > 0) & (F.col("confidence_score") >= config.least_score))
-    labels = F.transform("threats", lambda m: m["label"])
-    df = df.withColumn("_labels", F.array_distinct(labels))
+    df = df.withColumn("_labels", F.array_distinct(F.transform("threats", lambda m: m["label"])))
     df = df.withColumn("payload", masked(payload_text(F.col("segments")), F.col("_labels"), config)).withColumn("stored_url", masked(F.col("url"), F.col("_labels"), config))
-    df = df.select("request_id", "ts", "ip_address", F.col("stored_url").alias("url"), "user_agent", "user_id", "path", "payload", "confidence_score", "confidence_label", "api_route", "content_path", F.posexplode("threats").alias("pos", "m"))
-    df = df.where(~(F.col("api_route") & F.col("m.level").isin(list(config.api_suppress_levels)))).where(~F.col("content_path") | (F.col("m.level") == "high"))
-    df = df.withColumn("type", F.concat(F.lit("["), F.col("m.source"), F.lit("] "), F.col("m.label")))
-    if rules is not None:
-        df = excluded(df, rules)
-    first = df.groupBy("request_id", "type").agg(F.min_by(F.struct(*[c for c in df.columns if c not in ("request_id", "type")]), "pos").alias("r"))
-    out = first.select("request_id", "type", "r.*")
-    return out.select(
-        "request_id", F.col("ts").alias("created_at"), "ip_address", "url", "user_agent", "type", "payload", F.col("m.level").alias("threat_level"), "confidence_score", "confidence_label",
-        F.lit(False).alias("is_false_positive"), F.lit("logged").alias("action_taken"), "user_id", "pos",
+    typed = F.transform("threats", lambda m, i: F.struct(i.alias("pos"), m["level"].alias("level"), F.concat(F.lit("["), m["source"], F.lit("] "), m["label"]).alias("type")))
+    api = lambda m: F.col("api_route") & m["level"].isin(list(config.api_suppress_levels))
+    shown = F.filter(typed, lambda m: ~api(m) & (~F.col("content_path") | (m["level"] == "high")))
+    once = let(shown, lambda all_: F.filter(all_, lambda m, i: F.array_position(F.transform(all_, lambda x: x["type"]), m["type"]) == i + 1))
+    df = df.select("request_id", "ts", "ip_address", F.col("stored_url").alias("url"), "user_agent", "user_id", "payload", "confidence_score", "confidence_label", F.explode(once).alias("m"))
+    out = df.select(
+        "request_id", F.col("ts").alias("created_at"), "ip_address", "url", "user_agent", "m.type", "payload", F.col("m.level").alias("threat_level"), "confidence_score", "confidence_label",
+        F.lit(False).alias("is_false_positive"), F.lit("logged").alias("action_taken"), "user_id", "m.pos",
     )
+    return out if rules is None else excluded(out, rules)

@@ -17,31 +17,68 @@ UNSCANNED_HEADERS = ["cookie", "authorization", "x-xsrf-token", "accept-language
 RAW_CAP, RAW_READ = 65_536, 8_000
 
 
+def place_field(root: dict, name: str, value: str) -> str | None:
+    """Puts a field into the tree: a[b] nests, a[] appends, dots and spaces become underscores, the last wins; returns its first key."""
+    name = name.lstrip(" ")
+    if not name:
+        return None
+    head, _, rest = name.partition("[")
+    head = re.sub(r"[. ]", "_", head)
+    keys = re.findall(r"([^\]]*)\](?:\[|$|)", rest) if rest and "]" in rest else []
+    if rest and not keys:
+        head, keys = head + "_" + rest, []
+    node, last = root, head
+    for k in keys:
+        child = node.get(last)
+        if not isinstance(child, dict):
+            child = node[last] = {}
+        node, last = child, k if k != "" else str(1 + max((int(x) for x in child if str(x).isdigit()), default=-1))
+    node[last] = value
+    return head
+
+
 def parse_form(text: str) -> dict:
-    """Form or query text as a tree: a[b]=c nests, a[]=c appends, dots and spaces in names become underscores, the last wins."""
+    """Form or query text as a tree of its fields."""
     root: dict = {}
     for pair in text.split("&"):
-        if not pair:
-            continue
         name, _, value = pair.partition("=")
-        name, value = unquote_plus(name, errors="replace").lstrip(" "), unquote_plus(value, errors="replace")
-        if not name:
-            continue
-        head, _, rest = name.partition("[")
-        head = re.sub(r"[. ]", "_", head)
-        keys = re.findall(r"([^\]]*)\](?:\[|$|)", rest) if rest and "]" in rest else []
-        if rest and not keys:
-            head, keys = head + "_" + rest, []
-        node, last = root, head
-        for k in keys:
-            child = node.get(last)
-            if not isinstance(child, dict):
-                child = node[last] = {}
-            node, last = child, k if k != "" else str(1 + max((int(x) for x in child if str(x).isdigit()), default=-1))
-        node[last] = value
+        place_field(root, unquote_plus(name, errors="replace"), unquote_plus(value, errors="replace"))
     return root
 
 
+_BOUNDARY = re.compile(r"""boundary\s*=\s*(?:"([^"]+)"|([^\s;,]+))""", re.IGNORECASE)
+_DISPOSITION = re.compile(r"""^content-disposition\s*:\s*form-data\b(.*)$""", re.IGNORECASE | re.MULTILINE)
+_PARAMETER = re.compile(r""";\s*([\w*-]+)\s*=\s*(?:"((?:\\.|[^"\\])*)"|([^\s;]*))""")
+
+
+def parse_multipart(text: str, content_type: str) -> dict:
+    """The fields of a multipart body as a tree.  File parts go, and with them all fields of the same first key.
+
+    A part's header ends at the first empty line; what stands before the first and behind the closing boundary, parts
+    without a name, and a last part that no boundary ends are no fields.  Without a boundary there are none.
+    """
+    found = _BOUNDARY.search(content_type or "")
+    if not found:
+        return {}
+    mark = "--" + (found.group(1) or found.group(2))
+    parts = re.split(r"(?:^|\r?\n)" + re.escape(mark) + r"(--)?[ \t]*(?=\r?\n|$)", text)
+    root, files = {}, set()
+    # parts: before, "--" or None, part, "--" or None, part ...
+    for k in range(2, len(parts) - 1, 2):
+        if parts[k - 1]:  # the closing boundary came before
+            break
+        head, gap, value = parts[k].lstrip("\r\n").partition("\r\n\r\n") if "\r\n\r\n" in parts[k] else parts[k].lstrip("\n").partition("\n\n")
+        said = _DISPOSITION.search(head)
+        if not said or not gap:
+            continue
+        own = {n.lower(): re.sub(r"\\(.)", r"\1", q) if q else t for n, q, t in _PARAMETER.findall(said.group(1))}
+        if "filename" in own or "filename*" in own:
+            files.add(place_field({}, own.get("name", ""), ""))
+        elif "name" in own:
+            place_field(root, own["name"], value)
+    return {k: v for k, v in root.items() if k not in files}
+
+
 def strip_safe(tree, safe_paths: tuple[str, ...], prefix: str = ""):
     """Drops nodes whose dotted path matches; containers left empty go too."""
     items = tree.items() if isinstance(tree, dict) else enumerate(tree)
@@ -71,7 +108,7 @@ def encode_tree(tree) -> str:
 
 
 def tree_text(text: str | None, kind: str, safe_fields: tuple[str, ...] = (), safe_paths: tuple[str, ...] = ()) -> str:
-    """kind: json, form or multipart (of which only the fields that are no files are given)."""
+    """kind: json, form, or the content type of a multipart body (whose files and their fields go)."""
     if not text:
         return ""
     if kind == "json":
@@ -81,7 +118,7 @@ def tree_text(text: str | None, kind: str, safe_fields: tuple[str, ...] = (), sa
             return ""
         tree = tree if isinstance(tree, (dict, list)) else [tree]
     else:
-        tree = parse_form(text)
+        tree = parse_form(text) if kind == "form" else parse_multipart(text, kind)
     if isinstance(tree, list):
         tree = dict(enumerate(tree))
     tree = {k: v for k, v in tree.items() if str(k) not in safe_fields}
@@ -115,7 +152,7 @@ def raw_text(query_string: Column, body: Column, content_type: Column, content_l
 def with_segments(requests: DataFrame, probe: Column | None = None, safe_fields: tuple[str, ...] = (), safe_paths: tuple[str, ...] = ()) -> DataFrame:
     """requests with one more struct column, segments.  probe: the probe's label; where there is one, the path is not scanned."""
     content = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
-    kind = F.when(content.rlike("[/+]json"), "json").otherwise("form")
+    kind = F.when(content.rlike("[/+]json"), "json").when(content.contains("multipart/form-data"), F.col("content_type")).otherwise("form")
     form = F.when(content.contains("json") | content.contains("form-urlencoded") | content.contains("multipart"), F.col("body"))
     path = F.concat(F.lit("/"), F.ltrim(F.col("path"), F.lit("/")))
     query = _tree("form", safe_fields, safe_paths)(F.coalesce("query_string", F.lit("")), kind)

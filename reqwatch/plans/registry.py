@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import checksums, fixed, network, normalize, patterns, scoring
-from ..operators import correlate, detect, enrich, export, health, redact, reports, suppress
+from ..operators import correlate, detect, enrich, export, health, journal, redact, reports, suppress
 from ..sources import adapters, schema
+from ..sources.shared import scratch_dir
 from ..streaming import state
-from .views import LOGS, NOW, PAGES, RULES, WITH, text
+from .views import LOGS, NOW, PAGES, REQUESTS, RULES, WITH, text
 
 AS_OF = adapters.AS_OF
 QUERIES: dict = {}
@@ -147,12 +146,12 @@ def _fold_sql(key: str, window: int, logs: str = LOGS) -> str:
 
 @query("dedup_window", _fold_sql("ip_address, type", 86400) + "SELECT first AS id, ip_address, type FROM w WHERE keep")
 def dedup_window(spark, sf_dir):
-    return suppress.first_in_window(adapters.threat_logs(spark, sf_dir), ["ip_address", "type"], window_s=86400).select("id", "ip_address", "type")
+    return suppress.first_in_window(adapters.threat_logs(spark, sf_dir), ["ip_address", "type"], window_s=86400, order_cols=("id",)).select("id", "ip_address", "type")
 
 
 @query("dedup_5min", _fold_sql("ip_address, type", 300) + "SELECT first AS id, ip_address, type FROM w WHERE keep")
 def dedup_5min(spark, sf_dir):
-    return suppress.first_in_window(adapters.threat_logs(spark, sf_dir), ["ip_address", "type"]).select("id", "ip_address", "type")
+    return suppress.first_in_window(adapters.threat_logs(spark, sf_dir), ["ip_address", "type"], order_cols=("id",)).select("id", "ip_address", "type")
 
 
 @query("ddos_counter", _fold_sql("ip_address", 86400) + "SELECT ip_address, sec, upto::BIGINT AS requests, least(upto - 3, n)::BIGINT AS over FROM w WHERE upto > 3")
@@ -339,15 +338,44 @@ def request_alerts(spark, sf_dir):
     return export.alerts(request_pipeline(spark, sf_dir))
 
 
-_FLOODS = """, f AS (SELECT ip_address, sec, row_number() OVER (PARTITION BY ip_address ORDER BY sec) AS k FROM w WHERE upto > 3),
- v AS (SELECT ip_address, sec, k, sec AS start, true AS keep FROM f WHERE k = 1 UNION ALL
-       SELECT f.ip_address, f.sec, f.k, CASE WHEN f.sec >= v.start + 86400 THEN f.sec ELSE v.start END, f.sec >= v.start + 86400 FROM v JOIN f ON f.ip_address = v.ip_address AND f.k = v.k + 1)
- SELECT ip_address, make_timestamp(sec * 1000000) AS created_at, '[ddos] Excessive Requests' AS type, 'high' AS threat_level, 90 AS confidence_score, 'very_high' AS confidence_label, 'Exceeded 3 requests in 86400 seconds' AS payload FROM v WHERE keep"""
+def _flood_sql(columns: str, logs: str = LOGS) -> str:
+    """The fourth and later requests of an address within a day are a flood; one is logged, the next a day later at the earliest."""
+    return _fold_sql("ip_address", 86400, logs) + f""", f AS (SELECT ip_address, sec, greatest(3 - (upto - n), 0) + 1 AS nth, greatest(upto - n, 3) + 1 AS requests, row_number() OVER (PARTITION BY ip_address ORDER BY sec) AS k FROM w WHERE upto > 3),
+ v AS (SELECT ip_address, sec, nth, requests, k, sec AS start, true AS keep FROM f WHERE k = 1 UNION ALL
+       SELECT f.ip_address, f.sec, f.nth, f.requests, f.k, CASE WHEN f.sec >= v.start + 86400 THEN f.sec ELSE v.start END, f.sec >= v.start + 86400 FROM v JOIN f ON f.ip_address = v.ip_address AND f.k = v.k + 1),
+ x AS (SELECT *, floor(epoch(created_at))::BIGINT AS sec, row_number() OVER (PARTITION BY ip_address, floor(epoch(created_at)) ORDER BY created_at, id) AS place FROM logs)
+ SELECT {columns} FROM x JOIN v ON x.ip_address = v.ip_address AND x.sec = v.sec AND x.place = v.nth WHERE v.keep"""
+
+
+_FLOOD = "x.ip_address, x.created_at, x.url, x.user_agent, x.user_id, '[ddos] Excessive Requests' AS type, 'high' AS threat_level, 90::INTEGER AS confidence_score, 'very_high' AS confidence_label, 'Request frequency exceeded threshold' AS payload"
 
 
-@query("flood_rows", _fold_sql("ip_address", 86400) + _FLOODS)
+@query("flood_rows", _flood_sql(_FLOOD))
 def flood_rows(spark, sf_dir):
-    return suppress.flood_rows(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return suppress.flood_rows(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400, ("id",))
+
+
+@query("flood_events", _flood_sql("x.ip_address, x.created_at, v.requests::BIGINT AS requests, 3::INTEGER AS threshold, 86400::INTEGER AS window_s"))
+def flood_events(spark, sf_dir):
+    return suppress.flood_events(adapters.threat_logs(spark, sf_dir), 3, 86400, 86400, ("id",))
+
+
+_REQUEST_THREATS = f"""WITH logs AS ({REQUESTS}), u AS ({" UNION ALL ".join(_UA_PARTS)}), t AS (SELECT id, label, level, 'user-agent' AS source FROM u UNION ALL SELECT id, {_PROBE_SQL}, 'medium', 'probe' FROM logs WHERE {_PROBE_SQL} IS NOT NULL),
+ c AS (SELECT id, least(100, 20 + 15 * least(count(*) - 1, 3) + 15 * max(level = 'high')::INTEGER) AS score FROM t GROUP BY id),
+ r AS (SELECT logs.*, '[' || source || '] ' || label AS type, level AS threat_level, least(100, score + CASE WHEN {_any("user_agent", fixed.ATTACK_TOOLS)} THEN 25 ELSE 0 END)::INTEGER AS confidence_score
+  FROM logs JOIN t USING (id) JOIN c USING (id) WHERE NOT (contains('/' || trim(path, '/') || '/', '/api/') AND level IN ('low', 'medium')))
+ SELECT DISTINCT *, CASE WHEN confidence_score >= 76 THEN 'very_high' WHEN confidence_score >= 51 THEN 'high' WHEN confidence_score >= 26 THEN 'medium' ELSE 'low' END AS confidence_label, '' AS payload FROM r"""
+_LOGGED = ["request_id", "ip_address", "created_at", "url", "user_agent", "user_id", "type", "threat_level", "confidence_score", "confidence_label", "payload"]
+_LOGGED_SQL = _fold_sql("ip_address, type", 86400, _REQUEST_THREATS) + f""", r AS (SELECT *, floor(epoch(created_at))::BIGINT AS sec FROM logs QUALIFY row_number() OVER (PARTITION BY ip_address, type, floor(epoch(created_at)) ORDER BY created_at, id) = 1)
+ SELECT r.id AS request_id, {", ".join("r." + c for c in _LOGGED[1:])} FROM r JOIN w USING (ip_address, type, sec) WHERE w.keep"""
+#: Floods beyond three requests a day, and each type of an address once a day.  Shipped custom rules, with look-around, are left out for SQL's sake.
+_DAILY = EngineConfig(custom_rules=(), flood_threshold=3, flood_window_s=86400, dedup_window_s=86400)
+
+
+@query("request_log", f"SELECT {', '.join(_LOGGED)} FROM ({_LOGGED_SQL}) UNION ALL SELECT NULL::BIGINT AS request_id, {', '.join(_LOGGED[1:])} FROM ({_flood_sql(_FLOOD, REQUESTS)})")
+def request_log(spark, sf_dir):
+    """events as requests, all the way to the log: detection, floods and windows."""
+    return journal.request_log(adapters.spread(adapters.event_requests(spark, sf_dir)), _DAILY).select(_LOGGED)
 
 
 @query("health_check", "SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema'), ('ok', 'streams have a shared folder for their state')) AS h(status, title)")
@@ -362,7 +390,7 @@ _FIRSTS = """, r AS (SELECT id, ip_address, type, created_at, floor(epoch(create
 
 def _landed(spark: SparkSession, out: DataFrame, *times: str) -> DataFrame:
     """What a stream yields of all that is there, written as Parquet and read back; times without a zone, as the tables have them."""
-    root = f"{state.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "stream")
     q = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/rows").withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
@@ -371,7 +399,15 @@ def _landed(spark: SparkSession, out: DataFrame, *times: str) -> DataFrame:
 @query("stream_dedup", _fold_sql("ip_address, type", 86400) + _FIRSTS)
 def stream_dedup(spark, sf_dir):
     """The log's rows as one stream through the stateful de-duplication."""
-    return _landed(spark, state.deduplicated(adapters.log_stream(spark, sf_dir), 86400, "60 days"), "created_at")
+    rows = adapters.log_stream(spark, sf_dir).select("id", "ip_address", "type", "created_at")
+    return _landed(spark, state.deduplicated(rows, 86400, "60 days"), "created_at")
+
+
+@query("stream_request_log", _LOGGED_SQL)
+def stream_request_log(spark, sf_dir):
+    """The same requests as one stream through detection and the windows of each address and type."""
+    rows = journal.request_log_stream(adapters.request_stream(spark, sf_dir), _DAILY, watermark="60 days")
+    return _landed(spark, rows.select(_LOGGED), "created_at")
 
 
 @query("stream_flood_alerts", _fold_sql("ip_address", 86400) + "SELECT ip_address, make_timestamp(start * 1000000) AS started, 4::BIGINT AS requests FROM w WHERE upto > 3 AND upto - n <= 3")
@@ -392,6 +428,6 @@ def stream_window_counts(spark, sf_dir):
 @query("stream_log", f"WITH logs AS ({LOGS}) SELECT id, type, threat_level, created_at FROM logs")
 def stream_log(spark, sf_dir):
     """The log's rows through the streaming sink, read back from the log."""
-    root = f"{state.shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "log")
     state.to_log(adapters.log_stream(spark, sf_dir), f"{root}/log", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/log").select("id", "type", "threat_level", F.col("created_at").cast("timestamp_ntz"))

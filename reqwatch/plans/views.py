@@ -25,6 +25,9 @@ LOGS = f"""SELECT event_id AS id, {_IP} AS ip_address, concat('https://shop.exam
  '[middleware] ' || {case("event_type", LABELS)} AS type, props AS payload, {case("event_type", LEVELS, "'low'")} AS threat_level, (20 + event_id % 6 * 15)::INTEGER AS confidence_score,
  CASE WHEN 20 + event_id % 6 * 15 >= 76 THEN 'very_high' WHEN 20 + event_id % 6 * 15 >= 51 THEN 'high' WHEN 20 + event_id % 6 * 15 >= 26 THEN 'medium' ELSE 'low' END AS confidence_label,
  event_id % 50 = 0 AS is_false_positive, 'logged' AS action_taken, user_id, ts AS created_at FROM events"""
+_EVENT_PATH = f"CASE WHEN event_id % 10 = 3 THEN {pick(PATHS, '(event_id // 10)')} ELSE concat('/', event_type, '/', user_id % 20) END"
+#: events as requests.
+REQUESTS = f"SELECT event_id AS id, {_IP} AS ip_address, {_EVENT_PATH} AS path, 'https://shop.example.com' || {_EVENT_PATH} AS url, {pick(AGENTS, 'event_id')} AS user_agent, user_id, ts AS created_at FROM events"
 _NAMES = "lower(isp || ' ')"
 CLOUD = "coalesce(" + ", ".join([f"CASE WHEN contains({_NAMES}, {text(k.lower())}) THEN {text(p)} END" for k, p in fixed.CLOUD_KEYWORDS] + [f"CASE WHEN starts_with(ip_address, {text(k)}) THEN {text(p)} END" for k, p in fixed.CLOUD_PREFIXES]) + ")"
 GEO = f"""SELECT {_IP} AS ip_address, substring(upper(n_name), 1, 2) AS country_code, n_name AS country_name, concat('City ', user_id % 9) AS city, {pick(PROVIDERS, "user_id")} AS isp

@@ -59,6 +59,28 @@ def _as_logs(e: DataFrame) -> DataFrame:
     )
 
 
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as requests: a path, an agent and an address, no query and no body."""
+    return _as_requests(table(spark, sf_dir, "events"))
+
+
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as a stream."""
+    kind = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")
+    return _as_requests(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _as_requests(e: DataFrame) -> DataFrame:
+    user, n = F.col("user_id"), F.col("event_id")
+    path = F.when(n % 10 == 3, pick(PATHS, F.floor(n / 10))).otherwise(F.concat(F.lit("/"), "event_type", F.lit("/"), (user % 20).cast("string")))
+    return e.select(
+        n.alias("request_id"), F.col("ts"), F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("ip_address"), F.lit("GET").alias("method"), path.alias("path"), F.lit("").alias("query_string"),
+        F.lit("").alias("content_type"), F.lit(0).cast("long").alias("content_length"), F.lit("").alias("body"), F.lit(None).cast("map<string,array<string>>").alias("headers"), pick(AGENTS, n).alias("user_agent"), user.alias("user_id"),
+        F.concat(F.lit("https://shop.example.com"), path).alias("url"),
+    )
+
+
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ip_address, country_code, country_name, city, isp, org): made-up places of the events' addresses; every seventh has none."""
     user = F.col("user_id")

@@ -1,69 +1,92 @@
 """The log's windows over streams: event-time de-duplication and flood counting with per-key state.
 
-State per key is two numbers, and it expires by event time once its window is over, so it does not grow with the stream.
+State per key is two numbers, or a number for each type of an address, and it expires by event time once its window is
+over, so it does not grow with the stream.  State functions see times as microseconds since 1970 in UTC, whatever zone
+the session has.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DEDUP_SCHEMA = "id long, ip_address string, type string, created_at timestamp"
-FLOOD_SCHEMA = "ip_address string, started timestamp, requests long"
+FLOOD_SCHEMA = "ip_address string, started long, requests long"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for what all executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if spark.conf.get("spark.master", "local").startswith("local["):
-        return "file:///tmp/checkpoints/reqwatch"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def firsts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The first row of each second, in order, with sec."""
-    sec = pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000
-    return pdf.assign(sec=sec).sort_values(["created_at", "id"]).drop_duplicates("sec")
+def firsts(pdf: pd.DataFrame, order: tuple[str, ...] = ("id",)) -> pd.DataFrame:
+    """The first row of each type and second, in order of time, with sec.  micros: microseconds since 1970."""
+    return pdf.assign(sec=pdf["micros"] // 1_000_000).sort_values(["micros", *order]).drop_duplicates(["type", "sec"])
 
 
 def per_second(pdf: pd.DataFrame, held: pd.Series | None = None) -> pd.Series:
     """Events of each second, added to those held."""
-    n = (pdf["created_at"].astype("datetime64[us]").astype("int64") // 1_000_000).value_counts()
+    n = (pdf["micros"] // 1_000_000).value_counts()
     return n if held is None else held.add(n, fill_value=0)
 
 
-def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minutes") -> DataFrame:
-    """The stream's rows (id, ip_address, type, created_at) that are first in their key's anchored window.
+class Marks(StatefulProcessor):
+    """Of an address: the second at which each type was last let through.  A timer takes a mark away once its window is over.
 
-    Rows without a time or without a part of the key go, as in suppress.first_in_window.
+    A mark is part of its micro-batch: a batch whose write fails is run again from the marks that held before it, so what
+    was not written mutes nothing.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
+    def __init__(self, window_s: int, order: tuple[str, ...]):
+        self.window_s, self.order = window_s, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.marks = handle, handle.getMapState("marks", "type string", "sec long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = None
-        for batch in batches:  # one row a second is held, so a hot key grows with its seconds and not with its rows
-            pdf = firsts(batch if pdf is None else pd.concat([pdf, firsts(batch)]))
-        keep = []
-        for sec in pdf["sec"]:
-            ok = last is None or sec >= last + window_s
-            last = sec if ok else last
-            keep.append(ok)
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int((last + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        if any(keep):
-            yield pdf[keep][["id", "ip_address", "type", "created_at"]]
-
-    timed = rows.select("id", "ip_address", "type", "created_at").dropna(subset=["ip_address", "type", "created_at"])
-    out = timed.withWatermark("created_at", watermark).groupBy("ip_address", "type")
-    return out.applyInPandasWithState(step, DEDUP_SCHEMA, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        for batch in rows:  # one row a type and second is held, so a hot address grows with its seconds and not with its rows
+            if len(batch):
+                pdf = firsts(batch if pdf is None else pd.concat([pdf, batch]), self.order)
+        if pdf is None:
+            return
+        last, ok = {}, []
+        for kind, sec in zip(pdf["type"], pdf["sec"], strict=True):
+            if kind not in last:
+                last[kind] = self.marks.getValue((kind,))[0] if self.marks.containsKey((kind,)) else None
+            ok.append(last[kind] is None or sec >= last[kind] + self.window_s)
+            if ok[-1]:
+                last[kind] = int(sec)
+                self.marks.updateValue((kind,), (int(sec),))
+                self.handle.registerTimer(max((int(sec) + self.window_s) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        if any(ok):
+            yield pdf[ok].drop(columns="sec")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = timerValues.getCurrentWatermarkInMs()
+        for (kind,), (sec,) in list(self.marks.iterator()):
+            if (sec + self.window_s) * 1000 <= over:
+                self.marks.removeKey((kind,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minutes", order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The stream's rows (ip_address, type, created_at, ...) that are first in their key's anchored window.
+
+    Of an address's and type's rows in one second the first by time and order stands.  Rows without a time or without a
+    part of the key go, as in suppress.first_in_window.  The state has maps and timers, which only the RocksDB store
+    offers: the session is set to it.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    timed = rows.dropna(subset=["ip_address", "type", "created_at"]).withColumn("micros", F.unix_micros("created_at")).withWatermark("created_at", watermark)
+    out = T.StructType([*(f for f in rows.schema if f.name != "created_at"), T.StructField("micros", T.LongType())])
+    kept = timed.groupBy("ip_address").transformWithStateInPandas(Marks(window_s, order), out, "Append", "EventTime")
+    return kept.withColumn("created_at", F.timestamp_micros("micros")).select(rows.columns)
 
 
 def flood_alerts(rows: DataFrame, threshold: int = 300, window_s: int = 60, watermark: str = "10 minutes") -> DataFrame:
@@ -86,15 +109,16 @@ def flood_alerts(rows: DataFrame, threshold: int = 300, window_s: int = 60, wate
             if start is None or sec >= start + window_s:
                 start, n = int(sec), 0
             if n <= threshold < n + more:
-                out.append((key[0], pd.Timestamp(start, unit="s"), threshold + 1))
+                out.append((key[0], start, threshold + 1))
             n += int(more)
         state.update((int(start), int(n)))
         state.setTimeoutTimestamp(max((start + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["ip_address", "started", "requests"])
 
-    out = rows.select("ip_address", "created_at").dropna().withWatermark("created_at", watermark).groupBy("ip_address")
-    return out.applyInPandasWithState(step, FLOOD_SCHEMA, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = rows.select("ip_address", "created_at", F.unix_micros("created_at").alias("micros")).dropna().withWatermark("created_at", watermark)
+    out = timed.groupBy("ip_address").applyInPandasWithState(step, FLOOD_SCHEMA, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("started", F.timestamp_seconds("started"))
 
 
 def windowed_counts(rows: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
@@ -109,16 +133,37 @@ def append(batch: DataFrame, path: str, number: int) -> None:
     batch.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def to_log(stream: DataFrame, path: str, checkpoint: str, callback=None):
+def with_tries(write, waits: tuple[float, ...] = (10, 30), sleep=time.sleep) -> Exception | None:
+    """Calls write until it does not fail, once more after each of the waits (seconds); the last failure, if all failed."""
+    for wait in (*waits, None):
+        try:
+            write()
+        except Exception as error:  # whatever the store said: the next try may be luckier
+            if wait is None:
+                return error
+            sleep(wait)
+        else:
+            return None
+    return None
+
+
+def to_log(stream: DataFrame, path: str, checkpoint: str, callback=None, write=append, waits: tuple[float, ...] = (10, 30), failed: str | None = None, sleep=time.sleep):
     """Appends each micro-batch to the log at path, then gives it to callback(batch, number), such as an alert sender.
 
-    The callback gets what was written, read back, so the stream's work is done once.  The log has a column batch.
+    A write that fails is tried again after each of the waits.  If it fails for good, the batch's rows go to the table
+    at `failed`, by number and with what was said, no callback hears of them and the stream goes on; without such a
+    table the stream stops there, and runs the batch again when it is started anew.  The callback gets what was written,
+    read back, so the stream's work is done once.  The log has a column batch.
     """
     kind = stream.drop("batch").schema
 
     def sink(batch: DataFrame, number: int) -> None:
-        append(batch, path, number)
-        if callback is not None:
+        error = with_tries(lambda: write(batch, path, number), waits, sleep)
+        if error is not None:
+            if failed is None:
+                raise error
+            append(batch.withColumn("error", F.lit(str(error)[:500])), failed, number)
+        elif callback is not None:
             callback(batch.sparkSession.read.schema(kind).parquet(f"{path}/batch={number}"), number)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")

@@ -57,16 +57,18 @@ def test_stream_rows_and_sink(spark, sf_dir):
 
 def test_first_row_of_each_second():
     at = pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.9", "2024-01-01 00:00:00.2", "2024-01-01 00:00:01.5", "2024-01-01 00:00:00.2"])
-    pdf = pd.DataFrame({"id": [9, 1, 5, 3, 4], "created_at": at})
+    pdf = pd.DataFrame({"id": [9, 1, 5, 3, 4], "type": "x", "micros": at.astype("datetime64[us]").astype("int64")})
     assert state.firsts(pdf)["id"].tolist() == [4, 3]
     parts = state.firsts(pd.concat([state.firsts(pdf[:3]), state.firsts(pdf[3:])]))
     assert parts["id"].tolist() == [4, 3]
+    assert state.firsts(pdf.assign(type=["x", "x", "y", "y", "x"]))["id"].tolist() == [4, 5, 9, 3]
 
 
 def test_events_of_each_second():
     at = pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.9", "2024-01-01 00:00:01.0"])
-    n = state.per_second(pd.DataFrame({"created_at": at}))
-    n = state.per_second(pd.DataFrame({"created_at": at[:1]}), n).sort_index()
+    micros = at.astype("datetime64[us]").astype("int64")
+    n = state.per_second(pd.DataFrame({"micros": micros}))
+    n = state.per_second(pd.DataFrame({"micros": micros[:1]}), n).sort_index()
     assert n.tolist() == [1, 3] and n.index.tolist() == [1704067200, 1704067201]
 
 
