@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import checksums, fixed, network, normalize, patterns, scoring
-from ..operators import correlate, detect, enrich, export, health, journal, redact, reports, suppress
+from ..operators import correlate, detect, enrich, export, health, journal, kept, places, redact, reports, suppress
 from ..sources import adapters, schema
 from ..sources.shared import scratch_dir
 from ..streaming import state
@@ -62,6 +62,7 @@ _report("ip_levels", lambda x: reports.ip_levels(x, "10.0.0.5"), f"SELECT count(
 _report("threat_by_id", lambda x: reports.by_id(x, 77).select(_COLS), f"SELECT {', '.join(_COLS)} FROM logs WHERE id = 77")
 _report("threats_page", lambda x: reports.page(reports.threats(x, keyword="CLICK", level="low", is_false_positive=False, date_from="2024-01-05 00:00:00", date_to="2024-01-25 00:00:00"), 2, 50).select(_COLS), f"""SELECT {", ".join(_COLS)} FROM logs
  WHERE (ip_address ILIKE '%CLICK%' OR type ILIKE '%CLICK%' OR url ILIKE '%CLICK%') AND threat_level = 'low' AND NOT is_false_positive AND created_at >= TIMESTAMP '2024-01-05 00:00:00' AND created_at <= TIMESTAMP '2024-01-25 00:00:00' ORDER BY created_at DESC, id LIMIT 50 OFFSET 50""")
+_report("threats_deep_page", lambda x: reports.deep_page(x, 40, 100).select(_COLS), f"SELECT {', '.join(_COLS)} FROM logs ORDER BY created_at DESC, id LIMIT 100 OFFSET 3900")
 _report("threats_count", lambda x: reports.page_count(reports.threats(x, country="FR", type_like="sql")), "SELECT count(*) AS total, greatest(1, ceil(count(*) / 20))::BIGINT AS last_page FROM logs WHERE country_code = 'FR' AND type ILIKE '%sql%'")
 _GROUP = "count(DISTINCT ip_address) AS unique_ips, count(*) AS attempts, min(created_at) AS first_seen, max(created_at) AS last_seen"
 _SECONDS = "(floor(epoch(last_seen)) - floor(epoch(first_seen)))"
@@ -113,6 +114,30 @@ def rule_list(spark, sf_dir):
     return enrich.listed_rules(adapters.exclusion_rules(spark), active_only=True).select(F.col("id").cast("int").alias("id"), "pattern_label")
 
 
+@query("geo_blocks", f"""WITH a AS (SELECT DISTINCT user_id, user_id // 256 AS hi, user_id % 256 AS lo FROM events), b AS (SELECT hi, 0 AS first, 255 AS last, 24 AS size, concat('area ', hi) AS city FROM a UNION SELECT hi, lo // 16 * 16, lo // 16 * 16 + 15, 28, concat('street ', hi, '/', lo // 16) FROM a WHERE lo // 16 % 3 = 1
+  UNION SELECT hi, lo, lo, 32, concat('house ', lo) FROM a WHERE user_id % 40 = 0)
+ SELECT concat('10.0.', a.hi::BIGINT, '.', lo) AS ip_address, arg_max(city, size) AS city FROM a JOIN b ON a.hi = b.hi AND lo BETWEEN first AND last WHERE a.hi % 5 <> 4 GROUP BY ALL""")
+def geo_blocks(spark, sf_dir):
+    """The events' addresses by the longest of made-up blocks around them; every fifth block of 256 has none."""
+    user = F.col("user_id")
+    a = adapters.table(spark, sf_dir, "events").select(F.floor(user / 256).alias("hi"), (user % 256).alias("lo"), user).distinct()
+    street, block = F.floor(F.col("lo") / 16), lambda last, size: F.concat(F.lit("10.0."), F.col("hi"), F.lit("."), last, F.lit(size))
+    blocks = a.select(block(F.lit("0"), "/24").alias("block"), F.concat(F.lit("area "), "hi").alias("city"))
+    blocks = blocks.union(a.where(street % 3 == 1).select(block(street * 16, "/28"), F.concat(F.lit("street "), "hi", F.lit("/"), street))).union(a.where(user % 40 == 0).select(block(F.col("lo"), ""), F.concat(F.lit("house "), "lo")))
+    return places.placed(adapters.threat_logs(spark, sf_dir), blocks.where(~F.col("block").rlike(r"^10\.0\.\d*[49]\.")))
+
+
+@query("kept_log", f"""WITH logs AS ({LOGS}) SELECT id, is_false_positive OR id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_false_positive, CASE WHEN NOT is_false_positive AND id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN {NOW} END AS updated_at
+ FROM logs WHERE floor(epoch(created_at)) >= epoch({NOW}) - 20 * 86400""")
+def kept_log(spark, sf_dir):
+    """The log as a table by day: marks, then retention, made in place."""
+    path = f"{scratch_dir(spark, 'kept-log')}/log"
+    kept.write(adapters.threat_logs(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), path)
+    kept.mark_false_positives(spark, path, adapters.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), AS_OF)
+    kept.purge(spark, path, AS_OF, 20)
+    return kept.read(spark, path).select("id", "is_false_positive", "updated_at")
+
+
 @query("exclusion_filter", f"WITH logs AS ({LOGS}) SELECT id, type, url FROM logs WHERE NOT EXISTS (SELECT 1 FROM {RULES} WHERE label = substring(type, 14) AND regexp_full_match(substring(url, 26), path_glob))")
 def exclusion_filter(spark, sf_dir):
     return suppress.excluded(adapters.threat_logs(spark, sf_dir), adapters.exclusion_rules(spark)).select("id", "type", "url")
