@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, table, text_slices
+from .common import Scratch, mix64, table, text_slices, with_document_keys
 
 GEAR = mix64(np.arange(101, 357, dtype=np.uint64)).astype(np.uint32)
 #: Bytes that the rolling hash sees (as many as it has bits); places on either side among which a cut is the smallest, and
@@ -116,23 +116,27 @@ def _kept_batches(batches):
 KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): docs less the byte spans (doc_id, s, e), which may overlap."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return rows.join(own, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept_batches, KEPT_SCHEMA)
+def without_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): rows (key, doc_id, text) less the byte spans (doc_id, s, e).
+
+    The spans' doc_id is a key of rows (common.with_document_keys); they may overlap.
+    """
+    own = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return rows.join(own, "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept_batches, KEPT_SCHEMA)
 
 
 def chunk_dedup(docs: DataFrame, shortest: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs.
 
     Chunks of fewer than `shortest` bytes always stay.  Null texts are empty; rows without an id keep everything.
-    Rows that repeat an id count as one document, and a chunk at the same place of it is not a copy of itself.
+    Rows that repeat an id and its text count as one document, and a chunk at the same place of it is not a copy of
+    itself; rows that repeat an id with another text are documents of their own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "chunks")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(lambda it: _chunk_batches(it, shortest), "d1 long, d2 long, doc_id long, place long, size int, again boolean")
+    rows = with_document_keys(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), scratch)
+    known = rows.where("key is not null").select(F.col("key").alias("doc_id"), "text")
+    found = known.mapInArrow(lambda it: _chunk_batches(it, shortest), "d1 long, d2 long, doc_id long, place long, size int, again boolean")
     # copies that a task has already seen never travel to the first ones' side
     found = scratch.save(found, "chunks")
     firsts = found.where("not again").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("c"))
@@ -140,7 +144,7 @@ def chunk_dedup(docs: DataFrame, shortest: int = REACH, id_col: str = "doc_id",
     own = found.where("not again").join(twice, ["d1", "d2"]).where(F.struct("doc_id", "place") != F.col("first"))
     cuts = found.where("again").select("doc_id", "place", "size").union(own.select("doc_id", "place", "size"))
     spans = cuts.select("doc_id", F.col("place").alias("s"), (F.col("place") + F.col("size")).alias("e"))
-    return without_spans(docs, spans, id_col, text_col)
+    return without_spans(rows, spans)
 
 
 def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, scratch_dir
+
 WORD_BREAKS = " \t\n\x0b\f\r"
 #: Bytes of text that one numpy pass holds; a longer text is still taken whole.
 SLICE_BYTES = 1 << 18
@@ -18,20 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if spark.conf.get("spark.master", "local").startswith("local["):
-        return "file:///tmp/checkpoints/reqwatch"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
 class Scratch:
-    """Written intermediate tables: they cut the lineage and outlive lost executors."""
+    """Written intermediate tables: they cut the lineage and outlive lost executors.
+
+    They lie in the folder that all executors share.  Those that no reader needs any longer are dropped as a job goes on;
+    those that its result reads from go when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, scratch_dir(spark, tag)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -41,8 +36,21 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables whose last reader has run; without names, all of them."""
         for place in [f"{self.root}/{name}" for name in names] or [self.root]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, place)
+
+
+def with_document_keys(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (doc_id, text) with key, by which documents are told apart: in the order of doc_id, null where that is null.
+
+    Where no id has several texts the id is the key.  Else rows of one id and text share a key, and the texts of one id
+    are documents of their own, in the order of their hashes: the different (id, hash) pairs are sorted and numbered.
+    """
+    pairs = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"))
+    if pairs.groupBy("doc_id").agg((F.min("tag") != F.max("tag")).alias("many")).where("many").isEmpty():
+        return rows.withColumn("key", F.col("doc_id"))
+    order = pairs.distinct().repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
+    numbered = scratch.save(order.withColumn("key", F.monotonically_increasing_id()), "keys")
+    return rows.withColumn("tag", F.xxhash64("text")).join(numbered, ["doc_id", "tag"], "left").drop("tag")
 
 
 def fresh_name(columns: list[str], name: str) -> str:

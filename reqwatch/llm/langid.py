@@ -21,7 +21,7 @@ from .common import table
 VOCABULARY = "piece_bpe_32k.model"
 #: About so many labelled documents of each language, picked by a hash of their ids, train it, by at most so many distinct words.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 600_000
-ROUNDS, LONGEST, START = 3, 12, "▁"
+ROUNDS, START = 3, "▁"
 #: What a character outside the vocabulary weighs, and a piece that the language never used (in expected uses).
 UNKNOWN, PRIOR = 1e-7, 0.01
 REMEMBERED = 200_000
@@ -37,16 +37,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def load_pieces(path: str) -> list[str]:
-    """The vocabulary's lower-case pieces of letters, with or without a word start, of up to LONGEST characters.
+    """The vocabulary's lower-case pieces of letters, of any length, with or without a word start.
 
-    Others never count: words are of letters alone, and what only a longer piece would cover is summed over shorter ones.
+    Others never count, as words are of letters alone.
     """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
     found = {p.lower() for p in found}
-    return sorted(p for p in found if len(p) <= LONGEST and (p == START or p.lstrip(START).isalpha()))
+    return sorted(p for p in found if p == START or p.lstrip(START).isalpha())
 
 
 _B = np.uint64(0x100000001B3)
@@ -58,7 +58,7 @@ class PieceIndex:
     def __init__(self, pieces: list[str]):
         self.pieces, self.bits = pieces, 18
         self.keys, self.ids = np.zeros((1 << self.bits) + 64, np.uint64), np.full((1 << self.bits) + 64, -1, np.int32)
-        self.probes = 1
+        self.probes, self.longest = 1, max(map(len, pieces), default=1)
         for i, p in enumerate(pieces):
             h = self._hash(np.array([ord(c) for c in p], np.uint64))
             at = int(self._slot(h)[0])
@@ -80,10 +80,10 @@ class PieceIndex:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, codes: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-        """For each length 1..LONGEST: the piece that begins at each place, or -1.  left: characters to the word's end."""
+        """For each length up to the longest piece's: the piece that begins at each place, or -1.  left: characters to the word's end."""
         h, out, n = np.zeros(len(codes), np.uint64), [], len(codes)
-        padded = np.concatenate([codes.astype(np.uint64) + np.uint64(1), np.zeros(LONGEST, np.uint64)])
-        for k in range(1, LONGEST + 1):
+        padded = np.concatenate([codes.astype(np.uint64) + np.uint64(1), np.zeros(self.longest, np.uint64)])
+        for k in range(1, self.longest + 1):
             h = (h + padded[k - 1 : k - 1 + n]) * _B
             key, found = h ^ np.uint64(k), np.full(n, -1, np.int32)
             at = self._slot(key)
@@ -134,12 +134,12 @@ class Model:
         left = np.repeat(lengths, lengths) - (np.arange(len(codes)) - np.repeat(starts, lengths))
         ids = self.index.find(codes, left)
         w, n = len(words), self.table.shape[1]
-        past = [np.ones((w, n))]  # the last LONGEST forward values, newest first
+        past = [np.ones((w, n))]  # the last forward values, as many as the longest piece has characters, newest first
         scale, done = np.zeros((w, n)), np.zeros((w, n))
         for t in range(1, int(lengths[0]) + 1 if w else 1):
             live = int(np.searchsorted(-lengths, -t, "right"))
             now = np.zeros((live, n))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, self.index.longest) + 1):
                 i = ids[k - 1][starts[:live] + t - k]
                 now += past[k - 1][:live] * self.table[i]
                 if k == 1:
@@ -150,7 +150,7 @@ class Model:
                 now /= top
                 past = [p[:live] / top for p in past]
                 scale[:live] += np.log(top)
-            past = [now, *(p[:live] for p in past[: LONGEST - 1])]
+            past = [now, *(p[:live] for p in past[: self.index.longest - 1])]
             ended = lengths[:live] == t
             done[:live][ended] = np.log(np.maximum(now[ended], 1e-300)) + scale[:live][ended]
         out = np.empty_like(done)
@@ -177,18 +177,18 @@ def expected_uses(index: PieceIndex, p: np.ndarray, words: list[str], counts: np
         at_ = lambda t, k, live: ids[k - 1][starts[:live] + t - k]
         for t in range(1, m + 1):
             live = int(np.searchsorted(-lengths, -t, "right"))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, index.longest) + 1):
                 i = at_(t, k, live)
                 fore[t, :live] += fore[t - k, :live] * (p[i] + (UNKNOWN * (i < 0) if k == 1 else 0))
         for t in range(m, 0, -1):
             live = int(np.searchsorted(-lengths, -t, "right"))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, index.longest) + 1):
                 i = at_(t, k, live)
                 back[t - k, :live] += back[t, :live] * (p[i] + (UNKNOWN * (i < 0) if k == 1 else 0))
         z = weight / np.maximum(fore[lengths, np.arange(len(part))], 1e-300)
         for t in range(1, m + 1):
             live = int(np.searchsorted(-lengths, -t, "right"))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, index.longest) + 1):
                 i = at_(t, k, live)
                 use = fore[t - k, :live] * p[i] * back[t, :live] * z[:live]
                 ok = i >= 0

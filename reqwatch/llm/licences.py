@@ -31,6 +31,10 @@ TEMPLATES = {
         "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
         "See the License for the specific language governing permissions and limitations under the License.",
+        "This file is licensed under the Apache 2 license.",
+        "Apache 2.0 licensed.",
+        "Distributed under the Apache License 2.0; see the NOTICE file.",
+        "Available under the terms of the Apache-2.0 license.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -43,6 +47,10 @@ TEMPLATES = {
         "License: MIT",
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "Licensed under MIT.",
+        "Licensed under the MIT license, see LICENSE for details.",
+        "Distributed under the terms of the MIT license.",
+        "MIT licensed.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -56,6 +64,10 @@ TEMPLATES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "License: GPL v3 or later",
+        "Released under GPL version 2 or later.",
+        "Distributed under the terms of the GPL v2.",
+        "Licensed under GPL.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
@@ -65,6 +77,9 @@ TEMPLATES = {
         "Licensed under the LGPL version 3.",
         "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "License: LGPL v2.1 or later",
+        "Released under LGPL version 3 or later.",
+        "Distributed under the terms of the GNU LGPL.",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
@@ -73,6 +88,9 @@ TEMPLATES = {
         "Licensed under the AGPLv3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "License: AGPL v3 or later",
+        "Released under the GNU AGPL version 3.",
+        "Distributed under the terms of the AGPL.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -86,6 +104,10 @@ TEMPLATES = {
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES, HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "Released under the 2-clause BSD license.",
+        "Licensed under BSD.",
+        "License: BSD-3-Clause",
+        "Distributed under the terms of the BSD license.",
+        "BSD licensed.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -94,6 +116,9 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Released under the MPL 2.0.",
+        "License: MPL-2.0",
+        "Distributed under the terms of the MPL.",
+        "Licensed under the MPL 2.0.",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -101,6 +126,9 @@ TEMPLATES = {
         "SPDX-License-Identifier: ISC",
         "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
         "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.",
+        "License: ISC",
+        "Released under the ISC license.",
+        "ISC licensed.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -108,6 +136,8 @@ TEMPLATES = {
         "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.",
         "SPDX-License-Identifier: CC-BY-4.0",
         "This article is available under the Creative Commons CC BY 3.0 license.",
+        "License: CC BY 4.0",
+        "Published under a CC BY licence.",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
@@ -115,6 +145,8 @@ TEMPLATES = {
         "Text is available under the Creative Commons Attribution-ShareAlike License 3.0; additional terms may apply.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
         "Released under CC BY-SA 3.0.",
+        "License: CC BY-SA 4.0",
+        "Published under a CC BY-SA licence.",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
@@ -122,6 +154,8 @@ TEMPLATES = {
         "This is an open access article distributed under the terms of the Creative Commons Attribution-NonCommercial License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
         "Released under CC BY-NC 3.0 for non-commercial use.",
+        "License: CC BY-NC 4.0",
+        "Published under a CC BY-NC licence.",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
@@ -131,6 +165,10 @@ TEMPLATES = {
         "SPDX-License-Identifier: Unlicense",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "This work has been marked as dedicated to the public domain.",
+        "Released under CC0.",
+        "License: CC0-1.0",
+        "CC0 1.0 Universal",
+        "Dedicated to the public domain.",
     ],
 }
 FAMILIES = sorted(TEMPLATES)
@@ -199,7 +237,8 @@ class Templates:
     def confirmed(self, pairs: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """Which families the word pairs of each of n rows confirm, as booleans.
 
-        Those of the closest template that shares enough of them, one that no other family has among them.
+        Those of the closest template that shares enough of them, one that no other family has among them.  Two pairs must
+        be shared, or the only one that the row, such as a title, or the template has.
         """
         order = np.lexsort((pairs, rows))
         pairs, rows = pairs[order], rows[order]
@@ -211,7 +250,7 @@ class Templates:
         np.add.at(both, rows[hit], self.holds[at[hit]])
         told = np.zeros_like(both)
         np.add.at(told, rows[hit], self.telling[at[hit]])
-        enough = (told > 0) & (both >= SHARED * np.minimum(own, size)) & (both >= np.minimum(2, size))
+        enough = (told > 0) & (both >= SHARED * np.minimum(own, size)) & (both >= np.minimum(2, np.minimum(own, size)))
         near = np.where(enough, both / np.maximum(own + size - both, 1), 0)
         best = near.max(axis=1, keepdims=True)
         out = np.zeros((n, NONE), bool)
@@ -255,20 +294,28 @@ def _fitted(texts: list[str], labels: np.ndarray, templates: dict[str, list[str]
     known = np.unique(_of([t for ts in templates.values() for t in ts])[0])
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     hit = known[at] == hashes
-    x = np.zeros((len(texts), len(known) + 2), np.float32)
-    np.add.at(x, (rows[hit], at[hit]), 1.0)
     total = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
-    x /= np.sqrt(total)[:, None]
-    x[:, -2] = 1 - np.bincount(rows[hit], minlength=len(texts)) / total
-    x[:, -1] = 1
-    w = np.zeros((x.shape[1], NONE + 1), np.float32)
-    step, y = np.zeros_like(w), np.eye(NONE + 1, dtype=np.float32)[labels]
-    for _ in range(150):
-        z = x @ (w + 0.9 * step)
+    scale, unknown = (1 / np.sqrt(total)).astype(np.float32), (1 - np.bincount(rows[hit], minlength=len(texts)) / total).astype(np.float32)
+    # the sparse matrix as (row, feature) pairs in either order
+    row, feature = rows[hit], at[hit]
+    by_row, by_feature = np.argsort(row, kind="stable"), np.argsort(feature, kind="stable")
+    own, heads = np.unique(row[by_row], return_index=True)
+    used, firsts = np.unique(feature[by_feature], return_index=True)
+    w = np.zeros((len(known) + 2, NONE + 1), np.float32)
+    step, y, grad = np.zeros_like(w), np.eye(NONE + 1, dtype=np.float32)[labels], np.zeros_like(w)
+    for _ in range(150 if len(texts) else 0):
+        ahead = w + 0.9 * step
+        z = np.zeros_like(y)
+        if len(own):
+            z[own] = np.add.reduceat(ahead[feature[by_row]], heads, axis=0)
+        z = z * scale[:, None] + unknown[:, None] * ahead[-2] + ahead[-1]
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        step = 0.9 * step - 4.0 * (x.T @ (z - y) / len(x) + 1e-5 * w)
-        w += step
+        miss = (z / z.sum(axis=1, keepdims=True) - y) / len(texts)
+        if len(used):
+            grad[used] = np.add.reduceat((miss * scale[:, None])[row[by_feature]], firsts, axis=0)
+        grad[-2], grad[-1] = unknown @ miss, miss.sum(axis=0)
+        step = 0.9 * step - 4.0 * (grad + 1e-5 * w)
+        w = w + step
     return Classifier(known, w.astype(np.float64))
 
 
@@ -345,12 +392,12 @@ def _scan_batches(batches, model: Classifier):
             paragraphs = np.bincount(owner[real], minlength=n)[:n]
             best, top, none, sure = named(model, templates, hashes, rows, pair, lines)
             found: dict[int, list[tuple[str, int, int, float]]] = {}
+            points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # code points before each byte
             for k in np.flatnonzero(real & ~none):
                 family = FAMILIES[best[k]] if top[k] >= model.least and sure[k] else "unknown"
                 doc = int(owner[k])
-                text = raw[offsets[doc] : bounds[k + 1]].tobytes()
-                start = len(text[: bounds[k] - offsets[doc]].decode("utf-8", "replace"))
-                line = text[bounds[k] - offsets[doc] :].rstrip(b"\n").decode("utf-8", "replace")
+                start = int(points[bounds[k]] - points[offsets[doc]])
+                line = raw[bounds[k] : bounds[k + 1]].tobytes().rstrip(b"\n").decode("utf-8", "replace")
                 found.setdefault(doc, []).append((family, start, start + len(line), float(top[k])))
             out = []
             for k in range(n):

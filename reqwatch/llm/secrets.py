@@ -1,6 +1,6 @@
 """Secret scans: exact base patterns, and a character convolutional network over every other candidate.
 
-Base findings always stand.  Candidates are long runs of key-like characters that no base finding covers; the network
+Base findings always stand.  Candidates are long runs of key-like characters, less what a base finding covers; the network
 sees each with its surroundings and adds the ones that score at or above a threshold.  It is trained on labelled
 findings: a bounded sample of the documents' own candidates, labelled by the base patterns, and made-up findings in
 public key formats.  Candidates that may be keys themselves (a public format, or random letters) teach nothing.  The
@@ -28,7 +28,8 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 #: About so many documents give labelled findings for training, at most so many of these, beside so many made-up ones.
 SAMPLE_DOCS, SAMPLE_VIEWS, MADE_UP = 10_000, 6_000, 6_000
 RECALL, SEED = 0.98, 7
@@ -51,13 +52,15 @@ def _maybe_assign(text: str) -> bool:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Key-like runs with a digit, or with changing case, that no base finding overlaps."""
+    """Key-like runs with a digit, or with changing case.  Base findings part a run; each piece of SHORTEST characters counts."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(c.isdigit() for c in s) or not (s.islower() or s.isupper() or s[0].isupper() and s[1:].islower()):
-            if not any(m.start() < e and b < m.end() for b, e, _ in taken):
-                out.append((m.start(), m.end()))
+        at = m.start()
+        for b, e in [*((b, e) for b, e, _ in taken if b < m.end() and e > m.start()), (m.end(), m.end())]:
+            s = text[at:b] if b > at else ""
+            if len(s) >= SHORTEST and (any(c.isdigit() for c in s) or not (s.islower() or s.isupper() or s[0].isupper() and s[1:].islower())):
+                out.append((at, b))
+            at = max(at, e)
     return out
 
 

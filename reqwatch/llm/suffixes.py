@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import without_spans
-from .common import Scratch, id_marks, list_parts, marked, mix64, table, text_slices
+from .common import Scratch, id_marks, list_parts, marked, mix64, table, text_slices, with_document_keys
 
 LENGTH, GRAM = 100, 32
 #: Bytes of windows that one suffix order holds.
@@ -369,12 +369,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     Removes each byte that a string of `length` bytes covers which also begins earlier, by (doc_id, place), in the input
     as it is.  Null texts are empty; rows without an id keep everything; rows that repeat an id and its text are one
-    document, and rows that repeat an id with another text are each cut by the spans of both.  length: from 96 to 255
-    less GRAM.
+    document, and rows that repeat an id with another text are documents of their own.  length: from 96 to 255 less GRAM.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = with_document_keys(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), scratch)
+    rows = keyed.where("key is not null").select(F.col("key").alias("doc_id"), "text")  # from here on doc_id is the key
     schema = "h long, g long, doc_id long, packed long"
     repeats = lambda df: df.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(lambda it: _repeats(it, length), schema)
     events = scratch.save(repeats(rows.mapInArrow(lambda it: _window_batches(it, length), schema)), "events")
@@ -399,7 +399,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     found = blocks.mapInArrow(lambda it: _blocks(it, length), "doc_id long, s long, e long")
     for df in spans:
         found = found.union(df.where("h is null").select("doc_id", F.col("g").alias("s"), F.col("packed").alias("e")))
-    return without_spans(docs, found, id_col, text_col)
+    return without_spans(keyed, found)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
