@@ -34,7 +34,7 @@ TEMPLATES = {
         "This file is licensed under the Apache 2 license.",
         "Apache 2.0 licensed.",
         "Distributed under the Apache License 2.0; see the NOTICE file.",
-        "Available under the terms of the Apache-2.0 license.",
+        "Available under the Apache-2.0 license.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -49,7 +49,7 @@ TEMPLATES = {
         "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Licensed under MIT.",
         "Licensed under the MIT license, see LICENSE for details.",
-        "Distributed under the terms of the MIT license.",
+        "Distributed under the MIT license.",
         "MIT licensed.",
     ],
     "gpl": [
@@ -66,7 +66,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-2.0-only",
         "License: GPL v3 or later",
         "Released under GPL version 2 or later.",
-        "Distributed under the terms of the GPL v2.",
+        "Distributed under the GPL v2.",
         "Licensed under GPL.",
     ],
     "lgpl": [
@@ -79,7 +79,7 @@ TEMPLATES = {
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "License: LGPL v2.1 or later",
         "Released under LGPL version 3 or later.",
-        "Distributed under the terms of the GNU LGPL.",
+        "Distributed under the GNU LGPL.",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
@@ -90,7 +90,7 @@ TEMPLATES = {
         "You should have received a copy of the GNU Affero General Public License along with this program.",
         "License: AGPL v3 or later",
         "Released under the GNU AGPL version 3.",
-        "Distributed under the terms of the AGPL.",
+        "Distributed under the AGPL.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -106,7 +106,7 @@ TEMPLATES = {
         "Released under the 2-clause BSD license.",
         "Licensed under BSD.",
         "License: BSD-3-Clause",
-        "Distributed under the terms of the BSD license.",
+        "Distributed under the BSD license.",
         "BSD licensed.",
     ],
     "mpl-2.0": [
@@ -117,7 +117,7 @@ TEMPLATES = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Released under the MPL 2.0.",
         "License: MPL-2.0",
-        "Distributed under the terms of the MPL.",
+        "Distributed under the MPL.",
         "Licensed under the MPL 2.0.",
     ],
     "isc": [

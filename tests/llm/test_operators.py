@@ -602,6 +602,6 @@ def test_licence_templates_confirm():
     got = templates.confirmed(hashes[pair], rows[pair], len(texts))
     for k, t in enumerate(texts):
         own = pairs(t)
-        close = [(len(own & p) / len(own | p), f) for f, p in known if len(own & p) >= max(licences.SHARED * min(len(own), len(p)), min(2, len(p))) and own & p & telling[f]]
+        close = [(len(own & p) / len(own | p), f) for f, p in known if len(own & p) >= max(licences.SHARED * min(len(own), len(p)), min(2, len(own), len(p))) and own & p & telling[f]]
         assert {licences.FAMILIES[j] for j in np.flatnonzero(got[k])} == {f for c, f in close if abs(c - max(close)[0]) < 1e-6}
 
