@@ -61,7 +61,7 @@ def test_first_row_of_each_second():
     assert state.firsts(pdf)["id"].tolist() == [4, 3]
     parts = state.firsts(pd.concat([state.firsts(pdf[:3]), state.firsts(pdf[3:])]))
     assert parts["id"].tolist() == [4, 3]
-    assert state.firsts(pdf.assign(type=["x", "x", "y", "y", "x"]))["id"].tolist() == [4, 5, 9, 3]
+    assert state.firsts(pdf.assign(type=["x", "x", "y", "y", "x"]))["id"].tolist() == [4, 5, 3, 9]
 
 
 def test_events_of_each_second():
