@@ -13,7 +13,8 @@ def _top_groups(rows: DataFrame, key: str, least: int, limit: int) -> DataFrame:
     return out.where(F.col("unique_ips") >= least).orderBy(F.desc("unique_ips"), F.desc("attempts"), key).limit(limit)
 
 
-def _span(unit: int):
+def span(unit: int):
+    """Time between first_seen and last_seen, in units of so many seconds."""
     return F.round((F.unix_timestamp("last_seen") - F.unix_timestamp("first_seen")) / unit, 2)
 
 
@@ -23,7 +24,17 @@ def coordinated_attacks(logs: DataFrame, as_of: str, seconds: int = 900, least:
     top = _top_groups(rows, "url", least, limit)
     ips = rows.join(F.broadcast(top.select("url")), "url").select("url", "ip_address").distinct()  # at most `limit` urls
     ips = ips.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("ip_address")), ",").alias("attacker_ips"))
-    return top.join(ips, "url").withColumn("duration_minutes", _span(60)).orderBy(F.desc("unique_ips"), F.desc("attempts"), "url")
+    return top.join(ips, "url").withColumn("duration_minutes", span(60)).orderBy(F.desc("unique_ips"), F.desc("attempts"), "url")
+
+
+def coordinated_addresses(logs: DataFrame, as_of: str, seconds: int = 900, least: int = 3, limit: int = 20) -> DataFrame:
+    """(url, ip_address, attempts): the addresses of those urls as rows, for urls that more of them try than fit in one text.
+
+    Attempts without an address are the row whose address is null; a null url is none.
+    """
+    rows = since(logs, as_of, seconds)
+    top = _top_groups(rows, "url", least, limit).select("url")  # at most `limit` urls
+    return rows.groupBy("url", "ip_address").agg(F.count("*").alias("attempts")).join(F.broadcast(top), "url")
 
 
 def campaigns(logs: DataFrame, as_of: str, seconds: int = 86400, least: int = 5, limit: int = 15, sample: int = 10) -> DataFrame:
@@ -35,7 +46,7 @@ def campaigns(logs: DataFrame, as_of: str, seconds: int = 86400, least: int = 5,
     few = lambda c: F.slice(F.array_sort(c), 1, sample)
     part = ranked.groupBy("type", "salt").agg(few(F.collect_set("ip_address")).alias("ips"))
     ips = part.groupBy("type").agg(F.array_join(few(F.flatten(F.collect_list("ips"))), ",").alias("sample_ips"))
-    return top.join(ips, "type").withColumn("duration_hours", _span(3600)).orderBy(F.desc("unique_ips"), F.desc("attempts"), "type")
+    return top.join(ips, "type").withColumn("duration_hours", span(3600)).orderBy(F.desc("unique_ips"), F.desc("attempts"), "type")
 
 
 def rapid_attackers(logs: DataFrame, as_of: str, seconds: int = 300, least: int = 10, limit: int = 20) -> DataFrame:

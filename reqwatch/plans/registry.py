@@ -10,7 +10,7 @@ from ..functions import checksums, fixed, network, normalize, patterns, scoring
 from ..operators import correlate, detect, enrich, export, health, journal, kept, places, redact, reports, suppress
 from ..sources import adapters, schema
 from ..sources.shared import scratch_dir
-from ..streaming import state
+from ..streaming import correlation, state
 from .views import LOGS, NOW, PAGES, REQUESTS, RULES, WITH, text
 
 AS_OF = adapters.AS_OF
@@ -68,6 +68,7 @@ _GROUP = "count(DISTINCT ip_address) AS unique_ips, count(*) AS attempts, min(cr
 _SECONDS = "(floor(epoch(last_seen)) - floor(epoch(first_seen)))"
 _COORDINATED = f"SELECT url, {_GROUP}, string_agg(DISTINCT ip_address, ',' ORDER BY ip_address) AS attacker_ips FROM logs WHERE {_LAST(86400)} GROUP BY url HAVING count(DISTINCT ip_address) >= 3 ORDER BY unique_ips DESC, attempts DESC, url LIMIT 20"
 _report("coordinated_attacks", lambda x: correlate.coordinated_attacks(x, AS_OF, 86400), f"SELECT *, round({_SECONDS} / 60, 2) AS duration_minutes FROM ({_COORDINATED})")
+_report("coordinated_addresses", lambda x: correlate.coordinated_addresses(x, AS_OF, 86400), f"SELECT url, ip_address, count(*) AS attempts FROM logs WHERE {_LAST(86400)} AND url IN (SELECT url FROM ({_COORDINATED})) GROUP BY ALL")
 _CAMPAIGNS = f"SELECT type, {_GROUP}, array_to_string(list_sort(list(DISTINCT ip_address))[1:10], ',') AS sample_ips FROM logs WHERE {_LAST(86400)} GROUP BY type HAVING count(DISTINCT ip_address) >= 3 ORDER BY unique_ips DESC, attempts DESC, type LIMIT 15"
 _report("attack_campaigns", lambda x: correlate.campaigns(x, AS_OF, 86400, 3), f"SELECT *, round({_SECONDS} / 3600, 2) AS duration_hours FROM ({_CAMPAIGNS})")
 _RAPID = f"SELECT ip_address, count(*) AS attack_count, count(DISTINCT type) AS attack_types, min(created_at) AS first_seen, max(created_at) AS last_seen FROM logs WHERE {_LAST(7 * 86400)} GROUP BY ip_address HAVING count(*) >= 10 ORDER BY attack_count DESC, ip_address LIMIT 20"
@@ -456,3 +457,35 @@ def stream_log(spark, sf_dir):
     root = scratch_dir(spark, "log")
     state.to_log(adapters.log_stream(spark, sf_dir), f"{root}/log", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/log").select("id", "type", "threat_level", F.col("created_at").cast("timestamp_ntz"))
+
+
+def _sliding(window_s: int, slide_s: int, key: str, found: str, having: str, order: str, limit: int, after: str) -> str:
+    """A report at each slide that a watermark of a day has closed."""
+    return f"""WITH logs AS ({LOGS}), r AS (SELECT logs.*, time_bucket(INTERVAL {slide_s} SECONDS, created_at) + k * INTERVAL {slide_s} SECONDS AS as_of FROM logs, generate_series(1, {window_s // slide_s}) AS g(k)),
+ t AS (SELECT as_of, {key}, {found} FROM r WHERE as_of <= (SELECT max(created_at) FROM logs) - INTERVAL 1 DAY GROUP BY as_of, {key} HAVING {having} QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY {order}, {key}) <= {limit}) SELECT *, {after} FROM t"""
+
+
+def _reports(spark: SparkSession, sf_dir: str, kind: str, window_s: int, slide_s: int, **bounds) -> DataFrame:
+    root = scratch_dir(spark, kind)
+    writer = correlation.to_reports(adapters.log_stream(spark, sf_dir), kind, root, f"{root}/checkpoint", window_s, slide_s, "1 day", **bounds)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/reports").drop("batch")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("as_of", "first_seen", "last_seen")})
+
+
+@query("stream_coordinated", _sliding(86400, 43200, "url", _GROUP + ", string_agg(DISTINCT ip_address, ',' ORDER BY ip_address) AS attacker_ips", "unique_ips >= 3", "unique_ips DESC, attempts DESC", 20, f"round({_SECONDS} / 60, 2) AS duration_minutes"))
+def stream_coordinated(spark, sf_dir):
+    """Coordinated attacks of the day before each half day, from one stream."""
+    return _reports(spark, sf_dir, "coordinated", 86400, 43200, least=3)
+
+
+@query("stream_campaigns", _sliding(86400, 21600, "type", _GROUP + ", array_to_string(list_sort(list(DISTINCT ip_address))[1:10], ',') AS sample_ips", "unique_ips >= 3", "unique_ips DESC, attempts DESC", 15, f"round({_SECONDS} / 3600, 2) AS duration_hours"))
+def stream_campaigns(spark, sf_dir):
+    """Campaigns of the day before each quarter of a day, from one stream."""
+    return _reports(spark, sf_dir, "campaigns", 86400, 21600, least=3)
+
+
+@query("stream_rapid", _sliding(7 * 86400, 86400, "ip_address", "count(DISTINCT type) AS attack_types, count(*) AS attack_count, min(created_at) AS first_seen, max(created_at) AS last_seen", "attack_count >= 10", "attack_count DESC", 20, f"round(attack_count / greatest({_SECONDS} / 60, 1), 2) AS attacks_per_minute"))
+def stream_rapid(spark, sf_dir):
+    """Rapid attackers of the week before each day, from one stream."""
+    return _reports(spark, sf_dir, "rapid", 7 * 86400, 86400)
