@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import checksums, fixed, network, normalize, patterns, scoring
-from ..operators import correlate, detect, enrich, export, health, journal, kept, places, redact, reports, suppress
+from ..operators import correlate, detect, enrich, export, health, journal, kept, places, redact, reports, segments, suppress
 from ..sources import adapters, schema
 from ..sources.shared import scratch_dir
 from ..streaming import correlation, state
@@ -398,6 +398,45 @@ _LOGGED_SQL = _fold_sql("ip_address, type", 86400, _REQUEST_THREATS) + f""", r A
 _DAILY = EngineConfig(custom_rules=(), flood_threshold=3, flood_window_s=86400, dedup_window_s=86400)
 
 
+_SEGMENTS = f"""WITH e AS (SELECT *, CASE event_id % 3 WHEN 0 THEN concat('{{"user":{{"id":', user_id, '}},"props":', json(props), '}}') WHEN 1 THEN concat('{{"note":"a ', event_type, '!","k":{{"of":"', user_id, '"}}}}') ELSE concat('{{"note":"', event_type, '"}}') END AS body,
+ concat('kind=', event_type, '&tags[]=', user_id, '&tags[]=%41+b&token=', event_id) AS q, CASE event_id % 3 WHEN 0 THEN concat('{{"user": {{"id": ', user_id, ', "pin": "12"}}, "props": ', props, '}}') WHEN 1 THEN concat('note=a+', event_type, '%21&k[of]=', user_id) END AS data FROM events),
+ p AS (SELECT id, path, {_PROBE_SQL} AS probe FROM ({REQUESTS})), s AS (SELECT event_id AS request_id, CASE WHEN probe IS NULL THEN concat('/', ltrim(path, '/')) ELSE '' END AS path, concat('{{"kind":"', event_type, '","tags":["', user_id, '","A b"]}}') AS query,
+ body, concat('{{"x-kind":"', event_type, '; ', user_id, '"}}') AS headers, concat_ws(chr(10), q, data) AS raw FROM e JOIN p ON event_id = id) SELECT *, concat('QUERY: ', query, chr(10), 'BODY: ', body, chr(10), 'HEADERS: ', headers) AS payload FROM s"""
+
+
+@query("request_segments", _SEGMENTS)
+def request_segments(spark, sf_dir):
+    """The five texts of each request, less a field and a path that are safe, and what a log row would store of them."""
+    requests = adapters.full_requests(spark, sf_dir)
+    out = segments.with_segments(requests, detect.probe_label(F.col("path")), ("token",), ("user.pin",))
+    return out.select("request_id", "segments.*", segments.payload_text(F.col("segments")).alias("payload"))
+
+
+_ONLY, _SKIP, _LOGIN, _CONTENT = ("click/*", "view/*", "wp-*", "api/*", "error/?", "/"), ("view/1*", "wp-content/*"), ("click/3", "api/v?/*"), ("click/1?", "error/[0-4]")
+_globs = lambda globs: "(" + " OR ".join(f"own GLOB {text(g)}" for g in globs) + ")"
+
+
+@query("request_admission", f"WITH r AS (SELECT *, coalesce(nullif(trim(path, '/'), ''), '/') AS own FROM ({REQUESTS}) WHERE NOT (split_part(ip_address, '.', 3) = '0' AND split_part(ip_address, '.', 4)::INT BETWEEN 8 AND 15)) SELECT id AS request_id, {_globs(_LOGIN)} AS auth_path, {_globs(_CONTENT)} AS content_path, contains('/' || trim(path, '/') || '/', '/api/') AS api_route, {_PROBE_SQL} AS probe FROM r WHERE {_globs(_ONLY)} AND NOT {_globs(_SKIP)}")
+def request_admission(spark, sf_dir):
+    """Which requests are looked at, and what kind of path theirs is."""
+    config = EngineConfig(whitelist=_WHITE, only_paths=_ONLY, skip_paths=_SKIP, auth_paths=_LOGIN, content_paths=_CONTENT, environments=("production",))
+    return detect.admitted(adapters.event_requests(spark, sf_dir), config).select("request_id", "auth_path", "content_path", "api_route", "probe")
+
+
+_KEPT = f"""WITH logs AS (SELECT *, trim(path, '/') AS own FROM ({REQUESTS})), u AS ({" UNION ALL ".join(_UA_PARTS)}), t AS (SELECT id, label, level, 'user-agent' AS source FROM u UNION ALL SELECT id, {_PROBE_SQL}, 'medium', 'probe' FROM logs WHERE {_PROBE_SQL} IS NOT NULL),
+ c AS (SELECT id, 20 + 15 * least(count(*) - 1, 3) + 15 * max(level = 'high')::INTEGER AS score FROM t GROUP BY id),
+ r AS (SELECT id, path, own, '[' || source || '] ' || label AS type, level, greatest(0, least(100, score - 10 + CASE WHEN {_any("user_agent", fixed.ATTACK_TOOLS)} THEN 25 ELSE 0 END))::INTEGER AS confidence_score FROM logs JOIN t USING (id) JOIN c USING (id))
+ SELECT DISTINCT id AS request_id, type, level AS threat_level, confidence_score FROM r WHERE confidence_score >= 45 AND NOT (contains('/' || own || '/', '/api/') AND level = 'low') AND (level = 'high' OR NOT {_globs(_CONTENT)})"""
+
+
+@query("request_rows_relaxed", _KEPT)
+def request_rows_relaxed(spark, sf_dir):
+    """Rows that a relaxed mode, a least confidence, content paths and a filter of levels on API routes let through, each type once a request."""
+    config = EngineConfig(mode="relaxed", min_confidence=45, content_paths=_CONTENT, api_suppress_levels=("low",), custom_rules=())
+    rows = detect.log_rows(adapters.spread(adapters.event_requests(spark, sf_dir)), config)
+    return rows.select("request_id", "type", "threat_level", "confidence_score")
+
+
 @query("request_log", f"SELECT {', '.join(_LOGGED)} FROM ({_LOGGED_SQL}) UNION ALL SELECT NULL::BIGINT AS request_id, {', '.join(_LOGGED[1:])} FROM ({_flood_sql(_FLOOD, REQUESTS)})")
 def request_log(spark, sf_dir):
     """events as requests, all the way to the log: detection, floods and windows."""

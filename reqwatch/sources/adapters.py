@@ -71,16 +71,34 @@ def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_requests(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def _as_requests(e: DataFrame) -> DataFrame:
+def _as_requests(e: DataFrame, *more: str) -> DataFrame:
     user, n = F.col("user_id"), F.col("event_id")
     path = F.when(n % 10 == 3, pick(PATHS, F.floor(n / 10))).otherwise(F.concat(F.lit("/"), "event_type", F.lit("/"), (user % 20).cast("string")))
     return e.select(
         n.alias("request_id"), F.col("ts"), F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256).alias("ip_address"), F.lit("GET").alias("method"), path.alias("path"), F.lit("").alias("query_string"),
         F.lit("").alias("content_type"), F.lit(0).cast("long").alias("content_length"), F.lit("").alias("body"), F.lit(None).cast("map<string,array<string>>").alias("headers"), pick(AGENTS, n).alias("user_agent"), user.alias("user_id"),
-        F.concat(F.lit("https://shop.example.com"), path).alias("url"),
+        F.concat(F.lit("https://shop.example.com"), path).alias("url"), *more,
     )
 
 
+def full_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as requests with a query, headers, and a body in JSON, as a form or in parts, one of which is a file."""
+    e = table(spark, sf_dir, "events")
+    kind, user, id_ = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id")
+    part = lambda name, value: F.concat(F.lit(f'--cut\r\nContent-Disposition: form-data; name="{name}"\r\n\r\n'), value, F.lit("\r\n"))
+    bodies = [
+        ("application/json", F.concat(F.lit('{"user": {"id": '), user, F.lit(', "pin": "12"}, "props": '), "props", F.lit("}"))),
+        ("application/x-www-form-urlencoded", F.concat(F.lit("note=a+"), kind, F.lit("%21&k[of]="), user)),
+        ("multipart/form-data; boundary=cut", F.concat(part("note", kind), part('up"; filename="x.php', F.lit("<?php system(1) ?>")), F.lit("--cut--\r\n"))),
+    ]
+    third = lambda k: F.when(id_ % 3 == 0, bodies[0][k]).when(id_ % 3 == 1, bodies[1][k]).otherwise(bodies[2][k])
+    query = F.concat(F.lit("kind="), kind, F.lit("&tags[]="), user, F.lit("&tags[]=%41+b&token="), id_.cast("string"))
+    headers = F.create_map(F.lit("x-kind"), F.array(kind, user, F.lit("more")), F.lit("Cookie"), F.array(F.lit("c=1")))
+    out = _as_requests(e.select("event_id", "ts", "user_id", "event_type", query.alias("_query"), headers.alias("_headers"), third(1).alias("_body"), third(0).alias("_type")), "_query", "_headers", "_body", "_type")
+    renamed = {"query_string": F.col("_query"), "headers": F.col("_headers"), "body": F.col("_body"), "content_type": F.col("_type"), "content_length": F.octet_length("_body").cast("long"), "method": F.lit("POST")}
+    return out.withColumns(renamed).drop("_query", "_headers", "_body", "_type")
+
+
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ip_address, country_code, country_name, city, isp, org): made-up places of the events' addresses; every seventh has none."""
     user = F.col("user_id")
