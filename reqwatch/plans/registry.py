@@ -423,16 +423,27 @@ def request_admission(spark, sf_dir):
     return detect.admitted(adapters.event_requests(spark, sf_dir), config).select("request_id", "auth_path", "content_path", "api_route", "probe")
 
 
-_KEPT = f"""WITH logs AS (SELECT *, trim(path, '/') AS own FROM ({REQUESTS})), u AS ({" UNION ALL ".join(_UA_PARTS)}), t AS (SELECT id, label, level, 'user-agent' AS source FROM u UNION ALL SELECT id, {_PROBE_SQL}, 'medium', 'probe' FROM logs WHERE {_PROBE_SQL} IS NOT NULL),
+def _kept(bonus: int, least: int) -> str:
+    return f"""WITH logs AS (SELECT *, trim(path, '/') AS own FROM ({REQUESTS})), u AS ({" UNION ALL ".join(_UA_PARTS)}), t AS (SELECT id, label, level, 'user-agent' AS source FROM u UNION ALL SELECT id, {_PROBE_SQL}, 'medium', 'probe' FROM logs WHERE {_PROBE_SQL} IS NOT NULL),
  c AS (SELECT id, 20 + 15 * least(count(*) - 1, 3) + 15 * max(level = 'high')::INTEGER AS score FROM t GROUP BY id),
- r AS (SELECT id, path, own, '[' || source || '] ' || label AS type, level, greatest(0, least(100, score - 10 + CASE WHEN {_any("user_agent", fixed.ATTACK_TOOLS)} THEN 25 ELSE 0 END))::INTEGER AS confidence_score FROM logs JOIN t USING (id) JOIN c USING (id))
- SELECT DISTINCT id AS request_id, type, level AS threat_level, confidence_score FROM r WHERE confidence_score >= 45 AND NOT (contains('/' || own || '/', '/api/') AND level = 'low') AND (level = 'high' OR NOT {_globs(_CONTENT)})"""
+ r AS (SELECT id, path, own, '[' || source || '] ' || label AS type, level, greatest(0, least(100, score + {bonus} + CASE WHEN {_any("user_agent", fixed.ATTACK_TOOLS)} THEN 25 ELSE 0 END))::INTEGER AS confidence_score FROM logs JOIN t USING (id) JOIN c USING (id))
+ SELECT DISTINCT id AS request_id, type, level AS threat_level, confidence_score FROM r WHERE confidence_score >= {least} AND NOT (contains('/' || own || '/', '/api/') AND level = 'low') AND (level = 'high' OR NOT {_globs(_CONTENT)})"""
 
 
-@query("request_rows_relaxed", _KEPT)
+@query("request_rows_relaxed", _kept(-10, 45))
 def request_rows_relaxed(spark, sf_dir):
     """Rows that a relaxed mode, a least confidence, content paths and a filter of levels on API routes let through, each type once a request."""
-    config = EngineConfig(mode="relaxed", min_confidence=45, content_paths=_CONTENT, api_suppress_levels=("low",), custom_rules=())
+    return _request_rows(spark, sf_dir, "relaxed")
+
+
+@query("request_rows_strict", _kept(10, 45))
+def request_rows_strict(spark, sf_dir):
+    """The same of the strict mode, whose higher scores let medium and low levels through."""
+    return _request_rows(spark, sf_dir, "strict")
+
+
+def _request_rows(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    config = EngineConfig(mode=mode, min_confidence=45, content_paths=_CONTENT, api_suppress_levels=("low",), custom_rules=())
     rows = detect.log_rows(adapters.spread(adapters.event_requests(spark, sf_dir)), config)
     return rows.select("request_id", "type", "threat_level", "confidence_score")
 
