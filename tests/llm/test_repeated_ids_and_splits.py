@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -97,3 +98,35 @@ def test_titles_are_confirmed_and_places_count_code_points():
     r = next(licences._scan_batches([pa.RecordBatch.from_pydict({"doc_id": [4, 5], "text": ["ß\n", text]})], model)).to_pylist()[1]
     spans = [(f, text[int(a) : int(b)]) for f, a, b in (x.split(":") for x in r["spans"].split(","))]
     assert spans == [("mit", "Released under the MIT License."), ("isc", "Licensed under the ISC License.")]
+
+
+def test_secrets_of_formats_that_training_does_not_know(spark, sf_dir):
+    """Recall on key formats that no made-up finding has, one in every hundredth text; precision over all the texts."""
+    r = random.Random(99)
+    low, up = string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits
+    al = string.ascii_letters + string.digits
+    some = lambda n, chars=al: "".join(r.choices(chars, k=n))
+    formats = [
+        lambda: "hf_" + some(34, string.ascii_letters), lambda: "pypi-AgEIcHlwaS5vcmc" + some(120, al + "_-"), lambda: f"T{some(9, up)}/B{some(9, up)}/{some(24)}", lambda: "ya29." + some(60, al + "_-"), lambda: "sq0atp-" + some(22, al + "_-"), lambda: "key-" + some(32, low),
+        lambda: "LTAI" + some(20), lambda: some(86, al + "+/") + "==", lambda: "lin_api_" + some(40), lambda: "pk.eyJ1" + some(60) + "." + some(22, al + "_-"), lambda: "NRAK-" + some(27, up), lambda: some(24) + "." + some(6) + "." + some(27, al + "_-"), lambda: some(32, low), lambda: "-".join(some(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
+    ]
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    net = secrets.fit(table)
+    words = [x.text.split(" ")[:80] for x in table.orderBy("doc_id").collect() if 50 < len(x.text)]
+    rows, planted = [], {}
+    for k in range(28_000):
+        w = r.choice(words)
+        if k % 100 == 0:
+            at, key = r.randint(0, len(w)), formats[k // 100 % len(formats)]()
+            lead = " ".join([*w[:at], ""])
+            planted[k] = (len(lead), len(lead) + len(key))
+            rows.append((k, lead + key + " " + " ".join(w[at:])))
+        else:
+            rows.append((k, " ".join(w)))
+    hits = false = 0
+    for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).where("n_added > 0 or n_hex > 0").collect():
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in x.spans.split(",")]
+        lo, hi = planted.get(x.doc_id, (0, 0))
+        hits += any(s < hi and lo < e for _, s, e in spans)
+        false += sum(kind == "cnn" and not (s < hi and lo < e) for kind, s, e in spans)
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * (hits + false), (hits, false, len(planted))
