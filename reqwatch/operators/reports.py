@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def checked(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
+def checked_ip(ip: str) -> str:
+    """An address of either version, as it was written."""
+    ipaddress.ip_address(ip)  # a ValueError says what is wrong
+    return ip
+
+
 def parse_since(text: str) -> int:
     """Seconds of Nh, Nd or Nw; a day for anything else."""
     unit = {"h": 3600, "d": 86400, "w": 604800}.get(text[-1:], 0)
@@ -178,7 +186,7 @@ def country_share(logs: DataFrame) -> DataFrame:
 
 
 def ip_stats(logs: DataFrame, ip: str) -> DataFrame:
-    own = logs.where(F.col("ip_address") == ip)
+    own = logs.where(F.col("ip_address") == checked_ip(ip))
     types = own.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(5)
     top = types.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "type"))), lambda x: x["type"]), "|").alias("top_types"))
     base = own.agg(F.count("*").alias("total"), F.coalesce(F.sum((F.col("threat_level") == "high").cast("long")), F.lit(0)).alias("high"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
@@ -186,12 +194,12 @@ def ip_stats(logs: DataFrame, ip: str) -> DataFrame:
 
 
 def ip_recent(logs: DataFrame, ip: str, limit: int = 10) -> DataFrame:
-    return logs.where(F.col("ip_address") == ip).orderBy(F.desc("created_at"), "id").limit(limit)
+    return logs.where(F.col("ip_address") == checked_ip(ip)).orderBy(F.desc("created_at"), "id").limit(limit)
 
 
 def ip_levels(logs: DataFrame, ip: str) -> DataFrame:
     """One row with a count per level."""
-    own = logs.where(F.col("ip_address") == ip)
+    own = logs.where(F.col("ip_address") == checked_ip(ip))
     return own.agg(*(F.coalesce(F.sum((F.col("threat_level") == x).cast("long")), F.lit(0)).alias(x) for x in LEVELS))
 
 

@@ -80,3 +80,12 @@ def test_health(spark):
     assert any("Broken" in t for t in shadowing({"label": "Broken", "pattern": "("}))
     with pytest.raises(ValueError):
         schema.require(good.drop("type"), schema.THREAT_LOGS, "log")
+
+
+def test_addresses_are_checked(spark):
+    logs = spark.createDataFrame([], "id long, ip_address string, created_at timestamp, threat_level string, type string")
+    for report in (reports.ip_stats, reports.ip_recent, reports.ip_levels):
+        for bad in ("", "10.0.0", "10.0.0.256", "10.0.0.5 ", "x' OR 1=1", "fe80::zz"):
+            with pytest.raises(ValueError):
+                report(logs, bad)
+    assert reports.ip_recent(logs, "2001:db8::1").count() == 0
