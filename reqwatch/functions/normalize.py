@@ -40,17 +40,15 @@ def normalize_bytes(data: bytes) -> bytes:
     return _SPACE.sub(b" ", data).strip(b" \t\n\r\0\x0b")
 
 
-@F.pandas_udf(T.StringType())
-def normalize_segment(texts: pd.Series) -> pd.Series:
+def normalize_text(text: str) -> str:
     """Bytes that are no UTF-8 show as Latin-1 characters, one each, so byte expressions keep their meaning."""
+    data = normalize_bytes(text.encode("utf-8", "surrogatepass"))
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
-    def one(t):
-        if t is None:
-            return None
-        data = normalize_bytes(t.encode("utf-8", "surrogatepass"))
-        try:
-            return data.decode("utf-8")
-        except UnicodeDecodeError:
-            return data.decode("latin-1")
 
-    return texts.map(one)
+@F.pandas_udf(T.StringType())
+def normalize_segment(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else normalize_text(t))

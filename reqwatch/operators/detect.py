@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import fixed
 from ..functions.columns import let, sql_text
-from ..functions.normalize import normalize_segment
+from ..functions.keywords import Gates
+from ..functions.normalize import SEGMENT_BYTES
 from ..functions.patterns import Rule, any_glob, custom_rules, default_rules, evasion_rules, glob_to_regex
 from ..functions.checksums import passes
 from ..functions.network import in_networks
@@ -20,6 +21,9 @@ from .suppress import excluded
 MATCH = "struct<ord:int,label:string,level:string,source:string,context:string>"
 
 
+CONTEXTS = ("path", "query", "body", "headers")
+
+
 def _match(ord_: int, label: str, level: str, source: str, context: str) -> Column:
     return F.struct(F.lit(ord_).alias("ord"), F.lit(label).alias("label"), F.lit(level).alias("level"), F.lit(source).alias("source"), F.lit(context).alias("context"))
 
@@ -31,14 +35,11 @@ def contains_any(low: Column, words: list[str]) -> Column:
     return hit
 
 
-def prescreened(text: Column) -> Column:
-    """Whether a segment holds anything that makes a scan worth while."""
-    return let(F.lower(text), lambda low: contains_any(low, fixed.PRESCREEN))
-
-
-def open_categories(text: Column) -> Column:
-    """The categories that the lower-cased text opens, as a struct of booleans."""
-    return let(F.lower(text), lambda low: F.struct(*(contains_any(low, words).alias(c) for c, words in fixed.CATEGORY_KEYWORDS.items())))
+def open_gates(text: Column) -> Column:
+    """Whether a segment holds anything that makes a scan worth while (screened), and the categories that it opens."""
+    gates = Gates()
+    mask = gates.masks(text)
+    return F.struct(*(F.coalesce(gates.test(mask, g), F.lit(False)).alias(g) for g in ("screened", *fixed.CATEGORY_KEYWORDS)))
 
 
 def flat_scan(text: Column, custom: list[Rule] | None = None, auth_path: Column | None = None, source: str = "middleware") -> Column:
@@ -70,63 +71,70 @@ def evasions(text: Column, context: str, source: str = "middleware") -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(r.exists), _match(k, r.label, r.level, source, context)) for k, r in enumerate(evasion_rules()))))
 
 
-def _sql_match(ord_: int, r: Rule, source: str, context: str) -> str:
-    return f"named_struct('ord', {ord_}, 'label', {sql_text(r.label)}, 'level', '{r.level}', 'source', {sql_text(source)}, 'context', '{context}')"
+def _sql_match(ord_: int, r: Rule, source: str) -> str:
+    return f"named_struct('ord', {ord_}, 'label', {sql_text(r.label)}, 'level', '{r.level}', 'source', {sql_text(source)}, 'context', s.context)"
 
 
-def _sql_any(low: str, words) -> str:
-    return "(" + " OR ".join(f"contains({low}, {sql_text(w)})" for w in words) + ")"
+def rule_gates(config: EngineConfig) -> Gates:
+    """The bits of all that is asked of a text before an expression runs."""
+    rules = [*evasion_rules(), *default_rules(), *custom_rules(config.custom_rules, config.validators)[0]]
+    return Gates([r.needs for r in rules if r.needs])
 
 
-def segment_matches(raw: str, norm: str, context: str, config: EngineConfig, source: str = "middleware") -> Column:
-    """Matches of one decoded segment in order: evasions on the text as it came, default rules, custom rules.
+def segment_matches(segments: str, config: EngineConfig, source: str = "middleware") -> Column:
+    """Matches of decoded segments, one after the other, in order: evasions on the text as it came, default, custom rules.
 
-    raw, norm: names of the columns that hold the segment (of at most 8000 bytes) and its normalised text; auth_path is
-    a column too.
+    segments: the name of an array column of (context, raw, norm, raw_mask, norm_mask): a segment's first 8000 bytes, and
+    what rule_gates says of it (Gates.segment).  auth_path is a column too.  All segments share one expression, since
+    planning it costs more than running it over thousands of requests.
     """
+    gates = rule_gates(config)
     gate = lambda r: f"g.screened AND g.{r.category} AND" if r.category in fixed.CATEGORY_KEYWORDS else ""
-    case = lambda when, k, r, s: f"CASE WHEN {when} THEN {_sql_match(k, r, s, context)} END"
-    test = lambda r, c: (f"{_sql_any(f's.l{c}', r.needs)} AND " if r.needs else "") + f"s.{c} RLIKE {sql_text(r.exists)}"
+    case = lambda when, k, r, s: f"CASE WHEN {when} THEN {_sql_match(k, r, s)} END"
+    test = lambda r, c: (f"{gates.sql(f's.{c}_mask', r.needs)} AND " if r.needs else "") + f"s.{c} RLIKE {sql_text(r.exists)}"
     found = [case(f"g.screened AND {test(r, 'raw')}", k, r, source) for k, r in enumerate(evasion_rules())]
     for k, r in enumerate(default_rules()):
         if config.mode != "relaxed" or r.level == "high":
             found.append(case(f"{gate(r)} {test(r, 'norm')}", 100 + k, r, source))
-    custom = [r for r in custom_rules(config.custom_rules, config.validators)[0] if not r.contexts or context in r.contexts]
+    custom = custom_rules(config.custom_rules, config.validators)[0]
     for k, r in enumerate(custom):
-        auth = "NOT s.auth AND" if r.label in fixed.AUTH_SUPPRESSED else ""
-        found.append(case(f"{gate(r)} {auth} {test(r, 'norm')}", 1000 + k, r, "custom"))
-    screened = "true" if context == "path" else _sql_any("s.lraw", fixed.PRESCREEN)
-    gates = ", ".join([f"'screened', {screened}", *(f"'{c}', {_sql_any('s.lnorm', words)}" for c, words in fixed.CATEGORY_KEYWORDS.items())])
-    held = f"named_struct('raw', {raw}, 'norm', {norm}, 'lraw', lower({raw}), 'lnorm', lower({norm}), 'auth', auth_path)"
-    body = f"transform(array(named_struct({gates})), g -> array_compact(array({', '.join(found)})))[0]"
-    out = F.expr(f"CASE WHEN {raw} = '' THEN CAST(array() AS array<{MATCH}>) ELSE transform(array({held}), s -> {body})[0] END")
-    for r in custom:
-        if r.validator:
-            out = F.filter(out, _checked(r, F.col(norm)))
-    return out
-
-
-def _checked(rule: Rule, norm: Column):
+        own = f"s.context IN ({', '.join(map(sql_text, r.contexts))}) AND" if r.contexts else ""
+        auth = "NOT auth_path AND" if r.label in fixed.AUTH_SUPPRESSED else ""
+        found.append(case(f"{own} {gate(r)} {auth} {test(r, 'norm')}", 1000 + k, r, "custom"))
+    opened = ", ".join([f"'screened', s.context = 'path' OR {gates.sql('s.raw_mask', 'screened')}", *(f"'{c}', {gates.sql('s.norm_mask', c)}" for c in fixed.CATEGORY_KEYWORDS)])
+    matches = f"transform(array(named_struct({opened})), g -> array_compact(array({', '.join(found)})))[0]"
+    one = f"CASE WHEN s.raw = '' OR s.raw IS NULL THEN CAST(array() AS array<{MATCH}>) ELSE {matches} END"
+    checked = [r for r in custom if r.validator]
+    if not checked:
+        return F.expr(f"flatten(transform({segments}, s -> {one}))")
+    out = F.expr(f"transform({segments}, s -> named_struct('norm', s.norm, 'matches', {one}))")
+
+    def passed(s: Column) -> Column:
+        left = s["matches"]
+        for r in checked:
+            left = F.filter(left, _passes(r, s["norm"]))
+        return left
+
+    return F.flatten(F.transform(out, passed))
+
+
+def _passes(rule: Rule, norm: Column):
     return lambda m: (m["label"] != rule.label) | passes(rule.validator, norm, rule.java)
 
 
 def pattern_matches(df: DataFrame, config: EngineConfig, source: str = "middleware", column: str = "pattern_matches") -> DataFrame:
     """Adds the matches of all segments, path, query, body, headers and raw in turn.  Needs segments and auth_path."""
-    contexts = ("path", "query", "body", "headers")
-    cut = {f"_raw_{c}": _capped(F.col("segments")[c]) for c in contexts}
-    df = df.withColumns(cut | {f"_norm_{c}": normalize_segment(F.col("segments")[c]) for c in contexts})
-    empty = F.array().cast(f"array<{MATCH}>")
-    per = [F.coalesce(segment_matches(f"_raw_{c}", f"_norm_{c}", c, config, source), empty) for c in contexts]
-    df = df.withColumn("_decoded", F.concat(*per))
-    raw = _capped(F.col("segments")["raw"])
-    seen = F.transform("_decoded", lambda m: m["label"])
-    extra = F.filter(evasions(raw, "raw", source), lambda m: ~F.array_contains(F.col("_seen"), m["label"]))
-    df = df.withColumn("_seen", seen).withColumn(column, F.concat("_decoded", F.when(prescreened(raw), extra).otherwise(empty)))
+    gates, segments = rule_gates(config), F.col("segments")
+    held = {f"_{c}": gates.segment(segments[c]) for c in CONTEXTS} | {"_mask": gates.masks(segments["raw"], SEGMENT_BYTES)}
+    decoded = F.array(*(F.struct(F.lit(c).alias("context"), _capped(segments[c]).alias("raw"), *(F.col(f"_{c}")[x].alias(x) for x in ("norm", "raw_mask", "norm_mask"))) for c in CONTEXTS))
+    df = df.withColumns(held).withColumn("_segments", decoded).withColumn("_decoded", segment_matches("_segments", config, source))
+    extra = F.filter(evasions(_capped(segments["raw"]), "raw", source), lambda m: ~F.exists("_decoded", lambda d: d["label"] == m["label"]))
+    df = df.withColumn(column, F.concat("_decoded", F.when(gates.test(F.col("_mask"), "screened"), extra).otherwise(F.array().cast(f"array<{MATCH}>"))))
     if config.max_detections > 0:
         df = df.withColumn(column, F.slice(column, 1, config.max_detections))
     # a random column keeps later filters above the matching, which would else be planned and run once for each mention
     df = df.withColumn("_row", F.rand(0)).where("_row >= 0")
-    return df.drop("_row", "_decoded", "_seen", *cut, *(f"_norm_{c}" for c in contexts))
+    return df.drop("_row", "_decoded", "_segments", *held)
 
 
 def user_agent_matches(user_agent: Column) -> Column:

@@ -244,7 +244,7 @@ _any = lambda c, words: "(" + " OR ".join(f"contains(lower({c}), {text(w)})" for
 @query("category_gate", "SELECT page_id, " + _any("html", fixed.PRESCREEN) + " AS screened, " + ", ".join(f"{_any('html', w)} AS {c}" for c, w in fixed.CATEGORY_KEYWORDS.items()) + " FROM pages")
 def category_gate(spark, sf_dir):
     p = adapters.table(spark, sf_dir, "pages")
-    return p.select("page_id", detect.prescreened(F.col("html")).alias("screened"), detect.open_categories(F.col("html")).alias("o")).select("page_id", "screened", "o.*")
+    return p.select("page_id", detect.open_gates(F.col("html")).alias("o")).select("page_id", "o.*")
 
 
 @query("severity_catalog", " UNION ALL ".join(f"SELECT {k}::INTEGER AS ord, {text(s)} AS source, {text(r.label)} AS label, {text(r.category or '-')} AS category, {text(r.level)} AS level, {text(r.expression)} AS expression, {text(r.flags)} AS flags" for k, (s, r) in enumerate([(s, r) for s, rs in (("default", patterns.default_rules()), ("evasion", patterns.evasion_rules()), ("custom", patterns.custom_rules()[0])) for r in rs])))
