@@ -223,3 +223,15 @@ def cli_stats(logs: DataFrame, as_of: str) -> DataFrame:
     totals = s.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))).alias("r")).select("r.*")
     top = lambda k: counted(logs, [k], 5, "value").select(F.concat(F.lit(f"{k}:"), k).alias("metric"), "value")
     return totals.union(top("ip_address")).union(top("type"))
+
+
+def catalogue_use(catalogue: DataFrame, logs: DataFrame) -> DataFrame:
+    """The rules with the log rows that bear their label (n_rows), and those of them logged at another level (n_other_level).
+
+    Rows are counted by label and level first, so that what meets the rules does not grow with the log.
+    """
+    label = F.regexp_replace("type", r"^\[[^\]]*\]\s*", "")
+    seen = logs.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col("threat_level") == x).alias(f"_{x}") for x in ("high", "medium", "low")))
+    own = F.when(F.col("level") == "high", F.col("_high")).when(F.col("level") == "medium", F.col("_medium")).otherwise(F.col("_low"))
+    rules = catalogue.join(seen, "label", "left").fillna(0, ["n_rows", "_high", "_medium", "_low"])
+    return rules.select(*catalogue.columns, "n_rows", (F.col("n_rows") - own).alias("n_other_level"))

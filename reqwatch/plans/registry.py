@@ -110,9 +110,13 @@ def purge_orphan_rules(spark, sf_dir):
     return enrich.purged_rules(adapters.exclusion_rules(spark), enrich.purged(logs(spark, sf_dir), AS_OF, 30)).select(F.col("id").cast("int").alias("id"))
 
 
-@query("rule_list", "SELECT * FROM (VALUES (5, 'RCE Shell Function'), (4, 'SQL'), (2, 'Directory Traversal'), (1, 'XSS Script Tag')) AS r(id, pattern_label)")
+@query("rule_list", f"""WITH logs AS ({LOGS}) SELECT * FROM (VALUES (5::BIGINT, 'RCE Shell Function'), (4, 'SQL'), (2, 'Directory Traversal'), (1, 'XSS Script Tag')) AS r(id, pattern_label)
+ UNION ALL SELECT 10 + id, substring(type, 14) FROM logs WHERE is_false_positive AND type IS NOT NULL ORDER BY id DESC""")
 def rule_list(spark, sf_dir):
-    return enrich.listed_rules(adapters.exclusion_rules(spark), active_only=True).select(F.col("id").cast("int").alias("id"), "pattern_label")
+    """Rules given by hand and those made of the log's marked rows, newest first."""
+    rows = adapters.threat_logs(spark, sf_dir).where(F.col("type").isNotNull())
+    made = enrich.rules_from_marks(rows, rows.where("is_false_positive")).withColumn("id", 10 + F.col("created_from_threat_id"))
+    return enrich.listed_rules(adapters.exclusion_rules(spark).unionByName(made), active_only=True).select("id", "pattern_label")
 
 
 @query("geo_blocks", f"""WITH a AS (SELECT DISTINCT user_id, user_id // 256 AS hi, user_id % 256 AS lo FROM events), b AS (SELECT hi, 0 AS first, 255 AS last, 24 AS size, concat('area ', hi) AS city FROM a UNION SELECT hi, lo // 16 * 16, lo // 16 * 16 + 15, 28, concat('street ', hi, '/', lo // 16) FROM a WHERE lo // 16 % 3 = 1
@@ -247,9 +251,13 @@ def category_gate(spark, sf_dir):
     return p.select("page_id", detect.open_gates(F.col("html")).alias("o")).select("page_id", "o.*")
 
 
-@query("severity_catalog", " UNION ALL ".join(f"SELECT {k}::INTEGER AS ord, {text(s)} AS source, {text(r.label)} AS label, {text(r.category or '-')} AS category, {text(r.level)} AS level, {text(r.expression)} AS expression, {text(r.flags)} AS flags" for k, (s, r) in enumerate([(s, r) for s, rs in (("default", patterns.default_rules()), ("evasion", patterns.evasion_rules()), ("custom", patterns.custom_rules()[0])) for r in rs])))
+_CATALOG = " UNION ALL ".join(f"SELECT {k}::INTEGER AS ord, {text(s)} AS source, {text(r.label)} AS label, {text(r.category or '-')} AS category, {text(r.level)} AS level, {text(r.expression)} AS expression, {text(r.flags)} AS flags" for k, (s, r) in enumerate([(s, r) for s, rs in (("default", patterns.default_rules()), ("evasion", patterns.evasion_rules()), ("custom", patterns.custom_rules()[0])) for r in rs]))
+
+
+@query("severity_catalog", f"""WITH logs AS ({LOGS}), c AS ({_CATALOG}), n AS (SELECT ord, count(*) AS n_rows, count(*) FILTER (threat_level <> level) AS n_other_level FROM c JOIN logs ON substring(type, 14) = label GROUP BY ord)
+ SELECT c.*, coalesce(n_rows, 0) AS n_rows, coalesce(n_other_level, 0) AS n_other_level FROM c LEFT JOIN n USING (ord)""")
 def severity_catalog(spark, sf_dir):
-    return patterns.catalogue(spark)
+    return reports.catalogue_use(patterns.catalogue(spark), adapters.threat_logs(spark, sf_dir))
 
 
 _DIGIT = "CAST(substring(d, {}, 1) AS INTEGER)"
@@ -454,10 +462,13 @@ def request_log(spark, sf_dir):
     return journal.request_log(adapters.spread(adapters.event_requests(spark, sf_dir)), _DAILY).select(_LOGGED)
 
 
-@query("health_check", "SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema'), ('ok', 'streams have a shared folder for their state')) AS h(status, title)")
+@query("health_check", f"""WITH logs AS ({LOGS}), n AS (SELECT count(*) AS n, count(*) FILTER (ip_address IS NULL OR created_at IS NULL OR type IS NULL OR threat_level NOT IN ('high', 'medium', 'low') OR confidence_score NOT BETWEEN 0 AND 100) AS odd FROM logs)
+ SELECT * FROM (VALUES ('ok', 'detection is on'), ('ok', 'exclusion rules has its schema'), ('ok', 'threat_logs has its schema'), ('ok', 'streams have a shared folder for their state')) AS h(status, title)
+ UNION ALL SELECT CASE WHEN odd > 0 THEN 'warning' ELSE 'ok' END, CASE WHEN odd > 0 THEN concat(odd, ' of ', n, ' log rows hold odd values') ELSE concat('values of ', n, ' log rows are sound') END FROM n""")
 def health_check(spark, sf_dir):
-    report = health.health(spark, schema.empty(spark, schema.THREAT_LOGS), schema.empty(spark, schema.EXCLUSION_RULES))
-    return report.select("status", "title")
+    whole = schema.completed(logs(spark, sf_dir), schema.THREAT_LOGS)
+    rules = schema.completed(adapters.exclusion_rules(spark), schema.EXCLUSION_RULES)
+    return health.health(spark, whole, rules, values=True).select("status", "title")
 
 
 _FIRSTS = """, r AS (SELECT id, ip_address, type, created_at, floor(epoch(created_at))::BIGINT AS sec FROM logs QUALIFY row_number() OVER (PARTITION BY ip_address, type, floor(epoch(created_at)) ORDER BY created_at, id) = 1)

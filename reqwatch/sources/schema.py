@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _L, _B, _I, _TS = T.StringType(), T.LongType(), T.BooleanType(), T.IntegerType(), T.TimestampType()
@@ -35,3 +36,9 @@ def require(df: DataFrame, schema: T.StructType, what: str) -> DataFrame:
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def completed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with the fields of schema alone, in their types; what df lacks has its default, or is null."""
+    given = lambda f: F.col(f.name) if f.name in df.columns else F.lit(DEFAULTS.get(f.name))
+    return df.select(*(given(f).cast(f.dataType).alias(f.name) for f in schema))
