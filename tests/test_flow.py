@@ -39,7 +39,7 @@ def test_ordinary_requests(spark):
 
 def test_settings_for_a_site_of_its_own(spark):
     """Served paths and fields known to hold numbers can be taken out; the rest is still found."""
-    rows = [visit("/backup/shelves"), posted("/members", "application/json", mobile="9876543210", note="plain"), posted("/pages/7", body="more"), posted("/members", "application/json", mobile="1", note="<script>alert(5)</script>")]
+    rows = [visit("/branches/backup/shelves"), posted("/members", "application/json", mobile="9876543210", note="plain"), posted("/pages/7", body="more"), posted("/members", "application/json", mobile="1", note="<script>alert(5)</script>")]
     served = EngineConfig(custom_rules=tuple(r for r in fixed.CUSTOM_RULES if r[0] != "Backup Directory Probe"), safe_paths=("mobile",), content_paths=("pages/*",))
     shipped, own = types(detect.log_rows(requests(spark, *rows))), types(detect.log_rows(requests(spark, *rows), served))
     assert {"[custom] Mobile Number Detected"} <= shipped[2] and 2 not in own
