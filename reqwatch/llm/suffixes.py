@@ -25,6 +25,8 @@ from .common import Scratch, id_marks, list_parts, marked, mix64, table, text_sl
 LENGTH, GRAM = 100, 32
 #: Bytes of windows that one suffix order holds.
 BLOCK_BYTES = 1 << 17
+#: Windows of wide anchors whose strings are hashed at a time; their arrays take some 8 KB each.
+CUT = 2048
 #: Windows among which a task folds copies before the shuffle.
 FOLDED = 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -184,36 +186,78 @@ def _repeats(batches, length: int):
             yield pa.RecordBatch.from_arrays([pa.array(out[0][:, k]) for k in range(4)], names=NAMES)
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Places in the order of their suffixes, compared up to depth symbols at least.
 
-    text: symbols 1 to 255, and 0 at the ends of windows; ends differ from each other and come first, in their order.
-    Doubles the compared length in each round, among the suffixes that are not yet told apart.
+    text: symbols 1 to 255, and 0 at the ends of windows; ends differ from each other and come first.  Only windows that
+    differ are sorted: the suffixes of a window and its copies stand side by side.  Also gives the length w that the
+    sort compares first, less than depth, and for each place whether it shares fewer than w symbols with the one before,
+    and whether exactly w - 1.
     """
-    n, w = len(text), 6
+    starts = np.append(0, ends[:-1] + 1)
+    size = ends + 1 - starts
+    windows = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)])
+    kind = windows.dictionary_encode().indices.to_numpy()
+    many = np.bincount(kind)
+    if len(many) == len(ends):
+        return _distinct_order(text, ends, depth)
+    copies = np.argsort(kind, kind="stable")
+    head = np.cumsum(many) - many  # of each different window, its first copy
+    one = copies[head]
+    upto = np.cumsum(size[one])
+    own = np.repeat(starts[one] - upto + size[one], size[one]) + np.arange(upto[-1])
+    order, parted, barely, w = _distinct_order(text[own], upto - 1, depth)
+    k = np.repeat(np.arange(len(one)), size[one])[order]
+    times = many[k]
+    first = np.cumsum(times) - times
+    nth = np.arange(len(text)) - np.repeat(first, times)
+    left = np.repeat(upto[k] - 1 - order, times)
+    copy = nth > 0  # shares what is left of its window with the place before
+    parted, barely = np.repeat(parted, times), np.repeat(barely, times)
+    parted[copy], barely[copy] = left[copy] < w, left[copy] == w - 1
+    return ends[copies[np.repeat(head[k], times) + nth]] - left, parted, barely, w
+
+
+def _distinct_order(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """suffix_order by doubling the compared length in each round, among the suffixes that are not yet told apart."""
+    n, base, many = len(text), int(text.max()) + 1, len(ends) + 1
+    w = min(7 if base**7 * many < 1 << 64 else 6, depth - 1)
     window = np.repeat(np.arange(len(ends)), np.diff(np.append(-1, ends)))
     left = ends[window] - np.arange(n)
-    padded = np.concatenate([text, np.zeros(w, text.dtype)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(w):
-        key = key << np.uint64(8) | np.where(k <= left, padded[k : k + n], np.uint64(0))
-    key = key << np.uint64(16) | np.where(left < w, window + 1, 0).astype(np.uint64)
+
+    def follow(key: np.ndarray, at: int, part: np.ndarray, size: int) -> np.ndarray:
+        """The key of at symbols, and behind it that of the next size ones; nothing follows an end."""
+        key = key * np.uint64(base**size)
+        key[: n - at] += np.where(left[: n - at] >= at, part[at:], np.uint64(0))
+        return key
+
+    one = text.astype(np.uint64)
+    parts = {1: one, 2: (two := follow(one, 1, one, 1)), 4: follow(two, 2, two, 2)}
+    most, at = np.zeros(n, np.uint64), 0  # the first w - 1 symbols
+    for size in (4, 2, 1):
+        if w - 1 & size:
+            most, at = follow(most, at, parts[size], size), at + size
+    key = follow(most, at, one, 1) * np.uint64(many) + np.where(left < w, window + 1, 0).astype(np.uint64)
     order = np.argsort(key)
     key, slots, rank = key[order], np.arange(n), np.empty(n, np.int64)
+    parted, barely, most = np.ones(n, bool), np.zeros(n, bool), most[order]
+    parted[1:] = key[1:] != key[:-1]
+    barely[1:] = parted[1:] & (most[1:] == most[:-1]) & (left[order[1:]] >= w - 1)
+    fresh, reach = parted, w
     while True:
-        fresh = np.ones(len(slots), bool)
-        fresh[1:] = key[1:] != key[:-1]
         heads = np.flatnonzero(fresh)
         size = np.diff(np.append(heads, len(slots)))
         rank[order[slots]] = np.repeat(slots[heads], size)
         slots = slots[np.repeat(size > 1, size)]
-        if w >= depth or not len(slots):
-            return order
+        if reach >= depth or not len(slots):
+            return order, parted, barely, w
         at = order[slots]
-        key = rank[at] * (n + 1) + rank[at + w]  # equal so far, so no end lies before at + w
+        key = rank[at] * (n + 1) + rank[at + reach]  # equal so far, so no end lies before at + reach
         sort = np.argsort(key)
         order[slots], key = at[sort], key[sort]
-        w *= 2
+        fresh = np.ones(len(slots), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        reach *= 2
 
 
 def prefix_groups(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,44 +265,46 @@ def prefix_groups(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
 
     Interval expansion: an interval of suffixes that begin with a string w becomes, by backward extension with each
     symbol c, that of c w.  The place behind it then has a common prefix of len(w), unless a shorter one is known; only
-    in that case the interval is extended further.  Ends are told apart, so nothing that reaches one is shared.
+    in that case the interval is extended further.  Ends are told apart, so nothing that reaches one is shared.  The
+    intervals of the length that the suffix order compares first are read off it, and the expansion begins with them.
     """
-    n, m = len(text), len(ends)
-    order = suffix_order(text, ends, length + 1)
+    n = len(text)
+    order, parted, barely, begun = suffix_order(text, ends, length + 1)
     bwt = text[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)  # where the suffix that begins one symbol earlier stands
-    step[by_symbol] = np.arange(n)
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)  # where the suffix that begins one symbol earlier stands
+    step[by_symbol] = np.arange(n, dtype=np.int32)
     # the places of the same symbol before and after each place of the transform; an end extends to nothing
-    before, after = np.full(n, -1), np.full(n, n)
-    same = np.flatnonzero(bwt[by_symbol[1:]] == bwt[by_symbol[:-1]])
-    before[by_symbol[same + 1]], after[by_symbol[same]] = by_symbol[same], by_symbol[same + 1]
-    before[bwt == 0], after[bwt == 0] = n, -1
-    parted = np.zeros(n + 1, bool)
-    parted[: m + 1] = parted[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n)
-    for level in range(length):
+    before, after, none = np.empty(n, np.int32), np.empty(n, np.int32), len(ends)
+    starts = np.cumsum(np.bincount(bwt, minlength=256))[:-1]
+    starts = starts[starts < n]
+    lower, upper = np.append(np.int32(-1), by_symbol[:-1]), np.append(by_symbol[1:], np.int32(n))
+    lower[starts], upper[starts - 1] = -1, n
+    lower[:none], upper[:none] = n, -1
+    before[by_symbol], after[by_symbol] = lower, upper
+    heads = np.flatnonzero(parted).astype(np.int32)
+    open_ = barely[heads[1:]]
+    low, high = heads[:-1][open_], heads[1:][open_]
+    parted = np.append(parted, True)
+    for _ in range(begun, length):
+        if not len(low):
+            break
         size = high - low
-        upto = np.cumsum(size)
-        at = np.arange(upto[-1]) + np.repeat(low - upto + size, size)
+        upto = np.cumsum(size, dtype=np.int32)
+        at = np.arange(upto[-1], dtype=np.int32) + np.repeat(low - upto + size, size)
         # a symbol's first and last place in an interval give its extension's bounds; extensions do not overlap
         first, last = before[at] < np.repeat(low, size), after[at] >= np.repeat(high, size)
-        low, high = np.sort(step[at[first]]), np.sort(step[at[last]]) + 1
-        if level:
-            fresh = ~parted[high]
-            low, high = low[fresh], high[fresh]
+        low, high = np.sort(step[at[first]]), np.sort(step[at[last]]) + np.int32(1)
+        fresh = ~parted[high]
+        low, high = low[fresh], high[fresh]
         parted[high] = True
-        if not level:
-            low, high = np.append(np.arange(m), low), np.append(np.arange(m) + 1, high)
-        if not len(low):
-            break
     return order, parted[:n]
 
 
 def _block_spans(doc: np.ndarray, packed: np.ndarray, raw: np.ndarray, bounds: np.ndarray, length: int):
     """Spans (doc_id, s, e) of a block's windows whose strings begin earlier in another of its windows."""
     codes = np.zeros(256, np.uint8)
-    used = np.unique(raw)
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
     codes[used] = np.arange(1, len(used) + 1)  # UTF-8 has fewer than 255 byte values
     ends = bounds[1:] + np.arange(len(doc))
     text = np.zeros(len(raw) + len(doc), np.uint8)
@@ -317,40 +363,21 @@ def _blocks(batches, length: int):
         yield spans(held)
 
 
-def _cut_batches(batches, length: int):
-    """Windows with their bytes; of wide anchors each string for itself, by its hash and without its bytes."""
+def _string_batches(batches, length: int):
+    """Of windows of wide anchors (h, doc_id, packed, bytes) each string for itself, by its hash and without its bytes."""
+    half = 64 if length >= 64 else GRAM
     for batch in batches:
-        raw, ends = list_parts(batch.column("text").cast(pa.large_binary()).fill_null(b""))
-        items = batch.column("items")
-        h, packed, wide = (items.values.field(n).to_numpy(zero_copy_only=False) for n in ("h", "packed", "wide"))
-        bounds = items.offsets.to_numpy()
-        h, packed, wide = (v[bounds[0] : bounds[-1]] for v in (h, packed, wide))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        doc, lo, n = batch.column("doc_id").to_numpy()[row], packed >> 16, packed >> 8 & 255
-        whole = lo + n + length - 1 <= np.diff(ends)[row]  # else of another row with the same id
-        for single in (False, True):
-            own = np.flatnonzero(whole & (wide == single))
-            for part in np.array_split(own, len(own) // 20_000 + 1):
-                if not len(part):
-                    continue
-                size, many = n[part] + length - 1, n[part]
-                upto = np.append(0, np.cumsum(size))
-                data = raw[np.repeat(ends[row[part]] + lo[part] - upto[:-1], size) + np.arange(upto[-1])]
-                if not single:
-                    pieces = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)])
-                    yield _cut_batch(h[part], np.zeros(len(part), np.int64), doc[part], packed[part], pieces)
-                    continue
-                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at, key, start, half = np.repeat(lo[part], many) + nth, np.repeat(h[part], many), np.repeat(upto[:-1], many) + nth, 64 if length >= 64 else GRAM
-                with np.errstate(over="ignore"):
-                    spun = rolling(data, half)
-                    g = mix64(spun[start] * np.uint64(0x165667B19E3779F9) + spun[start + length - half])
-                    key = mix64(key.view(np.uint64) + mix64(g)).view(np.int64)
-                yield _cut_batch(key, g.view(np.int64), np.repeat(doc[part], many), at << 16 | 1 << 8, pa.nulls(len(at), pa.binary()))
-
-
-def _cut_batch(h, g, doc, packed, data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(doc), pa.array(packed), data], names=[*NAMES, "bytes"])
+        for part in (batch.slice(k, CUT) for k in range(0, batch.num_rows, CUT)):
+            data, upto = list_parts(part.column("bytes"))
+            h, doc, packed = (part.column(n).to_numpy() for n in ("h", "doc_id", "packed"))
+            many = packed >> 8 & 255
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at, key, start = np.repeat(packed >> 16, many) + nth, np.repeat(h, many), np.repeat(upto[:-1], many) + nth
+            with np.errstate(over="ignore"):
+                spun = rolling(data, half)
+                g = mix64(spun[start] * np.uint64(0x165667B19E3779F9) + spun[start + length - half])
+                key = mix64(key.view(np.uint64) + mix64(g)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, g.view(np.int64), np.repeat(doc, many), at << 16 | 1 << 8)], names=NAMES)
 
 
 def _marked_batches(batches, marks: np.ndarray):
@@ -383,16 +410,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     tagged = shared.join(wide, "h", "left").select("h", "doc_id", "packed", F.coalesce("wide", F.lit(False)).alias("wide"))
 
     def cut(items: DataFrame) -> DataFrame:
-        """The windows (h, doc_id, packed, wide) cut from their texts."""
+        """The windows (h, doc_id, packed, wide) with their bytes, cut from their texts."""
         marks = spark.sparkContext.broadcast(id_marks(items.select("doc_id")))  # of a fixed size
-        lists = items.groupBy("doc_id").agg(F.collect_list(F.struct("h", "packed", "wide")).alias("items"))
         texts = rows.mapInArrow(lambda it: _marked_batches(it, marks.value), "doc_id long, text string")
-        return texts.join(lists, "doc_id").mapInArrow(lambda it: _cut_batches(it, length), f"{schema}, bytes binary")
+        lo, size = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(255) + F.lit(length - 1)
+        of = texts.select("doc_id", F.col("text").cast("binary").alias("raw")).join(items, "doc_id").where(lo + size <= F.length("raw"))  # else of another row with the same id
+        return of.select("h", "doc_id", "packed", "wide", F.substr("raw", (lo + 1).cast("int"), size.cast("int")).alias("bytes"))
 
     pieces = scratch.save(cut(tagged), "windows")
-    blocks, spans = pieces.where("bytes is not null"), [events]
+    blocks, spans = pieces.where("not wide"), [events]
     if wide.limit(1).count():
-        strings = scratch.save(repeats(pieces.where("bytes is null").select(NAMES)), "strings")
+        strings = pieces.where("wide").select("h", "doc_id", "packed", "bytes").mapInArrow(lambda it: _string_batches(it, length), schema)
+        strings = scratch.save(repeats(strings), "strings")
         again = cut(strings.where("h is not null").select("h", "doc_id", "packed", F.lit(False).alias("wide")))
         blocks, spans = blocks.union(scratch.save(again, "cut")), [events, strings]
     blocks = blocks.select("h", "doc_id", "packed", "bytes").repartition("h").sortWithinPartitions("h", "doc_id", "packed")

@@ -444,6 +444,35 @@ def test_prefix_groups():
             assert parted[k] == (not same)
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "".join(map(chr, range(1, 250)))])
+def test_prefix_groups_of_copies(alphabet):
+    """Windows with copies and common beginnings, in few symbols and in many: a suffix order whose neighbours are parted rightly."""
+    r = random.Random(5)
+    for length in (1, 7, 20):
+        parts = ["".join(r.choices(alphabet, k=r.randint(1, 60))) for _ in range(9)]
+        parts = [r.choice(parts)[r.choice([0, 0, 3]) :] + r.choice(["", "", parts[0]]) for _ in range(40)]
+        text = np.array([c for p in parts for c in [*(ord(x) - min(map(ord, alphabet)) + 1 for x in p), 0]], np.uint8)
+        ends = np.flatnonzero(text == 0)
+        order, parted = suffixes.prefix_groups(text, ends, length)
+        assert sorted(order.tolist()) == list(range(len(text)))
+        own = [tuple(int(c) for c in text[i : ends[np.searchsorted(ends, i)]][:length]) for i in order]
+        assert own == sorted(own)
+        for k in range(1, len(order)):
+            assert parted[k] == (not len(own[k]) == len(own[k - 1]) == length or own[k] != own[k - 1])
+
+
+def test_copies_are_not_sorted_again(monkeypatch):
+    """The suffix order of windows and their copies sorts each different window once."""
+    parts = [prose(200 + k, 40)[:134] for k in range(30)] * 2
+    raw = np.frombuffer("".join(parts).encode(), np.uint8)
+    keys, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: (keys.append(a.size if a.size > len(parts) and a.itemsize == 8 else 0), argsort(a, *args, **kw))[1])
+    doc, packed, bounds = np.arange(60), np.full(60, 35 << 8), np.arange(61) * 134
+    out = suffixes._block_spans(doc, packed, raw, bounds, 100)
+    assert sorted(zip(*out.to_pydict().values(), strict=True)) == [(d, 0, 134) for d in range(30, 60)]
+    assert sum(keys) < len(raw)  # six times the block when copies were sorted again in each round
+
+
 # op 8
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
