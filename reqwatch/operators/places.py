@@ -22,16 +22,20 @@ def bits_of(text: str | None) -> str | None:
 
 
 def address_bits(column: Column) -> Column:
+    """bits_of a column.  Called not deterministic, so that no filter on it sinks beneath a distinct and runs it for each row."""
+
     @F.pandas_udf("string")
     def bits(texts: pd.Series) -> pd.Series:
         return texts.map(bits_of)
 
-    return bits(column)
+    return bits.asNondeterministic()(column)
 
 
-def placed(addresses: DataFrame, blocks: DataFrame, key: str = "ip_address", block: str = "block") -> DataFrame:
+def placed(addresses: DataFrame, blocks: DataFrame, key: str = "ip_address", block: str = "block", address: str | None = None) -> DataFrame:
     """(key, and blocks' other columns): for each different address the columns of the longest block that holds it.
 
+    address: the column of the key's one address, where the key is not the address itself.
+
     An address's prefixes of each length that a block has (129 + 33 at most) meet the blocks by equality, so no range is
     scanned and no address meets a block that does not hold it.  Addresses that no block holds, and texts that are no
     address, are not in the result.  Of equal blocks one stands, the least by its columns.
@@ -39,7 +43,7 @@ def placed(addresses: DataFrame, blocks: DataFrame, key: str = "ip_address", blo
     names = [c for c in blocks.columns if c != block]
     own = blocks.withColumn("_bits", address_bits(F.col(block))).where("_bits is not null").groupBy("_bits").agg(F.min(F.struct(*names)).alias("_place"))
     sizes = sorted(r.n for r in own.select(F.length("_bits").alias("n")).distinct().collect())  # at most 162
-    each = addresses.select(key).distinct().withColumn("_all", address_bits(F.col(key)))
+    each = addresses.select(*dict.fromkeys([key, address or key])).distinct().withColumn("_all", address_bits(F.col(address or key)))
     each = each.select(key, F.explode(F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("_all"))).alias("_size"), "_all")
     each = each.select(key, "_size", F.substring("_all", F.lit(1), F.col("_size")).alias("_bits"))
     best = each.join(own, "_bits").groupBy(key).agg(F.max_by("_place", "_size").alias("_place"))

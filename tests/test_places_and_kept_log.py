@@ -1,9 +1,11 @@
 import datetime as dt
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
 from reqwatch.operators import kept, places, reports
+from reqwatch.plans.registry import ORACLES, QUERIES
 from reqwatch.sources import adapters
 
 NOW = "2024-02-01 00:00:00"
@@ -18,6 +20,25 @@ def test_longest_blocks_of_both_versions(spark):
     assert places.placed(rows, spark.createDataFrame([], "block string, city string")).count() == 0
 
 
+def test_keys_with_an_address_of_their_own(spark):
+    rows = spark.createDataFrame([("a", "8.1.1.1"), ("b", "8.1.1.1"), ("a", "8.1.1.1"), ("c", "2600::1"), ("8.1.1.1", "9.9.9.9"), ("d", None)], "host string, held string")
+    got = places.placed(rows, spark.createDataFrame([("8.0.0.0/8", "eight"), ("2600::/16", "six")], "block string, city string"), "host", address="held")
+    assert sorted(map(tuple, got.collect())) == [("a", "eight"), ("b", "eight"), ("c", "six")]
+
+
+def test_places_of_users_beyond_the_last_short_address(spark, tmp_path):
+    """From user 65536 on the third number of the view's addresses is above 255."""
+    users = [0, 40, 1023, 1024, 1300, 65535, 65536, 65552, 65560, 65599, 66560, 67000, 540_000, 540_001, 540_031, 2**24 + 17, 2**32, 2**32 + 16, 2**40 + 40]
+    at = dt.datetime(2024, 1, 2)
+    events = spark.createDataFrame([(k, at, u, "view", 1.0, "{}") for k, u in enumerate(users * 2)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, QUERIES["geo_blocks"](spark, str(tmp_path)).select("ip_address", "city").collect()))
+    with duckdb.connect() as c:
+        c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(c.execute(f"select ip_address, city from ({ORACLES['geo_blocks']})").fetchall())
+    assert ("10.0.256.0", "area 256") in got and ("10.0.256.24", "house 24") in got and ("10.0.256.16", "street 256/1") in got
+
+
 def test_answers_grow_old(spark):
     at = lambda d: dt.datetime(2024, 1, d, 12)
     store = spark.createDataFrame([("8.1.1.1", "old", at(20)), ("8.8.8.9", "known", at(30)), ("5.5.5.5", "not asked", at(31))], "ip_address string, city string, looked_up_at timestamp")
