@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt over all cores if its files give fewer tasks than that; larger tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """df, dealt over all cores if its files give fewer tasks than that; larger tables stay as they are read.
+
+    files: of a stream, the table that it reads.
+    """
+    cores, read = df.sparkSession.sparkContext.defaultParallelism, df if files is None else files
+    return df.repartition(cores) if read.rdd.getNumPartitions() < cores else df
 
 
 def pick(values: tuple[str, ...], number) -> F.Column:
@@ -66,8 +69,8 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests as a stream."""
-    kind = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")
+    files = table(spark, sf_dir, "events")
+    stream = spread(spark.readStream.schema(files.schema).parquet(f"{sf_dir}/events.parque[t]"), files)
     return _as_requests(stream.withColumn("ts", F.col("ts").cast("timestamp")))
 
 

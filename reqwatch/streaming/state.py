@@ -17,13 +17,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.suppress import windowed
+
 FLOOD_SCHEMA = "ip_address string, started long, requests long"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def firsts(pdf: pd.DataFrame, order: tuple[str, ...] = ("id",)) -> pd.DataFrame:
-    """The first row of each type and second, in order of time, with sec.  micros: microseconds since 1970."""
-    return pdf.assign(sec=pdf["micros"] // 1_000_000).sort_values(["micros", *order]).drop_duplicates(["type", "sec"])
+def firsts(pdf: pd.DataFrame, order: tuple[str, ...] = ("id",), keys: tuple[str, ...] = ("type",)) -> pd.DataFrame:
+    """The first row of each second of the keys, in order of time, with sec.  micros: microseconds since 1970."""
+    return pdf.assign(sec=pdf["micros"] // 1_000_000).sort_values(["micros", *order]).drop_duplicates([*keys, "sec"])
 
 
 def per_second(pdf: pd.DataFrame, held: pd.Series | None = None) -> pd.Series:
@@ -32,60 +34,78 @@ def per_second(pdf: pd.DataFrame, held: pd.Series | None = None) -> pd.Series:
     return n if held is None else held.add(n, fill_value=0)
 
 
+KEYS = ("ip_address", "type")
+
+
 class Marks(StatefulProcessor):
-    """Of an address: the second at which each type was last let through.  A timer takes a mark away once its window is over.
+    """Of a part of the addresses: the second at which each type of an address was last let through.
 
+    An address's marks are read and written once a micro-batch, and all of a part's rows go through the windows at once, so
+    the work in Python is by address and part, not by row.  A timer takes a part's marks away once their windows are over.
     A mark is part of its micro-batch: a batch whose write fails is run again from the marks that held before it, so what
     was not written mutes nothing.
     """
 
-    def __init__(self, window_s: int, order: tuple[str, ...]):
-        self.window_s, self.order = window_s, order
+    def __init__(self, window_s: int, order: tuple[str, ...], columns: list[str]):
+        self.window_s, self.order, self.columns = window_s, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.marks = handle, handle.getMapState("marks", "type string", "sec long")
+        self.handle, self.marks = handle, handle.getMapState("marks", "ip_address string", "types array<string>, secs array<long>")
+
+    def live(self, held: tuple | None, over: int) -> dict[str, int]:
+        """Marks whose window is not over."""
+        return {kind: sec for kind, sec in zip(*(held or ((), ())), strict=True) if (sec + self.window_s) * 1000 > over}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = None
+        pdf, over = None, timerValues.getCurrentWatermarkInMs()
         for batch in rows:  # one row a type and second is held, so a hot address grows with its seconds and not with its rows
             if len(batch):
-                pdf = firsts(batch if pdf is None else pd.concat([pdf, batch]), self.order)
+                pdf = firsts(batch if pdf is None else pd.concat([pdf, batch]), self.order, KEYS)
         if pdf is None:
             return
-        last, ok = {}, []
-        for kind, sec in zip(pdf["type"], pdf["sec"], strict=True):
-            if kind not in last:
-                last[kind] = self.marks.getValue((kind,))[0] if self.marks.containsKey((kind,)) else None
-            ok.append(last[kind] is None or sec >= last[kind] + self.window_s)
-            if ok[-1]:
-                last[kind] = int(sec)
-                self.marks.updateValue((kind,), (int(sec),))
-                self.handle.registerTimer(max((int(sec) + self.window_s) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        if any(ok):
-            yield pdf[ok].drop(columns="sec")
+        held = {ip: self.live(self.marks.getValue((ip,)), over) for ip in pdf["ip_address"].unique()}
+        free = [sec >= held[ip].get(kind, sec - self.window_s) + self.window_s for ip, kind, sec in zip(pdf["ip_address"], pdf["type"], pdf["sec"], strict=True)]
+        pdf = pdf[free].sort_values([*KEYS, "sec"])
+        if pdf.empty:
+            return
+        kept = pd.concat(windowed(iter([pdf.assign(n=1)]), [*KEYS], self.window_s)).query("opened")
+        changed = set()
+        for ip, kind, sec in zip(kept["ip_address"], kept["type"], kept["sec"].tolist(), strict=True):  # in order: the last one stands
+            held[ip][kind] = sec
+            changed.add(ip)
+        for ip in changed:
+            self.marks.updateValue((ip,), ([*held[ip]], [*held[ip].values()]))
+        # at a multiple of the window, so a part has few timers
+        self.handle.registerTimer(max((int(kept["sec"].max()) // self.window_s + 2) * self.window_s * 1000, over + 1))
+        yield kept[self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         over = timerValues.getCurrentWatermarkInMs()
-        for (kind,), (sec,) in list(self.marks.iterator()):
-            if (sec + self.window_s) * 1000 <= over:
-                self.marks.removeKey((kind,))
+        for (ip,), held in list(self.marks.iterator()):
+            left = self.live(held, over)
+            if not left:
+                self.marks.removeKey((ip,))
+            elif len(left) < len(held[0]):
+                self.marks.updateValue((ip,), ([*left], [*left.values()]))
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minutes", order: tuple[str, ...] = ("id",)) -> DataFrame:
+def deduplicated(rows: DataFrame, window_s: int = 300, watermark: str = "10 minutes", order: tuple[str, ...] = ("id",), parts: int = 4096) -> DataFrame:
     """The stream's rows (ip_address, type, created_at, ...) that are first in their key's anchored window.
 
     Of an address's and type's rows in one second the first by time and order stands.  Rows without a time or without a
-    part of the key go, as in suppress.first_in_window.  The state has maps and timers, which only the RocksDB store
-    offers: the session is set to it.
+    part of the key go, as in suppress.first_in_window.  Addresses are dealt to so many parts by hash, the groups that the
+    state functions see; a part's rows of a micro-batch are held at once, one row a second and key.  The state has maps
+    and timers, which only the RocksDB store offers: the session is set to it.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
-    timed = rows.dropna(subset=["ip_address", "type", "created_at"]).withColumn("micros", F.unix_micros("created_at")).withWatermark("created_at", watermark)
+    timed = rows.dropna(subset=[*KEYS, "created_at"]).withColumn("micros", F.unix_micros("created_at")).withWatermark("created_at", watermark)
     out = T.StructType([*(f for f in rows.schema if f.name != "created_at"), T.StructField("micros", T.LongType())])
-    kept = timed.groupBy("ip_address").transformWithStateInPandas(Marks(window_s, order), out, "Append", "EventTime")
+    dealt = timed.withColumn("address_part", F.pmod(F.xxhash64("ip_address"), F.lit(parts)))
+    kept = dealt.groupBy("address_part").transformWithStateInPandas(Marks(window_s, order, out.names), out, "Append", "EventTime")
     return kept.withColumn("created_at", F.timestamp_micros("micros")).select(rows.columns)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import duckdb
 import pandas as pd
@@ -64,6 +65,68 @@ def test_first_row_of_each_second():
     assert state.firsts(pdf.assign(type=["x", "x", "y", "y", "x"]))["id"].tolist() == [4, 5, 3, 9]
 
 
+class Store:
+    """A map state and timers that count what is asked of them."""
+
+    def __init__(self):
+        self.held, self.timers, self.asked = {}, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def iterator(self):
+        return iter(self.held.items())
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+
+class Watermark:
+    def __init__(self, seconds):
+        self.seconds = seconds
+
+    def getCurrentWatermarkInMs(self):
+        return self.seconds * 1000
+
+
+def test_marks_are_asked_for_by_address_and_not_by_row():
+    rows = random.Random(4)
+    made = [(k, f"10.0.0.{rows.randrange(9)}", rows.choice("xyz"), rows.randrange(4000) * 1_000_000 + k) for k in range(3000)]
+    pdf = pd.DataFrame(made, columns=["id", "ip_address", "type", "micros"])
+    store, own = Store(), state.Marks(60, ("id",), ["id", "micros"])
+    own.init(store)
+    kept = []
+    for low in (0, 1000, 2000, 3000):
+        part = pdf[(pdf["micros"] // 1_000_000).between(low, low + 999)]
+        kept += [i for out in own.handleInputRows((0,), iter([part[:70], part[:0], part[70:]]), Watermark(low)) for i in out["id"]]
+        assert list(own.handleInputRows((0,), iter([part[:0]]), Watermark(low))) == []
+    want, last = [], {}
+    for k, ip, kind, micros in sorted(made, key=lambda r: (r[3] // 1_000_000, r[3])):
+        if micros // 1_000_000 >= last.get((ip, kind), -60) + 60:
+            last[ip, kind] = micros // 1_000_000
+            want.append(k)
+    assert sorted(kept) == sorted(want) and len(kept) > 1000
+    assert store.asked <= 4 * (2 * 9 + 1)  # once for each row kept before
+    assert {(ip, kind): sec for (ip,), held in store.held.items() for kind, sec in zip(*held, strict=True)} == last
+    assert max(store.timers) >= (max(last.values()) + 60) * 1000
+    own.handleExpiredTimer((0,), Watermark(sorted(last.values())[5] + 60), None)
+    assert sum(len(kinds) for kinds, _ in store.held.values()) == len([s for s in last.values() if s > sorted(last.values())[5]])
+    own.handleExpiredTimer((0,), Watermark(max(store.timers) // 1000), None)
+    assert store.held == {}
+
+
 def test_events_of_each_second():
     at = pd.to_datetime(["2024-01-01 00:00:01.5", "2024-01-01 00:00:00.9", "2024-01-01 00:00:01.0"])
     micros = at.astype("datetime64[us]").astype("int64")
